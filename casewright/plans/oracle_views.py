@@ -316,7 +316,8 @@ VIEWS = {
     "remake_pairs": """
         SELECT k.case_id AS main_id, k.link_case_id AS og_id
         FROM case_links k JOIN cases m ON m.case_id = k.case_id JOIN cases o ON o.case_id = k.link_case_id
-        WHERE k.notes LIKE '%Remake Of%' AND m.date_in >= TIMESTAMP '1997-06-15' AND m.status <> 'Cancelled'""",
+        WHERE k.notes LIKE '%Remake Of%' AND m.date_in >= TIMESTAMP '1997-06-15' AND m.date_in < TIMESTAMP '1998-06-16'
+          AND m.status <> 'Cancelled'""",
     "past_due": """
         SELECT * FROM (SELECT *, coalesce(past_due_30, 0) AS d30, coalesce(past_due_60, 0) AS d60,
             coalesce(past_due_90, 0) AS d90, coalesce(past_due_over_90, 0) AS d90p FROM customers) c
@@ -324,7 +325,8 @@ VIEWS = {
     "daily_eff": """
         SELECT t.date, e.employee_id, e.mt_name, e.team, e.training_plan, t.work_hours,
           k.cases_worked_on, k.tasks_completed, k.hours,
-          CASE WHEN t.work_hours = 0 THEN 0 ELSE CAST(k.hours AS DOUBLE) / t.work_hours * 100 END AS efficiency
+          CASE WHEN t.work_hours = 0 THEN 0 ELSE
+            CAST(round_even(CAST(k.hours * 10000 AS DOUBLE) / t.work_hours, 0) AS BIGINT) END AS cents
         FROM timesheets t JOIN employees e ON e.gusto_name = t.name
         JOIN (SELECT CAST(h.complete_date AS DATE) AS date, CAST(h.completed_by AS BIGINT) AS employee_id,
                 count(DISTINCT h.case_number) AS cases_worked_on, count(*) AS tasks_completed,
