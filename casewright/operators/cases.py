@@ -13,7 +13,13 @@ from casewright.functions import text as X
 from casewright.functions.calendar import BusinessCalendar
 from casewright.functions.followup import follow_up_date
 from casewright.operators.joins import lookup
-from casewright.operators.pick import latest_per_key, priority_pick, product_categories, top_k_per_key
+from casewright.operators.pick import (
+    latest_per_key,
+    of_cases,
+    priority_pick,
+    product_categories,
+    top_k_per_key,
+)
 
 TASK_ORDER = ["complete_date", "case_product_id", "part_id", "source_id"]
 
@@ -65,17 +71,20 @@ def case_locations(
     Ship dates stay unadjusted here. A ship date counts as recent from ``lookback_days - 1`` days
     before ``as_of`` on (P12).
     """
+    first = F.lit(as_of - timedelta(days=lookback_days - 1)).cast("timestamp_ntz")
+    open_cases = cases.filter((F.col("status") == status) & (F.col("ship_date") >= first))
     categories = priority_pick(
-        product_categories(case_products, products.filter("category IS NOT NULL")),
+        product_categories(
+            of_cases(case_products, open_cases), products.filter("category IS NOT NULL")
+        ),
         ["case_id"],
         priority=priority,
     )
-    first = F.lit(as_of - timedelta(days=lookback_days - 1)).cast("timestamp_ntz")
-    open_cases = cases.filter((F.col("status") == status) & (F.col("ship_date") >= first))
+    tasks = latest_tasks(of_cases(case_tasks, open_cases), task_tie).drop("department")
     category = X.normalise_category(F.col("category"), aliases)
     return (
         with_location(open_cases, locations)
-        .join(latest_tasks(case_tasks, task_tie).drop("department"), "case_id", "inner")
+        .join(tasks, "case_id", "inner")
         .join(categories, "case_id", "left")
         .withColumn("category", category)
         .filter(exclude_pairs(F.col("category"), F.col("location"), "MARPE", planning))
@@ -104,8 +113,9 @@ def case_locations_by_department(
     task_tie: Sequence[str] = TASK_ORDER,
 ) -> DataFrame:
     """As ``case_locations``, with the department of the last task as category."""
+    open_cases = cases.filter(F.col("status") == status)
     return (
-        with_location(cases.filter(F.col("status") == status), locations)
+        with_location(open_cases, locations)
         .join(latest_tasks(case_tasks, task_tie), "case_id", "inner")
         .select(
             "case_id",

@@ -132,35 +132,32 @@ def _mean(value: Column) -> Column:
     return F.sum(value).cast("double") / F.nullif(F.count(value), F.lit(0).cast("bigint"))
 
 
-def latest_attributes(daily: DataFrame) -> DataFrame:
-    """Per employee the first non-null team by date and id, and the plan on the newest date."""
-    team_order = F.when(F.col("team").isNotNull(), F.struct("date", "employee_id"))
-    newest = daily.agg(F.max("date")).scalar()
-    return daily.groupBy("mt_name").agg(
-        F.min_by("team", team_order).alias("team"),
-        F.coalesce(
-            F.max(F.when(F.col("date") == newest, F.col("training_plan"))), F.lit(0)
-        ).alias("training_plan"),
-    )
+def latest_attributes(daily: DataFrame, newest: date | None = None) -> tuple[Column, Column]:
+    """Aggregates for the first non-null team by date and id, and the plan on the newest date.
+
+    ``newest`` saves the pass that finds the newest date of the store.
+    """
+    first_team = F.min(
+        F.when(F.col("team").isNotNull(), F.struct("date", "employee_id", "team"))
+    )["team"]
+    day = daily.agg(F.max("date")).scalar() if newest is None else F.lit(newest)
+    plan = F.max(F.when(F.col("date") == day, F.col("training_plan")))
+    return first_team.alias("team"), F.coalesce(plan, F.lit(0)).alias("training_plan")
 
 
-def efficiency_periods(daily: DataFrame, calendar: BusinessCalendar, *, as_of: date) -> DataFrame:
+def efficiency_periods(
+    daily: DataFrame, calendar: BusinessCalendar, *, as_of: date, newest: date | None = None
+) -> DataFrame:
     """Mean non-zero efficiency per employee over the 31 periods, as a fraction.
 
-    One pass over the needed days and one shuffle; every period is a conditional mean. Days outside
-    all periods are cut before.
+    Everything is one aggregate with one shuffle: every period is a conditional mean.
     """
-    periods = efficiency_period_list(as_of, calendar)
-    first, last = min(p[1] for p in periods), max(p[2] for p in periods)
     worked = F.when(F.col("efficiency") != 0, F.col("efficiency"))
     means = [
         (_mean(F.when(F.col("date").between(F.lit(lo), F.lit(hi)), worked)) * 0.01).alias(name)
-        for name, lo, hi in periods
+        for name, lo, hi in efficiency_period_list(as_of, calendar)
     ]
-    matrix = (
-        daily.filter(F.col("date").between(F.lit(first), F.lit(last))).groupBy("mt_name").agg(*means)
-    )
-    return latest_attributes(daily).join(matrix, "mt_name", "left")
+    return daily.groupBy("mt_name").agg(*latest_attributes(daily, newest), *means)
 
 
 def drop_empty_periods(matrix: DataFrame, periods: Sequence[str]) -> DataFrame:

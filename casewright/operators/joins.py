@@ -106,13 +106,10 @@ def in_periods(df: DataFrame, day: str, periods: Sequence[tuple[str, date, date]
 
 
 def linked_pairs(links: DataFrame, cases: DataFrame, note_pattern: str) -> DataFrame:
-    """Case pairs of the matching links with both cases' columns as structs ``main`` and ``og``."""
-    columns = F.struct(*cases.columns)
-    main = cases.select(F.col("case_id"), columns.alias("main"))
-    og = cases.select(F.col("case_id").alias("link_case_id"), columns.alias("og"))
-    return (
-        links.filter(F.col("notes").like(note_pattern))
-        .select("case_id", "link_case_id")
-        .join(main, "case_id", "inner")
-        .join(og, "link_case_id", "inner")
+    """Case pairs of the matching links, the cases' columns prefixed ``main_`` and ``og_``."""
+    main = cases.select(*[F.col(c).alias(f"main_{c}") for c in cases.columns])
+    og = cases.select(*[F.col(c).alias(f"og_{c}") for c in cases.columns])
+    ends = links.filter(F.col("notes").like(note_pattern)).select(
+        F.col("case_id").alias("main_case_id"), F.col("link_case_id").alias("og_case_id")
     )
+    return ends.join(main, "main_case_id", "inner").join(og, "og_case_id", "inner")

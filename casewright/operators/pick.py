@@ -55,6 +55,15 @@ def priority_pick(
     )
 
 
+def of_cases(facts: DataFrame, wanted: DataFrame, key: str = "case_id") -> DataFrame:
+    """Facts of the wanted cases only.
+
+    A report looks at few of all cases, so this comes before any ranking or further join. A small
+    set of cases is broadcast by its measured size; a large one is joined by shuffle.
+    """
+    return facts.join(wanted.select(key), key, "left_semi")
+
+
 def product_categories(case_products: DataFrame, products: DataFrame) -> DataFrame:
     """Category of every product line: case_id, category."""
     return case_products.select("case_id", "product_id").join(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.functions.calendar import BusinessCalendar
+from casewright.operators.pick import of_cases
 from casewright.sources.tables import between_days
 
 UNPRODUCED = ("Cancelled", "Submitted", "Sent for TryIn")
@@ -62,8 +63,15 @@ def daily_production(
     is_new = F.coalesce(F.trim("remake"), F.lit("")) == ""
     units = F.col("quantity") * F.col("unit_value")
     zero = F.lit(0)
+    received = cases.filter(
+        (F.col("type") == "D")
+        & ~F.coalesce("deleted", F.lit(False))
+        & ~F.col("status").isin(*UNPRODUCED)
+        & between_days(F.col("date_in"), as_of - timedelta(days=days), as_of)
+    ).select("case_id", "lab_name", F.to_date("date_in").alias("sales_date"))
     per_case = (
-        case_products.join(products.select("product_id", "unit_value"), "product_id", "left")
+        of_cases(case_products, received)
+        .join(products.select("product_id", "unit_value"), "product_id", "left")
         .groupBy("case_id")
         .agg(
             F.sum(F.when(is_new, F.col("extended_amount")).otherwise(zero)).alias("subtotal"),
@@ -73,12 +81,6 @@ def daily_production(
             F.sum(F.when(~is_new, units).otherwise(zero)).alias("remake_units"),
         )
     )
-    received = cases.filter(
-        (F.col("type") == "D")
-        & ~F.coalesce("deleted", F.lit(False))
-        & ~F.col("status").isin(*UNPRODUCED)
-        & between_days(F.col("date_in"), as_of - timedelta(days=days), as_of)
-    ).select("case_id", "lab_name", F.to_date("date_in").alias("sales_date"))
     return (
         received.join(per_case, "case_id", "inner")
         .groupBy("sales_date", "lab_name")

@@ -12,7 +12,7 @@ from casewright import vocabulary as V
 from casewright.functions import text as X
 from casewright.functions.calendar import last_weekdays
 from casewright.operators.joins import day_spine, densify
-from casewright.operators.pick import latest_per_key, priority_pick, product_categories
+from casewright.operators.pick import latest_per_key, of_cases, priority_pick, product_categories
 from casewright.sources.tables import between_days
 
 
@@ -161,8 +161,9 @@ def checkins(
     )
     order = [F.col(c).desc_nulls_last() for c in ("create_date", *tie)]
     latest = latest_per_key(events, ["case_id"], order).select("case_id", "created_by", "create_date")
+    lines = of_cases(case_products, latest)
     categories = priority_pick(
-        product_categories(case_products, products.filter("category IS NOT NULL")), ["case_id"]
+        product_categories(lines, products.filter("category IS NOT NULL")), ["case_id"]
     )
     return (
         latest.join(cases.select("case_id", "case_number"), "case_id", "inner")
@@ -241,23 +242,22 @@ def cases_by_operator(
     events = audit.filter(F.col("type").isin(list(types)) & recent).select(
         "case_id", "created_by", F.to_date("create_date").alias("day")
     )
-    shipped = cases.filter(
-        F.col("status").isin("In Production", "Invoiced") & F.col("ship_date").isNotNull()
-    ).select("case_id")
-    picked = priority_pick(
-        product_categories(case_products, products), ["case_id"], priority=priority
-    ).join(shipped, "case_id", "left_semi")
-    bare = shipped.join(
-        case_products.select("case_id", "product_id").join(
-            products.select("product_id"), "product_id", "left_semi"
-        ),
-        "case_id",
-        "left_anti",
-    ).withColumn("category", F.lit(V.OTHER))
+    counted = events.groupBy("case_id", "created_by", "day").agg(F.count("*").alias("events"))
+    shipped = of_cases(
+        cases.filter(
+            F.col("status").isin("In Production", "Invoiced") & F.col("ship_date").isNotNull()
+        ).select("case_id"),
+        counted,
+    )
+    lines = of_cases(case_products, counted)
+    picked = of_cases(
+        priority_pick(product_categories(lines, products), ["case_id"], priority=priority), shipped
+    )
+    catalogued = lines.join(products.select("product_id"), "product_id", "left_semi")
+    bare = shipped.join(catalogued, "case_id", "left_anti").withColumn("category", F.lit(V.OTHER))
     labels = picked.unionByName(bare).withColumn(
         "category", X.normalise_category(F.col("category"), aliases)
     )
-    counted = events.groupBy("case_id", "created_by", "day").agg(F.count("*").alias("events"))
     return (
         counted.join(cases.select("case_id", F.lit(1).alias("known")), "case_id", "left")
         .join(labels, "case_id", "left")

@@ -13,7 +13,7 @@ from casewright.functions import text as X
 from casewright.functions.calendar import BusinessCalendar
 from casewright.operators.cases import adjust_rush_dates, count_in, with_location
 from casewright.operators.joins import day_spine, densify
-from casewright.operators.pick import product_categories
+from casewright.operators.pick import of_cases, product_categories
 from casewright.sources.tables import between_days
 
 STATUSES = ("In Production", "Invoiced")
@@ -80,13 +80,14 @@ def workload_detail(
     category = F.col("category")
     eligible = category.isNotNull() & (category != excluded_category)
     best = F.struct((-X.priority_rank(category, priority)).alias("rank"), category.alias("category"))
+    shown = _source_window(cases, window, calendar)
     owned = (
-        product_categories(case_products, products)
+        product_categories(of_cases(case_products, shown), products)
         .groupBy("case_id")
         .agg(F.max(F.when(eligible, best))["category"].alias("category"), F.lit(True).alias("owns"))
     )
     rows = (
-        with_location(_source_window(cases, window, calendar), locations)
+        with_location(shown, locations)
         .join(owned, "case_id", "left")
         .select(
             "case_id",
@@ -259,12 +260,14 @@ def workload_by_category(
     cases: DataFrame, case_products: DataFrame, products: DataFrame, status: str = "In Production"
 ) -> DataFrame:
     """Distinct cases by category and ship date; a case counts once in each category it owns."""
-    owned = product_categories(case_products, products.filter("category IS NOT NULL"))
     open_cases = cases.filter((F.col("status") == status) & F.col("ship_date").isNotNull()).select(
         "case_id", "case_number", F.to_date("ship_date").alias("ship_date")
     )
+    named = products.filter("category IS NOT NULL").select("product_id", "category")
+    lines = case_products.select("case_id", "product_id").distinct()
     return (
-        open_cases.join(owned, "case_id", "inner")
+        open_cases.join(lines, "case_id", "inner")
+        .join(named, "product_id", "inner")
         .groupBy("category", "ship_date")
         .agg(F.count_distinct("case_number").alias("n"))
     )

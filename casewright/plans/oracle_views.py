@@ -81,10 +81,10 @@ VIEWS = {
         SELECT l_orderkey, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship
         FROM lineitem GROUP BY l_orderkey""",
     "last_line": """
-        SELECT l_orderkey, s_nationkey AS last_location_id FROM (
+        SELECT l_orderkey, l_suppkey AS last_location_id FROM (
           SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey
             ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn
-          FROM lineitem) x LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE rn = 1""",
+          FROM lineitem) x WHERE rn = 1""",
     "cases": """
         SELECT o_orderkey AS case_id, CAST(o_orderkey AS VARCHAR) AS case_number,
           CASE WHEN o_orderpriority = '1-URGENT' THEN 'R' || (o_orderkey % 90)
@@ -243,7 +243,8 @@ VIEWS = {
         FROM orders WHERE year(o_orderdate) <> 1996""",
     # -- shared intermediate results --------------------------------------------------------------
     "located": """
-        SELECT c.*, v.description AS location FROM cases c LEFT JOIN v_location v ON v.id = c.last_location_id""",
+        SELECT c.*, v.description AS location FROM cases c
+          LEFT JOIN supplier s ON s.s_suppkey = c.last_location_id LEFT JOIN v_location v ON v.id = s.s_nationkey""",
     "best_category": """
         SELECT case_id, category FROM (
           SELECT cp.case_id, p.category, row_number() OVER (PARTITION BY cp.case_id ORDER BY
