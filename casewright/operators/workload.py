@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,25 +236,22 @@ def workload_summary(
     status_counts: DataFrame, submitted: DataFrame, located: DataFrame
 ) -> DataFrame:
     """Tiles: totals, overall pace, submitted count, counts of three location groups."""
-    zero = F.lit(0).cast("bigint")
-    totals = _by_status(status_counts, [], "n")
-    stages = located.agg(
-        count_in(F.col("location"), V.DESIGN_LOCATIONS).alias("design"),
-        count_in(F.col("location"), V.MANUFACTURING_LOCATIONS).alias("manufacturing"),
-        count_in(F.col("location"), V.FLOOR_LOCATIONS).alias("production_floor"),
-    )
-    one = F.lit(1).alias("__one")
-    row = (
-        totals.select("*", one)
-        .join(submitted.agg(F.count("*").alias("submitted")).select("*", one), "__one")
-        .join(stages.select("*", one), "__one")
-        .drop("__one")
-    )
+    parts = [
+        _by_status(status_counts, [], "n"),
+        submitted.agg(F.count("*").alias("submitted")),
+        located.agg(
+            count_in(F.col("location"), V.DESIGN_LOCATIONS).alias("design"),
+            count_in(F.col("location"), V.MANUFACTURING_LOCATIONS).alias("manufacturing"),
+            count_in(F.col("location"), V.FLOOR_LOCATIONS).alias("production_floor"),
+        ),
+    ]
+    names = [name for part in parts for name in part.columns]
+    # Three rows of one part each, folded into one row.
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    row = stacked.agg(*[F.max(name).alias(name) for name in names])
     total = F.col("invoiced") + F.col("in_production")
     pct = F.coalesce(F.try_divide(F.col("invoiced") * 100.0, total), F.lit(0.0))
-    return row.withColumn("pace_pct", X.half_even(pct, 0)).withColumn(
-        "invoiced", F.col("invoiced") + zero
-    )
+    return row.withColumn("pace_pct", X.half_even(pct, 0))
 
 
 def workload_by_category(

@@ -19,7 +19,7 @@ from casewright.plans.registry import query
 from casewright.plans.task_queries import daily
 from casewright.sources.tables import between_days, recent
 
-LINE_TIE = [F.col(c).desc() for c in ("case_product_id", "product_id", "source_id", "line_date")]
+LINE_TIE = ("case_product_id", "product_id", "source_id", "line_date")
 SHARE = "//store/files"
 
 
@@ -35,7 +35,7 @@ def remake_rows(lab: Lab) -> DataFrame:
         lab.case_products(),
         lab.products(),
         as_of=AS_OF,
-        tie=LINE_TIE,
+        tie=[F.col(c).desc() for c in LINE_TIE],
     )
 
 

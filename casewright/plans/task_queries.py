@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.operators import efficiency as E
@@ -14,11 +14,15 @@ from casewright.plans.lab_views import AS_OF, CALENDAR, EVENT_DAY, EVENT_NOW, La
 from casewright.plans.registry import query
 from casewright.streaming import scans
 
-PLAN_ORDER = [F.col("planned_at").desc(), F.col("plan_id").desc()]
 FIRST, LAST = date(2024, 1, 8), date(2024, 1, 14)
 AUDIT_TIE = ("line", "part_id", "source_id")
 
 
+def plan_order() -> list[Column]:
+    """Of several planned durations the newest counts."""
+    return [F.col("planned_at").desc(), F.col("plan_id").desc()]
+
+
 def checkin_rows(lab: Lab) -> DataFrame:
     return T.checkins(
         lab.audit_trail(), lab.cases(), lab.case_products(), lab.products(), as_of=AS_OF, tie=AUDIT_TIE
@@ -26,7 +30,7 @@ def checkin_rows(lab: Lab) -> DataFrame:
 
 
 def daily(lab: Lab) -> DataFrame:
-    tasks = E.daily_tasks(lab.task_history(), lab.planned_tasks(), PLAN_ORDER)
+    tasks = E.daily_tasks(lab.task_history(), lab.planned_tasks(), plan_order())
     return E.combine(E.with_employee(lab.timesheets(), lab.employees()), tasks)
 
 
@@ -65,13 +69,13 @@ def cases_by_operator(lab: Lab) -> DataFrame:
 
 @query
 def stage1_tasks(lab: Lab) -> DataFrame:
-    return E.stage1(lab.task_history(), lab.planned_tasks(), PLAN_ORDER, FIRST, LAST)
+    return E.stage1(lab.task_history(), lab.planned_tasks(), plan_order(), FIRST, LAST)
 
 
 @query
 def task_durations(lab: Lab) -> DataFrame:
     rows = E.task_events(lab.task_history(), FIRST, LAST)
-    return E.with_duration(rows, lab.planned_tasks(), PLAN_ORDER).select(
+    return E.with_duration(rows, lab.planned_tasks(), plan_order()).select(
         "event_id", "case_id", "task", "case_product_id", "duration"
     )
 
@@ -90,7 +94,7 @@ def untouched_tasks(lab: Lab) -> DataFrame:
 @query
 def midday_snapshot(lab: Lab) -> DataFrame:
     return E.midday_snapshot(
-        lab.task_history(), lab.planned_tasks(), lab.employees(), PLAN_ORDER, as_of=EVENT_DAY
+        lab.task_history(), lab.planned_tasks(), lab.employees(), plan_order(), as_of=EVENT_DAY
     )
 
 
@@ -100,7 +104,7 @@ def midday_snapshot_fan_out(lab: Lab) -> DataFrame:
         lab.task_history(),
         lab.planned_tasks(),
         lab.employees(),
-        PLAN_ORDER,
+        plan_order(),
         as_of=EVENT_DAY,
         fan_out=True,
     )
@@ -142,7 +146,7 @@ def missing_days(lab: Lab) -> DataFrame:
 def missing_snapshots(lab: Lab) -> DataFrame:
     """Snapshot rows of the days a store lacks; the store here holds every second day."""
     snapshot = E.midday_snapshot(
-        lab.task_history(), lab.planned_tasks(), lab.employees(), PLAN_ORDER, as_of=EVENT_DAY
+        lab.task_history(), lab.planned_tasks(), lab.employees(), plan_order(), as_of=EVENT_DAY
     )
     stored = lab.task_history().select(F.to_date("complete_date").alias("day")).filter(
         F.dayofmonth("day") % 2 == 0
