@@ -235,11 +235,12 @@ def replace_children(
     enter the table.
     """
     ids = parents.select(parent_key, parent_id)
-    resolved = source.join(ids, parent_key, "inner").drop(parent_key)
+    columns = [parent_id, *[c for c in source.columns if c != parent_key]]
+    resolved = source.join(ids, parent_key, "inner").select(*columns)
     orphans = source.join(ids, parent_key, "left_anti")
     if current is None:
         return ChildResult(resolved, orphans)
-    kept = current.join(resolved.select(parent_id).distinct(), parent_id, "left_anti")
+    kept = current.join(resolved.select(parent_id), parent_id, "left_anti").select(*columns)
     return ChildResult(kept.unionByName(resolved), orphans)
 
 

@@ -35,6 +35,26 @@ def employee_name(
     )
 
 
+def with_totals(
+    df: DataFrame, keys: Sequence[str], member: str, measures: Mapping[str, Column]
+) -> DataFrame:
+    """Measures per group and member plus one ``is_total`` row per group, from one aggregate.
+
+    A total as a window over the group would bring all members of a group into one task.
+    """
+    rows = df.groupingSets([[*keys, member], list(keys)], *keys, member).agg(
+        *[measure.alias(name) for name, measure in measures.items()],
+        (F.grouping(member) == 1).alias("is_total"),
+    )
+    return rows
+
+
+def named_rows(rows: DataFrame, employees: DataFrame) -> DataFrame:
+    """Employee names on member rows; total rows have none."""
+    named = employee_name(rows, employees, "completed_by")
+    return named.withColumn("emp_name", F.when(~F.col("is_total"), F.col("emp_name")))
+
+
 def task_counts(
     history: DataFrame, *, as_of: date, tasks: Sequence[str] = V.AIRWAY_TASKS, days: int = 7
 ) -> DataFrame:
@@ -54,20 +74,19 @@ def task_counts(
 def task_leaders(
     counts: DataFrame, employees: DataFrame, *, as_of: date, tasks: Sequence[str] = V.AIRWAY_TASKS, n_days: int = 6
 ) -> DataFrame:
-    """Per weekday and task: each employee's count, the day's total and the label."""
+    """Per weekday and task: each employee's count and, as rows of their own, the totals."""
     recent = counts.filter(F.col("day").isin(last_weekdays(as_of, n_days)))
     names = {f"task_{k}": task for k, task in enumerate(tasks, 1)}
     long = recent.unpivot(["completed_by", "day"], list(names), "slot", "n").filter("n > 0")
-    named = employee_name(long, employees, "completed_by")
-    total = F.sum("n").over(Window.partitionBy("day", "slot"))
-    return named.select(
+    rows = with_totals(long, ["day", "slot"], "completed_by", {"n": F.sum("n")})
+    return named_rows(rows, employees).select(
         "day",
         X.weekday_slash(F.col("day")).alias("label"),
         X.map_values(F.col("slot"), names).alias("task"),
         "completed_by",
         "emp_name",
+        "is_total",
         "n",
-        total.alias("total"),
     )
 
 
@@ -100,8 +119,8 @@ def design_windows(
 ) -> DataFrame:
     """Tasks per weekday, window, task and employee.
 
-    ``n`` counts distinct cases of the employee, ``raw`` all rows, ``total`` all rows of the window
-    over all employees; the first two need not add up.
+    ``n`` counts distinct cases of the employee, ``raw`` all rows. The row ``is_total`` of a window
+    sums both over all employees.
     """
     days = last_weekdays(as_of, n_days)
     rows = history.filter(
@@ -113,20 +132,22 @@ def design_windows(
     per_case = rows.groupBy("day", "window", "task", "completed_by", "case_number").agg(
         F.count("*").alias("raw")
     )
-    counts = per_case.groupBy("day", "window", "task", "completed_by").agg(
-        F.count("*").alias("n"), F.sum("raw").alias("raw")
+    counts = with_totals(
+        per_case,
+        ["day", "window", "task"],
+        "completed_by",
+        {"n": F.count("*"), "raw": F.sum("raw")},
     )
-    total = F.sum("raw").over(Window.partitionBy("day", "window", "task"))
-    return employee_name(counts, employees, "completed_by").select(
+    return named_rows(counts, employees).select(
         "day",
         X.weekday_slash(F.col("day")).alias("label"),
         "window",
         "task",
         "completed_by",
         "emp_name",
+        "is_total",
         "n",
         "raw",
-        total.alias("total"),
     )
 
 
@@ -137,7 +158,8 @@ def employee_lists(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     entries = F.collect_list(F.struct((-F.col("n")).alias("order"), F.col("emp_name").alias("name"), "n"))
     by_count = F.transform(F.array_sort(entries), lambda e: F.struct(e["name"].alias("name"), e["n"].alias("n")))
-    return counts.groupBy(*keys).agg(by_count.alias("by_employee"))
+    members = counts.filter(~F.col("is_total")) if "is_total" in counts.columns else counts
+    return members.groupBy(*keys).agg(by_count.alias("by_employee"))
 
 
 def checkins(
@@ -185,21 +207,11 @@ def checkin_windows(
     windows: Sequence[tuple[str, int, int]] = V.CHECKIN_WINDOWS,
     n_days: int = 6,
 ) -> DataFrame:
-    """Check-ins per weekday, window and employee with the window's total."""
+    """Check-ins per weekday, window and employee and, as rows of their own, the totals."""
     recent = rows.filter(F.col("day").isin(last_weekdays(as_of, n_days)))
-    counts = (
-        explode_windows(recent, "create_date", windows)
-        .groupBy("day", "window", "emp_name")
-        .agg(F.count("*").alias("n"))
-    )
-    return counts.select(
-        "day",
-        X.weekday_slash(F.col("day")).alias("label"),
-        "window",
-        "emp_name",
-        "n",
-        F.sum("n").over(Window.partitionBy("day", "window")).alias("total"),
-    )
+    rows = explode_windows(recent, "create_date", windows)
+    counts = with_totals(rows, ["day", "window"], "emp_name", {"n": F.count("*")})
+    return counts.withColumn("label", X.weekday_slash(F.col("day")))
 
 
 def category_trends(

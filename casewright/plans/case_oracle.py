@@ -58,6 +58,10 @@ ORACLE = {
           count(*) FILTER (WHERE regexp_matches(case_number, '^1.*7$')
             OR regexp_matches(pan_number, '^1.*7$')) AS pattern
         FROM case_list""",
+    "case_filter_options": """
+        SELECT 'location' AS "column", location AS value FROM case_list WHERE trim(location) <> ''
+        UNION SELECT 'category', category FROM case_list
+        UNION SELECT 'ship_day', month(ship_date) || '/' || day(ship_date) FROM case_list""",
     "airway_workflow": """
         SELECT l.customer_id, l.doctor_name, c.practice_name, l.location,
           CASE WHEN l.pan_number LIKE 'R%' AND length(l.pan_number) < 4 THEN cal.prev_bd

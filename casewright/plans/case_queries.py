@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright import vocabulary as V
+from casewright.functions import text as X
 from casewright.operators import cases as C
 from casewright.operators import sales as S
 from casewright.operators import workload as W
+from casewright.operators.customers import filter_options
 from casewright.plans.lab_views import AS_OF, CALENDAR, NOW, Lab
 from casewright.plans.registry import query
 
@@ -87,6 +89,12 @@ def case_badges(lab: Lab) -> DataFrame:
     )
 
 
+@query
+def case_filter_options(lab: Lab) -> DataFrame:
+    rows = open_cases(lab).withColumn("ship_day", X.slash_day(F.col("ship_date")))
+    return filter_options(rows, ["location", "category", "ship_day"])
+
+
 @query
 def airway_workflow(lab: Lab) -> DataFrame:
     stages = [stage for stages in V.STAGE_GROUPS.values() for stage in stages]

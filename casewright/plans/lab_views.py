@@ -12,6 +12,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright.functions.calendar import BusinessCalendar
 from casewright.sources.tables import read_table
@@ -89,6 +90,9 @@ HOLD_STATUSES = [
 ]
 
 
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
 def money(col: Column, digits: int = 2) -> Column:
     return col.cast(f"decimal(18,{digits})")
 
@@ -105,7 +109,11 @@ class Lab:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        """One given table; the schema is read from its files once per process, not once per use."""
+        key = (self.folder, name)
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = read_table(self.spark, self.folder, name).schema
+        return read_table(self.spark, self.folder, name, _SCHEMAS[key])
 
     def cases(self) -> DataFrame:
         """One row per order; dates and location come from its lines in a single aggregation.

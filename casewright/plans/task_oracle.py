@@ -69,26 +69,32 @@ ORACLE = {
         WITH t AS (SELECT completed_by, day, '3dplan' AS task, task_1 AS n FROM ({_AIRWAY}) a
           UNION ALL SELECT completed_by, day, '3dfin-exp', task_2 FROM ({_AIRWAY}) a
           UNION ALL SELECT completed_by, day, '3drevise', task_3 FROM ({_AIRWAY}) a)
-        SELECT day, {_LABEL} AS label, task, completed_by, {_EMP_NAME} AS emp_name, n,
-          CAST(sum(n) OVER (PARTITION BY day, task) AS BIGINT) AS total
+        SELECT day, {_LABEL} AS label, task, completed_by, {_EMP_NAME} AS emp_name, false AS is_total, n
         FROM t LEFT JOIN employees e ON e.employee_id = CAST(t.completed_by AS BIGINT)
-        WHERE n > 0 AND day IN {_SIX_DAYS}""",
+        WHERE n > 0 AND day IN {_SIX_DAYS}
+        UNION ALL
+        SELECT day, {_LABEL}, task, NULL, NULL, true, CAST(sum(n) AS BIGINT) FROM t
+        WHERE n > 0 AND day IN {_SIX_DAYS} GROUP BY day, task""",
     "design_windows": f"""
-        SELECT day, {_LABEL} AS label, name AS window, task, completed_by, {_EMP_NAME} AS emp_name, n, raw,
-          CAST(sum(raw) OVER (PARTITION BY day, name, task) AS BIGINT) AS total
-        FROM (SELECT CAST(complete_date AS DATE) AS day, w.name, task, completed_by,
+        WITH t AS (SELECT CAST(complete_date AS DATE) AS day, w.name, task, completed_by,
                 count(DISTINCT case_number) AS n, count(*) AS raw
               FROM task_history JOIN (VALUES ('noon', 3, 12), ('pm3', 3, 15), ('pm11', 15, 24), ('allday', 3, 24))
                 w(name, lo, hi) ON hour(complete_date) >= lo AND hour(complete_date) < hi
-              WHERE task IN ('3dd', '3dcf') AND CAST(complete_date AS DATE) IN {_SIX_DAYS} GROUP BY ALL) t
-        LEFT JOIN employees e ON e.employee_id = CAST(t.completed_by AS BIGINT)""",
+              WHERE task IN ('3dd', '3dcf') AND CAST(complete_date AS DATE) IN {_SIX_DAYS} GROUP BY ALL)
+        SELECT day, {_LABEL} AS label, name AS window, task, completed_by, {_EMP_NAME} AS emp_name,
+          false AS is_total, n, raw
+        FROM t LEFT JOIN employees e ON e.employee_id = CAST(t.completed_by AS BIGINT)
+        UNION ALL
+        SELECT day, {_LABEL}, name, task, NULL, NULL, true, CAST(sum(n) AS BIGINT), CAST(sum(raw) AS BIGINT)
+        FROM t GROUP BY day, name, task""",
     "checkin_windows": f"""
-        SELECT day, {_LABEL} AS label, name AS window, emp_name, n,
-          CAST(sum(n) OVER (PARTITION BY day, name) AS BIGINT) AS total
-        FROM (SELECT day, w.name, emp_name, count(*) AS n FROM ({_CHECKINS}) c
+        WITH t AS (SELECT day, w.name, emp_name, count(*) AS n FROM ({_CHECKINS}) c
               JOIN (VALUES ('noon', 12), ('all', 18)) w(name, hi) ON hour(create_date) < hi
               WHERE day IN (DATE '1998-06-15', DATE '1998-06-12', DATE '1998-06-11', DATE '1998-06-10',
-                DATE '1998-06-09', DATE '1998-06-08') GROUP BY ALL) t""",
+                DATE '1998-06-09', DATE '1998-06-08') GROUP BY ALL)
+        SELECT day, {_LABEL} AS label, name AS window, emp_name, false AS is_total, n FROM t
+        UNION ALL
+        SELECT day, {_LABEL}, name, NULL, true, CAST(sum(n) AS BIGINT) FROM t GROUP BY day, name""",
     "category_trends": f"""
         WITH wd AS (SELECT d FROM all_days WHERE d < DATE '1998-06-15' AND isodow(d) < 6 ORDER BY d DESC LIMIT 30),
         rows_ AS (SELECT category, day FROM ({_CHECKINS}) c WHERE day IN (SELECT d FROM wd)),

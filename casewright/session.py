@@ -16,6 +16,8 @@ SETTINGS = {
     # A hot join key is split even where the next operator would have reused the partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Recording the Python call site of every column expression takes about half of the planning time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

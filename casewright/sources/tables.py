@@ -42,9 +42,15 @@ LOOKUP_SCHEMAS = {
 }
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Scan one parquet table; a missing or broken table raises instead of giving no rows."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(
+    spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None
+) -> DataFrame:
+    """Scan one parquet table; a missing or broken table raises instead of giving no rows.
+
+    A known schema saves the job that reads the file footers.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
