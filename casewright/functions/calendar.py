@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,6 +42,11 @@ HOLIDAY_RULES = [
 ]
 
 
+def wall_clock(moment: datetime) -> Column:
+    """Timestamp literal without time zone: the same reading whatever zone the session is in."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _any(conditions: Iterable[Column]) -> Column:
     return reduce(Column.__or__, conditions)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casewright import vocabulary as V
 from casewright.functions import text as X
-from casewright.functions.calendar import BusinessCalendar
+from casewright.functions.calendar import BusinessCalendar, wall_clock
 from casewright.functions.followup import follow_up_date
 from casewright.operators.joins import lookup
 from casewright.operators.pick import (
@@ -18,8 +18,8 @@ from casewright.operators.pick import (
     of_cases,
     priority_pick,
     product_categories,
-    top_k_per_key,
 )
+from casewright.sources.tables import small_table
 
 TASK_ORDER = ["complete_date", "case_product_id", "part_id", "source_id"]
 
@@ -313,31 +313,32 @@ def stage_summary(
     Every stage appears, also without cases (one row with null date).
     """
     pairs = [(group, stage) for group, stages in groups.items() for stage in stages]
-    spine = df.sparkSession.createDataFrame(pairs, "stage_group string, location string")
-    by_date = df.groupBy("location", "ship_date").agg(F.count("*").alias("n"))
-    totals = by_date.groupBy("location").agg(
-        F.sum("n").alias("total"), F.count("ship_date").alias("dates")
-    )
-    dated = top_k_per_key(
-        by_date.filter("ship_date IS NOT NULL"),
-        ["location"],
-        [F.col("ship_date").asc()],
-        first_dates,
-        rank="date_rank",
+    spine = small_table(
+        df.sparkSession, stage_group=[g for g, _ in pairs], location=[stage for _, stage in pairs]
     )
+    wanted = df.filter(F.col("location").isin([stage for _, stage in pairs]))
+    by_date = wanted.groupBy("location", "ship_date").agg(F.count("*").alias("n"))
+    # One row per stage and date is left here, so a stage's window spans the calendar at most.
+    stage = Window.partitionBy("location")
+    position = F.row_number().over(stage.orderBy(F.col("ship_date").asc_nulls_last()))
+    dated = F.col("ship_date").isNotNull()
     zero = F.lit(0).cast("bigint")
-    return (
-        spine.join(totals, "location", "left")
-        .join(dated, "location", "left")
-        .select(
-            "stage_group",
-            "location",
-            F.coalesce("total", zero).alias("total"),
-            F.greatest(F.coalesce("dates", zero) - first_dates, zero).alias("extra_dates"),
-            F.coalesce(F.col("date_rank").cast("bigint"), zero).alias("date_rank"),
-            "ship_date",
-            F.coalesce("n", zero).alias("n"),
-        )
+    ranked = (
+        by_date.withColumn("total", F.sum("n").over(stage))
+        .withColumn("dates", F.count("ship_date").over(stage))
+        .withColumn("position", position)
+        .filter((F.col("position") <= first_dates) & (dated | (F.col("position") == 1)))
+        .withColumn("date_rank", F.when(dated, F.col("position")).otherwise(0).cast("bigint"))
+        .withColumn("n", F.when(dated, F.col("n")))
+    )
+    return spine.join(ranked, "location", "left").select(
+        "stage_group",
+        "location",
+        F.coalesce("total", zero).alias("total"),
+        F.greatest(F.coalesce("dates", zero) - first_dates, zero).alias("extra_dates"),
+        F.coalesce("date_rank", zero).alias("date_rank"),
+        "ship_date",
+        F.coalesce("n", zero).alias("n"),
     )
 
 
@@ -356,7 +357,7 @@ def overdue_no_scan(
     skip: Sequence[str] = ("QC",),
 ) -> DataFrame:
     """Overdue cases without a scan in the last hours, outside QC and planning."""
-    limit = F.lit(now - timedelta(hours=hours)).cast("timestamp_ntz")
+    limit = wall_clock(now - timedelta(hours=hours))
     listed = F.coalesce(F.col("location").isin(list(planning) + list(skip)), F.lit(False))
     return flagged.filter(
         F.col("is_overdue") & ~listed & F.coalesce(F.col("last_scan") < limit, F.lit(True))

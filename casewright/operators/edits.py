@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions import text as X
+from casewright.sources.tables import small_table
 
 
 def fold_duplicates(
@@ -75,7 +76,7 @@ def apply_edits(
 
 def recipients(df: DataFrame, departments: Sequence[str], default: Sequence[str] = ()) -> DataFrame:
     """Recipient lists per department from JSON texts; every known department appears."""
-    known = df.sparkSession.createDataFrame([(d,) for d in departments], "department string")
+    known = small_table(df.sparkSession, department=list(departments))
     parsed = df.select("department", X.json_text_list(F.col("emails")).alias("emails"))
     fallback = F.array(*[F.lit(v) for v in default]).cast("array<string>")
     return known.join(parsed, "department", "left").withColumn("emails", F.coalesce("emails", fallback))

@@ -127,9 +127,17 @@ def combine(hours: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def _mean(value: Column) -> Column:
-    """Mean of a decimal column through its exact sum."""
-    return F.sum(value).cast("double") / F.nullif(F.count(value), F.lit(0).cast("bigint"))
+CENTS = "__cents"
+
+
+def _cents(daily: DataFrame) -> DataFrame:
+    """Efficiency in whole hundredths, null where it is zero: sums are exact and cheap."""
+    cents = (F.col("efficiency") * 100).cast("bigint")
+    return daily.withColumn(CENTS, F.nullif(cents, F.lit(0).cast("bigint")))
+
+
+def _mean(cents: Column) -> Column:
+    return F.sum(cents) / F.lit(100.0) / F.nullif(F.count(cents), F.lit(0).cast("bigint"))
 
 
 def latest_attributes(daily: DataFrame, newest: date | None = None) -> tuple[Column, Column]:
@@ -152,12 +160,11 @@ def efficiency_periods(
 
     Everything is one aggregate with one shuffle: every period is a conditional mean.
     """
-    worked = F.when(F.col("efficiency") != 0, F.col("efficiency"))
     means = [
-        (_mean(F.when(F.col("date").between(F.lit(lo), F.lit(hi)), worked)) * 0.01).alias(name)
+        (_mean(F.when(F.col("date").between(F.lit(lo), F.lit(hi)), F.col(CENTS))) * 0.01).alias(name)
         for name, lo, hi in efficiency_period_list(as_of, calendar)
     ]
-    return daily.groupBy("mt_name").agg(*latest_attributes(daily, newest), *means)
+    return _cents(daily).groupBy("mt_name").agg(*latest_attributes(daily, newest), *means)
 
 
 def drop_empty_periods(matrix: DataFrame, periods: Sequence[str]) -> DataFrame:
@@ -172,9 +179,9 @@ def drop_empty_periods(matrix: DataFrame, periods: Sequence[str]) -> DataFrame:
 def period_efficiency(daily: DataFrame, calendar: BusinessCalendar, *, as_of: date) -> DataFrame:
     """The same means in long form through a range join with the periods."""
     periods = efficiency_period_list(as_of, calendar)
-    rows = in_periods(daily.filter("efficiency <> 0"), "date", periods)
+    rows = in_periods(_cents(daily.filter("efficiency <> 0")), "date", periods)
     return rows.groupBy("mt_name", "period").agg(
-        F.count("*").alias("days"), _mean(F.col("efficiency")).alias("efficiency")
+        F.count("*").alias("days"), _mean(F.col(CENTS)).alias("efficiency")
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import text as X
+from casewright.functions.calendar import wall_clock
 from casewright.operators.pick import latest_per_key
 
 STAMP = "updated_at"
@@ -187,7 +188,7 @@ def upsert(
         F.col("__copies") > 1, F.raise_error(F.concat(F.lit("repeated key "), F.col(target.key)))
     ).otherwise(F.lit(True))
     new = one.withColumn("__new", checked).drop("__copies")
-    stamp = F.lit(now).cast("timestamp_ntz")
+    stamp = wall_clock(now)
     out = [target.id_column, target.key, *values, STAMP]
     if current is None:
         return new.filter("__new").select(

@@ -15,7 +15,7 @@ from casewright.functions.calendar import BusinessCalendar
 from casewright.operators.cases import adjust_rush_dates, count_in, with_location
 from casewright.operators.joins import day_spine, densify
 from casewright.operators.pick import of_cases, product_categories
-from casewright.sources.tables import between_days
+from casewright.sources.tables import between_days, small_table
 
 STATUSES = ("In Production", "Invoiced")
 TOTAL = "TOTAL"
@@ -286,9 +286,12 @@ def gemba_grid(
         calendar.next_day(as_of, 1),
         calendar.next_day(as_of, 2),
     ]
-    spine = df.sparkSession.createDataFrame(
-        [(loc, day, k) for loc in locations for k, day in enumerate(days)],
-        "location string, ship_date date, day_rank long",
+    cells = [(loc, day, k) for loc in locations for k, day in enumerate(days)]
+    spine = small_table(
+        df.sparkSession,
+        location=[loc for loc, _, _ in cells],
+        ship_date=[day for _, day, _ in cells],
+        day_rank=[k for _, _, k in cells],
     )
     measures = [F.count("*").alias("total"), F.count_if(X.is_rush(F.col("pan_number"))).alias("rush")]
     names = ["total", "rush"]

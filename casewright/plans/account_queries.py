@@ -231,7 +231,7 @@ def upsert_cases(lab: Lab) -> DataFrame:
     target = M.cases_target()
     charge = F.when(F.col("case_id") % 4 == 0, F.col("total_charge") + 1).otherwise(F.col("total_charge"))
     old = recent(cases, "date_in", 365, AS_OF).filter(
-        F.col("date_in") < F.lit(FIRST_RUN).cast("timestamp_ntz")
+        F.col("date_in") < K.wall_clock(FIRST_RUN)
     ).withColumn("total_charge", charge.cast("decimal(18,2)"))
     current = M.upsert(None, M.mapped_rows(old, target, parents), target, now=FIRST_RUN)
     source = M.mapped_rows(recent(cases, "date_in", 180, AS_OF), target, parents)
@@ -296,7 +296,7 @@ def apply_edits(lab: Lab) -> DataFrame:
         F.lit("first call").alias("outcome"),
         F.col("c_mktsegment").alias("notes"),
         F.lit(False).alias("completed"),
-        F.lit(datetime(2023, 12, 31)).cast("timestamp_ntz").alias("last_updated"),
+        K.wall_clock(datetime(2023, 12, 31)).alias("last_updated"),
     )
     event = F.col("event_type")
     edits = lab.table("events").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +54,11 @@ def read_table(
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A few literal rows, handed over as Arrow: a local relation whose true size Spark knows."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """Scan several tables and register each as a temporary view."""
     tables = {name: read_table(spark, folder, name) for name in names}

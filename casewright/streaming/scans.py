@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from casewright.functions.calendar import wall_clock
 from casewright.operators.tasks import explode_windows
 
 ALARM_SCHEMA = "case_number string, last_scan timestamp, alarm_at timestamp"
@@ -22,14 +23,15 @@ def latest_scans(history: DataFrame) -> DataFrame:
 
 def stale_cases(history: DataFrame, now: datetime, *, hours: int = 4) -> DataFrame:
     """Cases whose newest scan up to ``now`` is older than the given hours."""
-    seen = history.filter(F.col("complete_date") <= F.lit(now).cast("timestamp_ntz"))
-    limit = F.lit(now - timedelta(hours=hours)).cast("timestamp_ntz")
+    seen = history.filter(F.col("complete_date") <= wall_clock(now))
+    limit = wall_clock(now - timedelta(hours=hours))
     return latest_scans(seen).filter(F.col("last_scan") < limit)
 
 
 def hourly_counts(history: DataFrame) -> DataFrame:
     """Task rows per employee, task and hour."""
-    hour = F.date_trunc("hour", F.col("complete_date")).cast("timestamp_ntz")
+    midnight = F.to_date("complete_date").cast("timestamp_ntz")
+    hour = midnight + F.make_dt_interval(hours=F.hour("complete_date"))
     return history.groupBy(hour.alias("hour"), "completed_by", "task").agg(F.count("*").alias("n"))
 
 
