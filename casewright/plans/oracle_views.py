@@ -32,6 +32,9 @@ def _fixed() -> dict[str, str]:
         "v_planning": "SELECT * FROM (VALUES "
         + _values([(v,) for v in V.PLANNING_LOCATIONS])
         + ") t(location)",
+        "v_priority": "SELECT * FROM (VALUES "
+        + _values([(v, i) for i, v in enumerate(V.CATEGORY_PRIORITY, 1)])
+        + ") t(pattern, pos)",
         "v_location_order": "SELECT * FROM (VALUES "
         + _values([(v, i) for i, v in enumerate(V.LOCATION_ORDER, 1)])
         + ") t(location, pos)",
@@ -247,13 +250,10 @@ VIEWS = {
           LEFT JOIN supplier s ON s.s_suppkey = c.last_location_id LEFT JOIN v_location v ON v.id = s.s_nationkey""",
     "best_category": """
         SELECT case_id, category FROM (
-          SELECT cp.case_id, p.category, row_number() OVER (PARTITION BY cp.case_id ORDER BY
-            CASE WHEN p.category = 'Hybrid' THEN 1 WHEN p.category LIKE 'E%Expander%' THEN 2
-              WHEN p.category = 'Lab to Lab' THEN 3 WHEN p.category = 'Marpe' THEN 4
-              WHEN p.category = 'Metal' THEN 5 WHEN p.category = 'Clear' THEN 6
-              WHEN p.category = 'Wire Bending' THEN 7 WHEN p.category = 'Airway' THEN 8 ELSE 99 END,
-            p.category DESC) AS rn
+          SELECT cp.case_id, p.category, row_number() OVER (
+            PARTITION BY cp.case_id ORDER BY coalesce(v.pos, 99), p.category DESC) AS rn
           FROM case_products cp JOIN products p ON p.product_id = cp.product_id
+            LEFT JOIN v_priority v ON p.category LIKE v.pattern
           WHERE p.category IS NOT NULL) x WHERE rn = 1""",
     "latest_task": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY complete_date DESC NULLS LAST,
@@ -296,12 +296,10 @@ VIEWS = {
           FROM located l JOIN cal c ON c.d = CAST(l.ship_date AS DATE)
             JOIN (
               SELECT case_id, category FROM (
-                SELECT cp.case_id, p.category, row_number() OVER (PARTITION BY cp.case_id ORDER BY
-                  CASE WHEN p.category = 'Hybrid' THEN 1 WHEN p.category LIKE 'E%Expander%' THEN 2
-                    WHEN p.category = 'Lab to Lab' THEN 3 WHEN p.category = 'Marpe' THEN 4
-                    WHEN p.category = 'Metal' THEN 5 WHEN p.category = 'Clear' THEN 6
-                    WHEN p.category = 'Wire Bending' THEN 7 ELSE 99 END, p.category DESC) AS rn
+                SELECT cp.case_id, p.category, row_number() OVER (
+                  PARTITION BY cp.case_id ORDER BY coalesce(v.pos, 99), p.category DESC) AS rn
                 FROM case_products cp JOIN products p ON p.product_id = cp.product_id
+                  LEFT JOIN v_priority v ON p.category LIKE v.pattern
                 WHERE p.category <> 'Airway') x WHERE rn = 1
               UNION ALL
               SELECT case_id, NULL FROM cases WHERE NOT EXISTS (

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,20 +121,17 @@ def guarded_write(
 ) -> WriteReport:
     """Write a new version, check it, publish it, prune old ones.
 
-    The rows are counted while they are written. An empty result never replaces a filled one; a
-    loss of more than half of the rows is published with a warning. ``df`` may read the current
-    version, since that stays until it is pruned.
+    The rows are counted in the written files, so a retried task counts once. An empty result never
+    replaces a filled one; a loss of more than half of the rows is published with a warning. ``df``
+    may read the current version, since that stays until it is pruned.
     """
     spark = df.sparkSession
     folder = Folder(spark, path)
     version = f"v_{now:%Y%m%d_%H%M%S_%f}"
     known = _pointer(spark, path)
     previous = known[1] if known else 0
-    counted = Observation(version)
-    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(
-        f"{folder.path}/{version}"
-    )
-    rows = counted.get["rows"]
+    df.write.mode("errorifexists").parquet(f"{folder.path}/{version}")
+    rows = spark.read.schema(df.schema).parquet(f"{folder.path}/{version}").count()
     if rows == 0 and previous > 0:
         folder.delete(version)
         log.error("%s: empty result not published over %d rows", path, previous)
