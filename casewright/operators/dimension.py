@@ -12,7 +12,7 @@ from casewright import vocabulary as V
 from casewright.functions import text as X
 
 
-def repair_teams(df: DataFrame, names: Sequence[str], *, team: str = "team", name: str = "mt_name") -> DataFrame:
+def repair_teams(df: DataFrame, names: Sequence[str], *, team: str = "team", name: str = "staff_name") -> DataFrame:
     """Broken team codes of the listed people become the hidden team."""
     broken = F.col(team).isin(V.BROKEN_TEAM_CODES) & F.col(name).isin(list(names))
     return df.withColumn(team, F.when(broken, F.lit(V.HIDDEN_TEAM)).otherwise(F.col(team)))

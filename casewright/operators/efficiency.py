@@ -100,14 +100,14 @@ def daily_tasks(history: DataFrame, plan: DataFrame, order: Sequence[Column]) ->
 def with_employee(hours: DataFrame, employees: DataFrame) -> DataFrame:
     """Timesheet rows with their employee; unmatched names get id and plan 0."""
     side = employees.select(
-        F.col("gusto_name").alias("name"), "gusto_name", "employee_id", "mt_name", "team", "training_plan"
+        F.col("payroll_name").alias("name"), "payroll_name", "employee_id", "staff_name", "team", "training_plan"
     )
     return hours.join(side, "name", "left").na.fill(0, ["employee_id", "training_plan"])
 
 
 def unmatched_names(hours: DataFrame, employees: DataFrame) -> DataFrame:
     """Timesheet names without an employee, with their number of days."""
-    side = employees.select(F.col("gusto_name").alias("name"))
+    side = employees.select(F.col("payroll_name").alias("name"))
     return hours.join(side, "name", "left_anti").groupBy("name").agg(F.count("*").alias("days"))
 
 
@@ -164,7 +164,7 @@ def efficiency_periods(
         (_mean(F.when(F.col("date").between(F.lit(lo), F.lit(hi)), F.col(CENTS))) * 0.01).alias(name)
         for name, lo, hi in efficiency_period_list(as_of, calendar)
     ]
-    return _cents(daily).groupBy("mt_name").agg(*latest_attributes(daily, newest), *means)
+    return _cents(daily).groupBy("staff_name").agg(*latest_attributes(daily, newest), *means)
 
 
 def drop_empty_periods(matrix: DataFrame, periods: Sequence[str]) -> DataFrame:
@@ -180,7 +180,7 @@ def period_efficiency(daily: DataFrame, calendar: BusinessCalendar, *, as_of: da
     """The same means in long form through a range join with the periods."""
     periods = efficiency_period_list(as_of, calendar)
     rows = in_periods(_cents(daily.filter("efficiency <> 0")), "date", periods)
-    return rows.groupBy("mt_name", "period").agg(
+    return rows.groupBy("staff_name", "period").agg(
         F.count("*").alias("days"), _mean(F.col(CENTS)).alias("efficiency")
     )
 
@@ -229,7 +229,7 @@ def midday_snapshot(
     rows = explode_windows(rows, "complete_date", windows, closed=True)
     totals = employee_totals(rows, ["data_date", "window"])
     named = totals.join(
-        employees.select(F.col("employee_id").cast("bigint").alias("employee_id"), "mt_name", "team"),
+        employees.select(F.col("employee_id").cast("bigint").alias("employee_id"), "staff_name", "team"),
         "employee_id",
         "inner",
     )
@@ -240,7 +240,7 @@ def midday_snapshot(
             "data_date",
             "window",
             "team",
-            F.col("mt_name").alias("name"),
+            F.col("staff_name").alias("name"),
             "cases_worked_on",
             "tasks_completed",
             "tasks_duration_hours",

@@ -22,7 +22,7 @@ def employee_name(
     """Short employee name of an id; unknown ids become ``fallback`` + id, other texts stay."""
     known = employees.select(
         F.col("employee_id").cast("bigint").alias("__emp"),
-        X.short_name(F.col("mt_name")).alias("__short"),
+        X.short_name(F.col("staff_name")).alias("__short"),
     )
     number = X.id_number(F.col(id_col))
     unknown = F.when(number.isNotNull(), F.concat(F.lit(fallback), F.trim(id_col))).otherwise(

@@ -67,7 +67,7 @@ ORACLE = {
     "remake_notes": """
         WITH ids AS (SELECT main_id AS id FROM remake_pairs UNION SELECT og_id FROM remake_pairs)
         SELECT n.call_id, n.note, n.user_id, k.anchor_case_id, k.link_case_id,
-          coalesce(e.mt_name, trim(n.user_id), '') AS user_name
+          coalesce(e.staff_name, trim(n.user_id), '') AS user_name
         FROM call_notes n JOIN case_calls k ON k.call_id = n.call_id
           LEFT JOIN employees e ON e.employee_id = CAST(try_cast(n.user_id AS DOUBLE) AS BIGINT)
         WHERE k.anchor_case_id IN (SELECT id FROM ids) OR k.link_case_id IN (SELECT id FROM ids)""",
@@ -249,8 +249,8 @@ ORACLE = {
         UNION ALL SELECT 'documents', count(*), NULL FROM documents""",
     "rename_reapply": """
         SELECT date, employee_id,
-          CASE WHEN employee_id % 2 = 0 THEN 'New ' || mt_name ELSE mt_name END AS mt_name,
-          CASE WHEN team IS NULL AND mt_name IN ('Given11 Mid Family11', 'Given33 Mid Family33') THEN 'z_Not On Report'
+          CASE WHEN employee_id % 2 = 0 THEN 'New ' || staff_name ELSE staff_name END AS staff_name,
+          CASE WHEN team IS NULL AND staff_name IN ('Given11 Mid Family11', 'Given33 Mid Family33') THEN 'z_Not On Report'
             WHEN team IS NULL THEN '0' WHEN employee_id % 4 = 0 THEN team WHEN team = 'BUILDING' THEN 'Bricks'
             WHEN team = 'MACHINERY' THEN 'Engines' ELSE team END AS team,
           CAST(CASE WHEN employee_id % 2 = 0 THEN 9 ELSE training_plan END AS BIGINT) AS training_plan

@@ -345,12 +345,12 @@ def rename_reapply(lab: Lab) -> DataFrame:
     renamed = D.rename_values(daily(lab), "team", {"BUILDING": "Bricks", "MACHINERY": "Engines"})
     current = lab.employees().filter(F.col("employee_id") % 2 == 0).select(
         F.col("employee_id").cast("bigint").alias("employee_id"),
-        F.concat(F.lit("New "), "mt_name").alias("mt_name"),
+        F.concat(F.lit("New "), "staff_name").alias("staff_name"),
         F.when(F.col("employee_id") % 4 == 0, F.col("team")).alias("team"),
         F.lit(9).alias("training_plan"),
     )
     fixed = D.reapply_dimension(
-        renamed, current, key="employee_id", columns=["mt_name", "team", "training_plan"]
+        renamed, current, key="employee_id", columns=["staff_name", "team", "training_plan"]
     )
     fixed = D.repair_teams(fixed.fillna("0", ["team"]), ["Given11 Mid Family11", "Given33 Mid Family33"])
-    return fixed.select("date", "employee_id", "mt_name", "team", "training_plan")
+    return fixed.select("date", "employee_id", "staff_name", "team", "training_plan")

@@ -296,8 +296,8 @@ class Lab:
             .select(
                 key.alias("employee_id"),
                 F.concat(F.lit("Given"), key.cast("string"), F.lit(" Mid Family"), key.cast("string"))
-                .alias("mt_name"),
-                F.concat(F.lit("payroll "), key.cast("string")).alias("gusto_name"),
+                .alias("staff_name"),
+                F.concat(F.lit("payroll "), key.cast("string")).alias("payroll_name"),
                 F.when(F.col("c_mktsegment") == "HOUSEHOLD", "z_Not On Report")
                 .when(key % 11 != 0, F.col("c_mktsegment"))
                 .alias("team"),

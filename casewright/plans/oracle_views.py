@@ -177,8 +177,8 @@ VIEWS = {
                 ORDER BY complete_date DESC, event_id DESC) AS rn FROM task_history) x
         WHERE rn = 1""",
     "employees": """
-        SELECT c_custkey AS employee_id, 'Given' || c_custkey || ' Mid Family' || c_custkey AS mt_name,
-          'payroll ' || c_custkey AS gusto_name,
+        SELECT c_custkey AS employee_id, 'Given' || c_custkey || ' Mid Family' || c_custkey AS staff_name,
+          'payroll ' || c_custkey AS payroll_name,
           CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'z_Not On Report'
                WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS team,
           CAST(c_custkey % 3 AS INTEGER) AS training_plan
@@ -322,11 +322,11 @@ VIEWS = {
             coalesce(past_due_90, 0) AS d90, coalesce(past_due_over_90, 0) AS d90p FROM customers) c
         WHERE NOT deleted AND d90 + d90p > 0 AND coalesce(dental_group, '') <> 'ASIA'""",
     "daily_eff": """
-        SELECT t.date, e.employee_id, e.mt_name, e.team, e.training_plan, t.work_hours,
+        SELECT t.date, e.employee_id, e.staff_name, e.team, e.training_plan, t.work_hours,
           k.cases_worked_on, k.tasks_completed, k.hours,
           CASE WHEN t.work_hours = 0 THEN 0 ELSE
             CAST(round_even(CAST(k.hours * 10000 AS DOUBLE) / t.work_hours, 0) AS BIGINT) END AS cents
-        FROM timesheets t JOIN employees e ON e.gusto_name = t.name
+        FROM timesheets t JOIN employees e ON e.payroll_name = t.name
         JOIN (SELECT CAST(h.complete_date AS DATE) AS date, CAST(h.completed_by AS BIGINT) AS employee_id,
                 count(DISTINCT h.case_number) AS cases_worked_on, count(*) AS tasks_completed,
                 sum(coalesce(p.duration, 0)) AS hours

@@ -9,7 +9,7 @@ _SIX_DAYS = (
 )
 _SHORT = """CASE WHEN {0} IS NULL OR trim({0}) = '' THEN 'Unknown' WHEN trim({0}) NOT LIKE '% %' THEN {0}
   ELSE regexp_extract(trim({0}), '^\\S+') || ' ' || substr(regexp_extract(trim({0}), '\\S+$'), 1, 1) || '.' END"""
-_EMP_NAME = "coalesce(" + _SHORT.format("e.mt_name").replace("'Unknown'", "NULL") + ", 'ID:' || t.completed_by)"
+_EMP_NAME = "coalesce(" + _SHORT.format("e.staff_name").replace("'Unknown'", "NULL") + ", 'ID:' || t.completed_by)"
 _LABEL = "strftime(day, '%a ') || month(day) || '/' || day(day)"
 _AIRWAY = """
   SELECT completed_by, CAST(complete_date AS DATE) AS day,
@@ -38,7 +38,7 @@ _WINDOWED = """
     AND h.complete_date <= date_trunc('day', h.complete_date) + to_hours(w.hi)
   WHERE h.rejected = 'No' AND h.complete_date >= TIMESTAMP '2024-01-11' AND h.complete_date < TIMESTAMP '2024-01-20'"""
 _SNAPSHOT = """
-  SELECT x.data_date, x.window, coalesce(e.team, 'Unknown') AS team, e.mt_name AS name,
+  SELECT x.data_date, x.window, coalesce(e.team, 'Unknown') AS team, e.staff_name AS name,
     count(DISTINCT x.case_number) AS cases_worked_on, count(*) AS tasks_completed,
     CAST(sum(p.duration) AS DOUBLE) AS tasks_duration_hours
   FROM ({windowed}) x JOIN {plan} p ON p.case_id = x.case_id AND p.task = x.task
@@ -145,17 +145,17 @@ ORACLE = {
         more="AND day(x.data_date) % 2 = 1 AND x.data_date BETWEEN DATE '2024-01-12' AND DATE '2024-01-18'",
     ),
     "daily_efficiency": """
-        SELECT date, employee_id, mt_name, team, CAST(training_plan AS BIGINT) AS training_plan, work_hours,
+        SELECT date, employee_id, staff_name, team, CAST(training_plan AS BIGINT) AS training_plan, work_hours,
           cases_worked_on, tasks_completed, CAST(hours AS DOUBLE) AS tasks_duration_hours,
           cents / CAST(100 AS DOUBLE) AS efficiency FROM daily_eff""",
     "efficiency_periods": f"""
-        SELECT mt_name, arg_min(team, date) FILTER (WHERE team IS NOT NULL) AS team,
+        SELECT staff_name, arg_min(team, date) FILTER (WHERE team IS NOT NULL) AS team,
           CAST(coalesce(max(training_plan) FILTER (WHERE date = (SELECT max(date) FROM daily_eff)), 0) AS BIGINT)
             AS training_plan,
           {_period_means()}
-        FROM daily_eff GROUP BY mt_name""",
+        FROM daily_eff GROUP BY staff_name""",
     "period_efficiency": f"""
-        SELECT mt_name, p.name AS period, count(*) AS days,
+        SELECT staff_name, p.name AS period, count(*) AS days,
           sum(cents) / CAST(100 AS DOUBLE) / count(*) AS efficiency
         FROM daily_eff JOIN (VALUES {_PERIOD_ROWS}) p(name, lo, hi) ON date BETWEEN p.lo AND p.hi
         WHERE cents <> 0 GROUP BY 1, 2""",

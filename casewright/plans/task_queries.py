@@ -115,7 +115,7 @@ def daily_efficiency(lab: Lab) -> DataFrame:
     return daily(lab).select(
         "date",
         "employee_id",
-        "mt_name",
+        "staff_name",
         "team",
         "training_plan",
         "work_hours",

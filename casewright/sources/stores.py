@@ -24,8 +24,8 @@ log = logging.getLogger(__name__)
 DAILY_SCHEMA = T.StructType(
     [
         T.StructField("employee_id", T.LongType()),
-        T.StructField("gusto_name", T.StringType()),
-        T.StructField("mt_name", T.StringType()),
+        T.StructField("payroll_name", T.StringType()),
+        T.StructField("staff_name", T.StringType()),
         T.StructField("team", T.StringType()),
         T.StructField("training_plan", T.IntegerType()),
         T.StructField("work_hours", T.DoubleType()),
@@ -147,7 +147,7 @@ def guarded_write(
     return WriteReport(True, version, rows, previous, warning)
 
 
-REQUIRED_HISTORY = ["date", "employee_id", "mt_name", "team", "efficiency"]
+REQUIRED_HISTORY = ["date", "employee_id", "staff_name", "team", "efficiency"]
 
 
 def import_history(df: DataFrame, required: Sequence[str] = REQUIRED_HISTORY) -> DataFrame:

@@ -14,8 +14,8 @@ LOOKUP_SCHEMAS = {
     "employees": T.StructType(
         [
             T.StructField("employee_id", T.IntegerType()),
-            T.StructField("mt_name", T.StringType()),
-            T.StructField("gusto_name", T.StringType()),
+            T.StructField("staff_name", T.StringType()),
+            T.StructField("payroll_name", T.StringType()),
             T.StructField("team", T.StringType()),
             T.StructField("training_plan", T.IntegerType()),
         ]

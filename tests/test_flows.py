@@ -32,7 +32,7 @@ def test_upload_twice(spark, tmp_path):
     )
     staff = spark.createDataFrame(
         [("pay ann", 7, "Ann", "T", 1)],
-        "gusto_name string, employee_id int, mt_name string, team string, training_plan int",
+        "payroll_name string, employee_id int, staff_name string, team string, training_plan int",
     )
     for k in range(2):
         report = flows.upload_timesheets(
@@ -60,7 +60,7 @@ def test_sync_twice(spark, tmp_path):
     lab = Lab(spark, FOLDER)
     staff = lab.employees().select(
         "employee_id",
-        F.col("mt_name").alias("first_name"),
+        F.col("staff_name").alias("first_name"),
         F.lit(None).cast("string").alias("last_name"),
         F.col("team").alias("department"),
         F.lit("tech").alias("position"),

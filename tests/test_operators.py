@@ -300,7 +300,7 @@ def test_fan_out_totals_equal_the_pairs(spark):
         [(1, "t", 1, "1.0", 1), (1, "t", 1, "2.0", 2)],
         "case_id long, task string, case_product_id int, duration string, plan_id int",
     )
-    staff = spark.createDataFrame([(7, "Ann Lee", None)], "employee_id int, mt_name string, team string")
+    staff = spark.createDataFrame([(7, "Ann Lee", None)], "employee_id int, staff_name string, team string")
     order = [F.col("plan_id").asc()]
 
     def run(**options):
@@ -312,7 +312,7 @@ def test_fan_out_totals_equal_the_pairs(spark):
     assert run(fan_out=True) == {"noon": ("Unknown", 1, 2, 3.0), "3pm": ("Unknown", 1, 4, 6.0)}
 
 
-DAILY = "date date, employee_id long, mt_name string, team string, training_plan int, efficiency string"
+DAILY = "date date, employee_id long, staff_name string, team string, training_plan int, efficiency string"
 
 
 def test_period_matrix(spark):
@@ -325,20 +325,20 @@ def test_period_matrix(spark):
     ]
     daily = spark.createDataFrame(rows, DAILY).withColumn("efficiency", F.col("efficiency").cast("decimal(18,2)"))
     matrix = E.efficiency_periods(daily, CALENDAR, as_of=MONDAY)
-    got = {r.mt_name: r for r in matrix.collect()}
+    got = {r.staff_name: r for r in matrix.collect()}
     assert got["Ann"].days_ago_1 == 0.5 and got["Ann"].days_ago_2 is None
     assert got["Ann"].last_week == 0.625 and got["Ann"].months_ago_1 == 0.75
     assert (got["Ann"].team, got["Ann"].training_plan) == ("A", 1)
     assert got["Bob"].days_ago_1 is None and got["Cy"].training_plan == 0 and got["Cy"].week_0 is None
-    names = [c for c in matrix.columns if c not in ("mt_name", "team", "training_plan")]
+    names = [c for c in matrix.columns if c not in ("staff_name", "team", "training_plan")]
     assert len(names) == 31
     kept = E.drop_empty_periods(matrix, names).columns
     assert "days_ago_1" in kept and "days_ago_2" not in kept
-    shown = E.render_sentinel(matrix.select("mt_name", "days_ago_1"), ["days_ago_1"])
-    assert {r.mt_name: r.days_ago_1 for r in shown.collect()} == {"Ann": "0.5", "Bob": "x", "Cy": "x"}
+    shown = E.render_sentinel(matrix.select("staff_name", "days_ago_1"), ["days_ago_1"])
+    assert {r.staff_name: r.days_ago_1 for r in shown.collect()} == {"Ann": "0.5", "Bob": "x", "Cy": "x"}
     back = E.restore_sentinel(shown, ["days_ago_1"])
-    assert {r.mt_name: r.days_ago_1 for r in back.collect()} == {"Ann": 0.5, "Bob": None, "Cy": None}
-    long = {(r.mt_name, r.period): r.efficiency for r in E.period_efficiency(daily, CALENDAR, as_of=MONDAY).collect()}
+    assert {r.staff_name: r.days_ago_1 for r in back.collect()} == {"Ann": 0.5, "Bob": None, "Cy": None}
+    long = {(r.staff_name, r.period): r.efficiency for r in E.period_efficiency(daily, CALENDAR, as_of=MONDAY).collect()}
     for name in ("days_ago_1", "last_week", "months_ago_1"):
         assert long[("Ann", name)] / 100 == getattr(got["Ann"], name)
 
@@ -350,14 +350,14 @@ def test_combine_and_unmatched_names(spark):
     )
     staff = spark.createDataFrame(
         [("a", 1, "Ann", "T", 2), ("b", 2, "Bob", None, 0)],
-        "gusto_name string, employee_id int, mt_name string, team string, training_plan int",
+        "payroll_name string, employee_id int, staff_name string, team string, training_plan int",
     )
     tasks = spark.createDataFrame([(1, "1.0001"), (2, "3")], "employee_id long, h string").select(
         "employee_id", F.col("h").cast("decimal(38,4)").alias("tasks_duration_hours")
     )
     joined = E.with_employee(hours, staff)
     assert {(r.name, r.employee_id, r.training_plan) for r in joined.collect()} == {("a", 1, 2), ("b", 2, 0), ("ghost", 0, 0)}
-    got = {r.mt_name: r.efficiency for r in E.combine(joined, tasks).collect()}
+    got = {r.staff_name: r.efficiency for r in E.combine(joined, tasks).collect()}
     assert got == {"Ann": Decimal("12.50"), "Bob": Decimal("0.00")}
     assert [tuple(r) for r in E.unmatched_names(hours, staff).collect()] == [("ghost", 1)]
 
@@ -376,7 +376,7 @@ def test_employee_lists_sort_by_count(spark):
 
 
 def test_unknown_ids_keep_their_text(spark):
-    staff = spark.createDataFrame([(12, "Ann Mary Lee")], "employee_id int, mt_name string")
+    staff = spark.createDataFrame([(12, "Ann Mary Lee")], "employee_id int, staff_name string")
     df = spark.createDataFrame([("12.0",), ("99",), ("walk-in",), (None,)], "id string")
     assert [r.emp_name for r in T.employee_name(df, staff, "id").collect()] == ["Ann L.", "ID:99", "walk-in", ""]
     names = R.resolve_names(df, staff, "id", "who").collect()
@@ -525,14 +525,14 @@ def test_tabs_search_and_pages(spark):
 
 
 def test_dimension_reapply(spark):
-    history = spark.createDataFrame([(1, "old", "t"), (2, "keep", "u")], "id int, mt_name string, team string")
-    dim = spark.createDataFrame([(1, "new", None)], "id int, mt_name string, team string")
-    got = D.reapply_dimension(history, dim, key="id", columns=["mt_name", "team"]).orderBy("id").collect()
+    history = spark.createDataFrame([(1, "old", "t"), (2, "keep", "u")], "id int, staff_name string, team string")
+    dim = spark.createDataFrame([(1, "new", None)], "id int, staff_name string, team string")
+    got = D.reapply_dimension(history, dim, key="id", columns=["staff_name", "team"]).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, "new", "t"), (2, "keep", "u")]
     with pytest.raises(PySparkException, match="repeated key 1"):
-        D.reapply_dimension(history, dim.union(dim), key="id", columns=["mt_name"]).collect()
+        D.reapply_dimension(history, dim.union(dim), key="id", columns=["staff_name"]).collect()
     fixed = D.repair_teams(
-        spark.createDataFrame([("0", "Ann"), ("0", "Bob"), ("A", "Ann")], "team string, mt_name string"), ["Ann"]
+        spark.createDataFrame([("0", "Ann"), ("0", "Bob"), ("A", "Ann")], "team string, staff_name string"), ["Ann"]
     )
     assert [r.team for r in fixed.collect()] == [V.HIDDEN_TEAM, "0", "A"]
 

@@ -79,4 +79,4 @@ def test_scans_read_only_needed_columns(spark):
 def test_period_matrix_shuffles_its_employees_once(big_tables):
     text = plan(QUERIES["efficiency_periods"](big_tables, FOLDER))
     main = text.split("Subquery")[0]
-    assert len(re.findall(r"Exchange hashpartitioning\(mt_name", main)) <= 1
+    assert len(re.findall(r"Exchange hashpartitioning\(staff_name", main)) <= 1

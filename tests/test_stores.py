@@ -113,7 +113,7 @@ def test_bound_sql_and_windows(spark):
 def test_import_history(spark):
     df = spark.createDataFrame(
         [("45000", "12.0", "Ann", "nan", "1"), ("2026-07-01 00:00:00", "7", "nan", " A ", "2")],
-        "date string, employee_id string, mt_name string, team string, efficiency string",
+        "date string, employee_id string, staff_name string, team string, efficiency string",
     )
     got = S.import_history(df)
     assert rows(got, "date") == [
