@@ -4,10 +4,11 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from casewright import plans
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = plans.queries()
+ORACLE = plans.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +20,7 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert sorted(QUERIES) == sorted(ORACLE)
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLE.keys() <= entry.oracle_sql().keys()
 
 
 def test_entry_returns_rows(spark):
