@@ -4,9 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import near_dedup
+from casewright.llm import (
+    chat,
+    exact_dedup,
+    langid,
+    mixing,
+    near_dedup,
+    outliers,
+    packing,
+    quality,
+    token_counts,
+    url_filter,
+)
+from casewright.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,9 +34,56 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages")).drop("n_tried")
+
+
+@query
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.graded(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.sql(
+        f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)"
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.digests(chat.format_conversations(turns))
+
+
+@query
+def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
-ORACLE: dict[str, str] = {}
+@query
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judge(table(spark, folder, "documents"), ["doc_id"]).drop("distance")
