@@ -237,7 +237,7 @@ def label_block(model: Model, rows: pa.RecordBatch, data: np.ndarray, offsets: n
     scores = np.concatenate([s for s, _, _ in scored])
     sizes = np.concatenate([n for _, n, _ in scored])
     of = np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, _, o in scored]))]
-    labels = best_paths(scores, of)
+    labels = best_paths(scores, of) if model.languages else np.zeros(len(scores), np.int64)
     texts, langs, shares, spans = rows.column("text"), [], [], []
     for k in range(len(of) - 1):
         own = slice(of[k], of[k + 1])

@@ -11,11 +11,13 @@ the same for all, so only 33 are posted. The order puts values that very many do
 skips their lists unless most of a document is common text. The table of common values is bounded
 (``COMMON_VALUES``); which values it holds changes the cost, never the result.
 
-Every stage is linear in a group's size. Texts with one set are one class. A list first links its members to
-its smallest member only; what is then connected needs no further pair. Lists whose members still lie in
-different components are compared block by block inside tasks (long lists are dealt out by pairs of blocks),
-and only pairs at or above the match threshold leave the task. Sets are known by 64-bit shingle hashes,
-classes by 128 bits.
+Groups are not expanded into pairs. Texts with one set are one class. In ``ROUNDS`` rounds a list links its
+members to one pivot only, later those outside its largest component to a pivot of that component; what is
+connected needs no further pair. Lists whose members then still lie in different components are compared inside
+tasks: members outside the largest component with all others, long lists dealt out by pairs of blocks. A pair is
+looked at in the first list that both are posted in, and leaves the task only if it also reaches the threshold of
+a finer signature (1,024 coordinates of 8 bits, made for these documents only). Sets are known by 64-bit shingle
+hashes, classes by 128 bits.
 """
 
 from __future__ import annotations
@@ -39,20 +41,24 @@ COMMON_VALUES = 20_000
 COMMON_IN_PART = 8
 BLOCK_ROWS = 1024
 PIVOT_ROWS = 512
+ROUNDS = 3
+FINE = 1024
+#: At a similarity of 0.75 fewer than this many of the fine coordinates agree with a chance of about 1e-6.
+FINE_MATCHES = 702
 
-FLIPS = ragged.numbers(21, COORDINATES)
-FACTORS = ragged.numbers(22, COORDINATES) | ragged.U64(1)
+FLIPS = ragged.numbers(21, COORDINATES + FINE)
+FACTORS = ragged.numbers(22, COORDINATES + FINE) | ragged.U64(1)
 DIGEST_SEEDS = ragged.numbers(23, 2)
 
 
-def signatures_of(sets: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """One row of coordinates per set; sets must not be empty."""
-    out = np.empty((len(of) - 1, COORDINATES), np.uint32)
+def signatures_of(sets: np.ndarray, of: np.ndarray, coordinates: range = range(COORDINATES), kind: type = np.uint32) -> np.ndarray:
+    """One row of coordinates per set, each cut to ``kind``; sets must not be empty."""
+    out = np.empty((len(of) - 1, len(coordinates)), kind)
     work = np.empty_like(sets)
-    for c in range(COORDINATES):
+    for k, c in enumerate(coordinates):
         np.bitwise_xor(sets, FLIPS[c], out=work)
         np.multiply(work, FACTORS[c], out=work)
-        out[:, c] = np.minimum.reduceat(work, of[:-1]) >> ragged.U64(32)
+        out[:, k] = (np.minimum.reduceat(work, of[:-1]) >> ragged.U64(32)).astype(kind)
     return out
 
 
@@ -64,11 +70,6 @@ def digests_of(sets: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def fixed(rows: np.ndarray) -> pa.Array:
-    """Rows of numbers as binary cells."""
-    return pa.array([r.tobytes() for r in np.ascontiguousarray(rows)], pa.binary())
-
-
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, file, position, text) -> the same without text, set size, digest and signature (null without words)."""
     for batch in batches:
@@ -90,10 +91,10 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def sign_matrix(column: pa.Array) -> np.ndarray:
+def sign_matrix(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
     """Signatures of a batch as rows of coordinates."""
-    data, _ = ragged.as_bytes(column.cast(pa.large_binary()).view(pa.large_string()))
-    return data.view(np.uint32).reshape(-1, COORDINATES)
+    data, offsets = ragged.as_bytes(column.cast(pa.large_binary()).view(pa.large_string()))
+    return data.view(kind).reshape(len(offsets) - 1, -1)
 
 
 def keys_of(signs: np.ndarray) -> np.ndarray:
@@ -110,24 +111,38 @@ def common_in_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(counts[often])], names=["key", "n"])
 
 
-def poster(common: np.ndarray):
-    """Posts each class under the first ``PREFIX`` coordinates, common values coming last."""
+def posted(signs: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The coordinates under which each class is posted: the first ``PREFIX``, those with common values coming last."""
+    rare = np.ones(signs.shape, bool)
+    if len(common):
+        keys = keys_of(signs)
+        rare = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] != keys
+    return np.sort(np.argsort(~rare, axis=1, kind="stable")[:, :PREFIX], axis=1)
+
 
+def poster(common: np.ndarray):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = keys_of(sign_matrix(batch.column("sign")))
-            if len(common):
-                at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-                order = np.argsort(common[at] == keys, axis=1, kind="stable")[:, :PREFIX]
-                keys = np.take_along_axis(keys, order, axis=1)
-            nodes = np.repeat(batch.column("node").to_numpy(), PREFIX)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, :PREFIX].ravel()), pa.array(nodes)], names=["key", "node"])
+            if batch.num_rows:
+                signs = sign_matrix(batch.column("sign"))
+                keys = np.take_along_axis(keys_of(signs), posted(signs, common), axis=1)
+                nodes = np.repeat(batch.column("node").to_numpy(), PREFIX)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], names=["key", "node"])
 
     return post
 
 
+def fine_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) -> (node, fine)."""
+    for batch in batches:
+        data, offsets = ragged.as_bytes(batch.column("text"))
+        for first, end, part, part_of in ragged.blocks(data, offsets):
+            fine = signatures_of(*ragged.shingles(part, part_of), range(COORDINATES, COORDINATES + FINE), np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").slice(first, end - first), pa.array([r.tobytes() for r in fine], pa.binary())], names=["node", "fine"]
+            )
+
+
 def enough_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, sign_a, sign_b) -> the pairs that agree in ``MATCHES`` coordinates."""
     for batch in batches:
@@ -141,56 +156,74 @@ def close_in_size(a: str, b: str) -> F.Column:
     return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
 
 
-def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell (key, i, j) -> pairs of different components that agree in ``MATCHES`` coordinates.
+def cell_pairs(signs: np.ndarray, fine: np.ndarray, label: np.ndarray, size: np.ndarray, coordinates: np.ndarray, coordinate: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of ``left`` and ``right`` that reach both thresholds and first meet under ``coordinate``."""
+    for start in range(0, len(left), 256):
+        some = left[start : start + 256]
+        maybe = (label[some][:, None] != label[right]) & (
+            100 * np.minimum(size[some][:, None], size[right]) >= PERCENT * np.maximum(size[some][:, None], size[right])
+        )
+        if not maybe.any():
+            continue
+        same = np.zeros(maybe.shape, np.uint8)
+        for c in range(COORDINATES):
+            same += signs[some, c][:, None] == signs[right, c]
+        x, y = np.nonzero(maybe & (same >= MATCHES))
+        x, y = some[x], right[y]
+        for at in range(0, len(x), 4096):
+            a, b = x[at : at + 4096], y[at : at + 4096]
+            both = (signs[a] == signs[b]) & coordinates[a] & coordinates[b]
+            first = both.argmax(axis=1) == coordinate
+            a, b = a[first], b[first]
+            close = (fine[a] == fine[b]).sum(axis=1) >= FINE_MATCHES
+            yield a[close], b[close]
+
+
+def comparer(common: np.ndarray):
+    """Rows sorted by cell (key, i, j) -> pairs of different components that reach both thresholds, each pair once.
 
     Cells i = j compare all members with each other, others those of block i with those of block j.
     """
-    held: list[pa.RecordBatch] = []
-    held_rows = 0
 
-    def ready(cells: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ready(cells: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(cells).combine_chunks().to_batches()[0]
-        signs = sign_matrix(table.column("sign"))
+        signs, fine = sign_matrix(table.column("sign")), sign_matrix(table.column("fine"), np.uint8)
+        coordinates = np.zeros(signs.shape, bool)
+        np.put_along_axis(coordinates, posted(signs, common), True, axis=1)
         node, label, size, block = (table.column(n).to_numpy() for n in ("node", "label", "size", "block"))
         i, j, key = (table.column(n).to_numpy() for n in ("i", "j", "key"))
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        found: list[np.ndarray] = []
+        found = [np.empty((2, 0), np.int64)]
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
             rows = np.arange(a, b)
-            left, right = (rows, rows) if i[a] == j[a] else (rows[block[a:b] == i[a]], rows[block[a:b] == j[a]])
-            for start in range(0, len(left), 256):
-                some = left[start : start + 256]
-                maybe = (label[some][:, None] != label[right]) & (
-                    100 * np.minimum(size[some][:, None], size[right]) >= PERCENT * np.maximum(size[some][:, None], size[right])
-                )
-                if not maybe.any():
-                    continue
-                same = np.zeros(maybe.shape, np.uint8)
-                for c in range(COORDINATES):
-                    same += signs[some, c][:, None] == signs[right, c]
-                x, y = np.nonzero(maybe & (same >= MATCHES))
-                found.append(np.stack([node[some[x]], node[right[y]]]))
-        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        pairs = np.unique(np.stack([both.min(axis=0), both.max(axis=0)]), axis=1) if both.size else both
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            left, right = rows[block[a:b] == i[a]], rows[block[a:b] == j[a]]
+            for x, y in cell_pairs(signs, fine, label, size, coordinates, int(key[a] >> 32), left, right):
+                found.append(np.stack([node[x], node[y]]))
+        both = np.concatenate(found, axis=1)
+        pairs = np.unique(np.sort(both, axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        held_rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            held_rows += batch.num_rows
+            if held_rows < 4 * BLOCK_ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            i, j, key = (table.column(n).to_numpy() for n in ("i", "j", "key"))
+            other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield ready([table.slice(0, cut)])
+            held, held_rows = [table.slice(cut)], len(key) - cut
+        if held_rows:
+            yield ready(held)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        held_rows += batch.num_rows
-        if held_rows < 4 * BLOCK_ROWS:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        i, j, key = (table.column(n).to_numpy() for n in ("i", "j", "key"))
-        other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if cut:
-            yield from ready([table.slice(0, cut)])
-        held, held_rows = [table.slice(cut)], len(key) - cut
-    if held_rows:
-        yield from ready(held)
+    return compare
 
 
 def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,33 +291,59 @@ class NearDuplicates:
         tried = kept(self._matching(stars, signs), "near-stars")
         links = kept(self._confirmed(tried, texts), "near-links")
         roots = components(links)
-
-        labelled = shared.select("key", "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        mixed = (
-            labelled.groupBy("key")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-            .where("low < high")
-            .select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-        )
+        for turn in range(1, ROUNDS):
+            labelled, mixed = self._mixed(shared, roots, turn)
+            pairs = labelled.join(mixed, "key").where("label != top").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+            new = pairs.distinct().join(tried, ["a", "b"], "left_anti")
+            new = kept(self._matching(new, signs), "near-stars")
+            more = kept(self._confirmed(new, texts), "near-links")
+            tried, links = tried.union(new), links.union(more)
+            roots = components(links)
+
+        labelled, mixed = self._mixed(shared, roots, ROUNDS)
+        outside, blocks = (F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("others", "most"))
+        inside = labelled.join(mixed.select("key", "top", outside.alias("outside"), (outside + blocks).alias("blocks")), "key")
+        inside = kept(inside, "near-mixed")
+        fine = texts.join(inside.select("node").distinct(), "node", "left_semi").mapInArrow(fine_signs, "node long, fine binary")
+        details = kept(fine.join(signs, "node"), "near-fine")
+        is_top = F.col("label") == F.col("top")
+        code = F.xxhash64("node")
+        block = F.when(is_top, F.col("outside") + F.pmod(code, F.col("blocks") - F.col("outside"))).otherwise(F.pmod(code, F.col("outside")))
+        others = F.sequence(F.lit(0), F.when(is_top, F.col("outside")).otherwise(F.col("blocks")) - 1)
         cells = (
-            labelled.select("key", "node", "label")
-            .join(mixed, "key")
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            .join(signs, "node")
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "size", "sign")
+            inside.withColumn("block", block.cast("int"))
+            .withColumn("other", F.explode(others))
+            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+            .join(details, "node")
         )
         found = (
             cells.repartition("key", "i", "j")
             .sortWithinPartitions("key", "i", "j")
-            .mapInArrow(compare_blocks, "a long, b long")
-            .distinct()
-            .join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            .mapInArrow(comparer(values), "a long, b long")
+            .join(tried, ["a", "b"], "left_anti")
+            .join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         )
         more = self._confirmed(kept(found, "near-pairs"), texts)
         links = kept(links.union(more), "near-links")
         return links, components(links)
 
+    @staticmethod
+    def _mixed(shared: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Members of lists with their components, and of each list with several components: the largest one (top), a
+        member of it (pivot, another one each turn), its size (most) and the number of other members (others)."""
+        own = shared.select("key", "node").join(roots, "node", "left")
+        labelled = kept(own.select("key", "node", F.coalesce("root", "node").alias("label")), "near-labels")
+        parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
+        lists = parts.groupBy("key").agg(
+            F.count("*").alias("labels"),
+            F.sum("n").alias("members"),
+            F.max("n").alias("most"),
+            F.max_by("label", "n").alias("top"),
+            F.max_by("pivot", "n").alias("pivot"),
+        )
+        mixed = lists.where("labels > 1").select("key", "top", "pivot", "most", (F.col("members") - F.col("most")).alias("others"))
+        return labelled, mixed
+
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """One text for each class that shares a list with another."""
         wanted = self.classes.join(nodes, "node", "left_semi").select("place", "node")
