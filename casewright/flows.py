@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions.calendar import BusinessCalendar
+from casewright.operators import dimension as D
 from casewright.operators import efficiency as E
 from casewright.operators import mirror as M
 from casewright.sources import stores as S
 from casewright.sources.tables import between_days
 from casewright.sources.timesheets import read_timesheets
+from casewright.sources.working import working_table
 
 
 def upload_timesheets(
@@ -32,20 +34,76 @@ def upload_timesheets(
 ) -> S.WriteReport:
     """Timesheet files to daily efficiency to the period matrix.
 
-    Every file covers its start day. The days of the files replace those of the store; the matrix
-    is then computed from the stored days and published as a new version.
+    A file stands in the store under its start day, with the tasks of all its days. The days of the files
+    replace those of the store; the matrix is then computed from the stored days and published as a new version.
     """
-    hours = read_timesheets(spark, paths).drop("end_date")
-    span = hours.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+    sheets = read_timesheets(spark, paths)
+    hours = sheets.drop("end_date")
+    span = sheets.agg(F.min("date").alias("first"), F.max("end_date").alias("last")).first()
     if span.first is None:
         raise ValueError("the timesheets hold no rows")
     worked = history.filter(between_days(F.col("complete_date"), span.first, span.last))
-    tasks = E.daily_tasks(worked, plan, plan_order)
+    covered = F.explode(F.sequence("date", F.greatest("date", "end_date"))).alias("day")
+    days = sheets.select("date", "end_date").distinct().select("date", covered).distinct()
+    tasks = E.tasks_of_days(worked, plan, plan_order, days)
     day = E.combine(E.with_employee(hours, employees), tasks)
     S.upsert_by_partition(_as_stored(day), daily_path, sort=["employee_id"])
     return publish_periods(spark, daily_path, periods_path, calendar, as_of=as_of, now=now)
 
 
+def import_history(
+    exported: DataFrame,
+    *,
+    daily_path: str,
+    periods_path: str,
+    calendar: BusinessCalendar,
+    as_of: date,
+    now: datetime,
+) -> S.WriteReport:
+    """A spreadsheet export of earlier days into the daily store, then the period matrix anew.
+
+    Rows without a valid date are left out; the days of the export replace those of the store.
+    """
+    rows = S.import_history(exported).filter("date IS NOT NULL")
+    S.upsert_by_partition(rows, daily_path, sort=["employee_id"])
+    return publish_periods(exported.sparkSession, daily_path, periods_path, calendar, as_of=as_of, now=now)
+
+
+def rename_teams(
+    spark: SparkSession,
+    mapping: Mapping[str, str],
+    *,
+    daily_path: str,
+    periods_path: str,
+    calendar: BusinessCalendar,
+    as_of: date,
+    now: datetime,
+) -> S.WriteReport:
+    """Team names changed in the whole daily store, then the period matrix anew."""
+    renamed = D.rename_values(S.read_history(spark, daily_path), "team", mapping)
+    # Read in full before its partitions are replaced.
+    S.upsert_by_partition(working_table(renamed, "renamed"), daily_path, sort=["employee_id"])
+    return publish_periods(spark, daily_path, periods_path, calendar, as_of=as_of, now=now)
+
+
+def reapply_employees(
+    spark: SparkSession,
+    employees: DataFrame,
+    *,
+    daily_path: str,
+    periods_path: str,
+    calendar: BusinessCalendar,
+    as_of: date,
+    now: datetime,
+    columns: Sequence[str] = ("staff_name", "team", "training_plan"),
+) -> S.WriteReport:
+    """Today's names, teams and plans over the whole daily store, then the period matrix anew."""
+    side = employees.withColumn("employee_id", F.col("employee_id").cast("bigint"))
+    current = D.reapply_dimension(S.read_history(spark, daily_path), side, key="employee_id", columns=columns)
+    S.upsert_by_partition(working_table(current, "reapplied"), daily_path, sort=["employee_id"])
+    return publish_periods(spark, daily_path, periods_path, calendar, as_of=as_of, now=now)
+
+
 def _as_stored(day: DataFrame) -> DataFrame:
     return day.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.DAILY_SCHEMA])
 
@@ -119,7 +177,7 @@ def sync_mirror(
             parents = {table: parent(table) for _, table, _, _ in target.lookups.values()}
             rows = M.mapped_rows(source, target, parents, (newest or {}).get(name))
             merged = M.upsert(published(name), run.counted(rows), target, now=now)
-            S.guarded_write(merged, f"{root}/{name}", now=now)
+            run.report = S.guarded_write(merged, f"{root}/{name}", now=now)
 
     for name in CHILDREN:
         with M.SyncRun(spark, name, log) as run:
@@ -143,5 +201,6 @@ def sync_mirror(
                 parent_id="case_id",
             )
             run.failed = result.orphans.count()
-            S.guarded_write(run.counted(result.table), f"{root}/{name}", now=now)
+            run.rows = children.count() - run.failed
+            run.report = S.guarded_write(result.table, f"{root}/{name}", now=now)
     return runs

@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LISTED_HOLIDAYS = 20_000
-MAX_CALENDAR_DAYS = 80_000
-MAX_MAPPED_DAYS = 400
+# Dates that a literal map covers; the others take the general form.
+MAPPED_DAYS = 400
 # Longest closed stretch the yearly rules can produce: two holidays beside a weekend.
 RULE_CLOSURE = 4
 
@@ -104,11 +103,8 @@ class BusinessCalendar:
             .select(F.expr("try_cast(trim(date) AS date)").alias("day"))
             .dropna()
             .distinct()
-            .limit(MAX_LISTED_HOLIDAYS + 1)
             .collect()
         )
-        if len(rows) > MAX_LISTED_HOLIDAYS:
-            raise ValueError(f"{path} lists more than {MAX_LISTED_HOLIDAYS} holidays")
         return cls(frozenset(row.day for row in rows), rules)
 
     # -- on single dates, for as_of arithmetic on the driver ------------------------------------
@@ -176,16 +172,14 @@ class BusinessCalendar:
         return self.days_ago(day, 1)
 
     def previous_within(self, day: Column, first: date, last: date) -> Column:
-        """As ``previous`` for dates known to lie in a short range: one lookup in a literal map.
+        """As ``previous``, faster for dates in ``first`` to ``last``: one lookup in a literal map.
 
         The map folds to a constant and the lookup stays inside generated code, where the general
-        form needs an interpreted array filter.
+        form needs an interpreted array filter. Dates outside it take the general form.
         """
-        if (last - first).days > MAX_MAPPED_DAYS:
-            return self.previous(day)
-        days = [first + timedelta(days=k) for k in range((last - first).days + 1)]
+        days = [first + timedelta(days=k) for k in range(min((last - first).days + 1, MAPPED_DAYS))]
         pairs = [F.lit(d) for known in days for d in (known, self.previous_day(known))]
-        return F.try_element_at(F.create_map(*pairs), day)
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), day), self.previous(day)) if pairs else self.previous(day)
 
     def next(self, day: Column, n: int = 1) -> Column:
         """n-th business day after a date column."""
@@ -202,10 +196,8 @@ class BusinessCalendar:
     def frame(self, spark: SparkSession, first: date, last: date) -> DataFrame:
         """Calendar table: date, is_business, holiday, bd_ordinal, prev_bd, next_bd.
 
-        The range is bounded, so the unpartitioned window below sorts a fixed small input.
+        The unpartitioned window below sorts one row per day of the range.
         """
-        if (last - first).days > MAX_CALENDAR_DAYS:
-            raise ValueError(f"calendar range exceeds {MAX_CALENDAR_DAYS} days")
         day = F.col("date")
         running = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         return (

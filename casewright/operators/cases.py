@@ -50,7 +50,7 @@ def exclude_pairs(
     return ~((category == excluded) & listed)
 
 
-def case_locations(
+def open_case_list(
     cases: DataFrame,
     case_tasks: DataFrame,
     locations: DataFrame,
@@ -104,7 +104,7 @@ def case_locations(
     )
 
 
-def case_locations_by_department(
+def open_case_list_by_department(
     cases: DataFrame,
     case_tasks: DataFrame,
     locations: DataFrame,
@@ -112,7 +112,7 @@ def case_locations_by_department(
     status: str = "In Production",
     task_tie: Sequence[str] = TASK_ORDER,
 ) -> DataFrame:
-    """As ``case_locations``, with the department of the last task as category."""
+    """As ``open_case_list``, with the department of the last task as category."""
     open_cases = cases.filter(F.col("status") == status)
     return (
         with_location(open_cases, locations)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from casewright import vocabulary as V
 from casewright.functions import text as X
+from casewright.sources.tables import small_table
+from casewright.sources.working import working_table
 
 SALES = ["mtd_sales", "lm_sales", "ytd_sales", "ly_sales", "ltd_sales"]
 
@@ -119,6 +121,29 @@ def mixed_key(col: Column) -> tuple[Column, Column, Column]:
     return kind, number, text
 
 
+_ROW_BITS = 33
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """All rows with their place in the order, 1 the first; the order must end in a unique column.
+
+    The rows are sorted by range into a working table; a row's place is the number of rows in the partitions before
+    its own, one count per partition, and its place inside that.
+    """
+    placed = working_table(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", _ROW_BITS)
+    counts = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    if not counts:
+        return placed.withColumnRenamed("__at", name)
+    before, starts = 0, []
+    for _, n in counts:
+        starts.append(before)
+        before += n
+    offsets = small_table(df.sparkSession, __part=[p for p, _ in counts], __start=starts)
+    place = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
+    return placed.withColumn("__part", part).join(offsets, "__part").withColumn(name, place).drop("__part", "__start", "__at")
+
+
 def page(
     df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 100
 ) -> DataFrame:

@@ -97,6 +97,12 @@ def daily_tasks(history: DataFrame, plan: DataFrame, order: Sequence[Column]) ->
     return employee_totals(rows, ["date"], drop_rejected=True)
 
 
+def tasks_of_days(history: DataFrame, plan: DataFrame, order: Sequence[Column], days: DataFrame) -> DataFrame:
+    """Task totals per employee and ``date``, each date standing for the days that ``days`` (date, day) gives it."""
+    rows = with_duration(history, plan, order).withColumn("day", F.to_date("complete_date"))
+    return employee_totals(rows.join(days, "day"), ["date"], drop_rejected=True)
+
+
 def with_employee(hours: DataFrame, employees: DataFrame) -> DataFrame:
     """Timesheet rows with their employee; unmatched names get id and plan 0."""
     side = employees.select(

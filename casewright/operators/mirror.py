@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from casewright.functions import text as X
 from casewright.functions.calendar import wall_clock
 from casewright.operators.pick import latest_per_key
+from casewright.sources.stores import WriteReport
 
 STAMP = "updated_at"
 
@@ -287,6 +288,10 @@ class SyncRun:
         self.log_path = log_path
         self.observed = Observation(f"sync {sync_type}")
         self.failed = 0
+        #: Source rows that entered the table; observed while writing unless given.
+        self.rows: int | None = None
+        #: What the guarded write said; a refused write is no success.
+        self.report: WriteReport | None = None
         self.error: str | None = None
 
     def counted(self, df: DataFrame) -> DataFrame:
@@ -297,9 +302,15 @@ class SyncRun:
         return self
 
     def __exit__(self, kind, error, trace) -> bool:
-        self.error = str(error)[:2000] if error else None
-        rows = 0 if error else self.observed.get.get("rows", 0)
-        status = "failed" if error else "completed"
+        self.error = str(error) if error else None
+        refused = self.report is not None and not self.report.published
+        if error or refused:
+            rows = 0
+        else:
+            rows = self.observed.get.get("rows", 0) if self.rows is None else self.rows
+        status = "failed" if error else "refused" if refused else "completed"
+        if refused:
+            self.error = self.report.warning
         row = (
             self.sync_type,
             status,
@@ -311,4 +322,4 @@ class SyncRun:
             datetime.now(),
         )
         self.spark.createDataFrame([row], LOG_SCHEMA).write.mode("append").parquet(self.log_path)
-        return True
+        return kind is None or issubclass(kind, Exception)

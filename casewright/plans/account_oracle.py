@@ -102,7 +102,7 @@ ORACLE = {
             o_orderpriority AS preference, CAST(o_orderkey AS VARCHAR) AS preference_value,
             o_orderdate AS create_date, o_orderkey AS preference_id,
             row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3
-              ORDER BY o_orderdate DESC, o_orderkey DESC) AS version FROM orders) x WHERE version <= 2""",
+              ORDER BY o_orderdate DESC, o_orderkey DESC) AS version FROM orders) x""",
     "past_due_accounts": """
         SELECT lab_name, customer_id, practice_name, dental_group,
           coalesce(first_name, '') || ' ' || coalesce(last_name, '') AS full_name, sales_person,
@@ -129,7 +129,8 @@ ORACLE = {
           CAST(sum(d90) AS DOUBLE) AS past_due_90, CAST(sum(d90p) AS DOUBLE) AS past_due_over_90
         FROM ({_SECTIONED}) s""",
     "cases_by_customer": f"""
-        SELECT customer_id, count(*) AS total, count(*) AS nested FROM ({_OPEN}) o GROUP BY customer_id""",
+        SELECT *, count(*) OVER (PARTITION BY customer_id) AS total,
+          CAST(ceil(count(*) OVER (PARTITION BY customer_id) / 3.0) AS BIGINT) AS pages FROM ({_OPEN}) o""",
     "customers": _BOOK,
     "filter_customers": f"""
         SELECT customer_id, practice_name, price_catalog FROM ({_BOOK}) b
@@ -164,7 +165,7 @@ ORACLE = {
         o AS (SELECT customer_id, shown, row_number() OVER (ORDER BY
             CASE WHEN shown LIKE '____-__-__' THEN 0 WHEN shown LIKE '% units' THEN 1 ELSE 2 END,
             CASE WHEN shown LIKE '% units' THEN CAST(customer_id AS BIGINT) END, coalesce(shown, ''), customer_id) AS r FROM b)
-        SELECT customer_id, shown, r AS position FROM o WHERE r <= 700""",
+        SELECT customer_id, shown, r AS position FROM o""",
     "business_calendar": """
         SELECT x.day, x.day IN (SELECT d FROM bday) AS is_business, p.d AS previous,
           (SELECT d FROM bday WHERE n = p.n + CASE WHEN x.day IN (SELECT d FROM bday) THEN 2 ELSE 1 END) AS next_1,

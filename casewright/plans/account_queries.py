@@ -90,7 +90,7 @@ def documents_exploded(lab: Lab) -> DataFrame:
 
 @query
 def preferences(lab: Lab) -> DataFrame:
-    return R.preferences(lab.preferences(), keep=2)
+    return R.preferences(lab.preferences())
 
 
 @query
@@ -120,9 +120,9 @@ def collections_summary(lab: Lab) -> DataFrame:
 
 @query
 def cases_by_customer(lab: Lab) -> DataFrame:
-    """Size of the nested case lists: pages must add up to the customer's total."""
+    """The nested case lists of all pages, opened again."""
     pages = A.cases_by_customer(A.open_cases_of(lab.cases(), accounts(lab)), page_size=3)
-    return pages.groupBy("customer_id", "total").agg(F.sum(F.size("cases")).alias("nested"))
+    return pages.select("customer_id", "total", "pages", F.inline("cases"))
 
 
 @query
@@ -152,9 +152,10 @@ def filter_options(lab: Lab) -> DataFrame:
 def natural_sort_page(lab: Lab) -> DataFrame:
     rows = book(lab).select("customer_id", "practice_name")
     order = [B.natural_key(F.col("practice_name")), B.natural_key(F.col("customer_id"))]
-    rows = B.with_total(B.page(rows, order, number=2, size=100), rows)
-    # The rank runs over one page of a hundred rows.
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    whole = B.numbered(rows, order)
+    # Page 2 of a hundred rows each, the feature itself.
+    page = whole.filter(F.col("position").between(101, 200)).withColumn("position", F.col("position") - 100)
+    return B.with_total(page, rows)
 
 
 @query
@@ -167,9 +168,7 @@ def mixed_sort_page(lab: Lab) -> DataFrame:
     )
     rows = book(lab).select("customer_id", text.alias("shown"))
     order = [*B.mixed_key(F.col("shown")), F.col("customer_id")]
-    return B.page(rows, order, size=700).withColumn(
-        "position", F.row_number().over(Window.orderBy(*order))
-    )
+    return B.numbered(rows, order)
 
 
 @query

@@ -1,12 +1,12 @@
 """Oracle SQL for the case, workload and sales queries."""
 
-_EIGHT_DAYS = [f"DATE '1998-06-11' + {k}" for k in range(8)]
+_DAYS = [f"DATE '1998-06-11' + {k}" for k in range(46)]
 
 
 def _day_sums(value: str) -> str:
     return ", ".join(
         f"CAST(coalesce(sum(CASE WHEN ship_date = {day} THEN {value} END), 0) AS BIGINT) AS day_{k:02d}"
-        for k, day in enumerate(_EIGHT_DAYS)
+        for k, day in enumerate(_DAYS)
     )
 
 
@@ -36,10 +36,10 @@ _MONTHLY = """
   WHERE day >= DATE '1996-11-01' AND day < DATE '1998-07-01' GROUP BY 1, 2"""
 
 ORACLE = {
-    "case_locations": """
+    "open_case_list": """
         SELECT case_id, case_number, pan_number, ship_date, due_date, status, category, location,
           last_task, last_scan, local_delivery FROM case_list""",
-    "case_locations_by_dept": """
+    "open_case_list_by_dept": """
         SELECT l.case_id, l.case_number, l.pan_number, CAST(l.ship_date AS DATE) AS ship_date, l.status,
           t.department AS category, l.location, t.task AS last_task, t.complete_date AS last_scan,
           l.local_delivery
@@ -133,7 +133,8 @@ ORACLE = {
           LEFT JOIN follow f ON f.case_id = h.case_id""",
     "hold_status_counts": """
         SELECT hold_status, count(*) AS n FROM cases WHERE status = 'On Hold' AND hold_status IN
-          ('Production, Waiting on Scan', 'Airway, How to Proceed', 'Email Plan,Waiting on Approval')
+          ('Production, Waiting on Scan', 'Airway, How to Proceed', 'Email Plan,Waiting on Approval',
+          'Zoom Plan, Waiting on Approval')
         GROUP BY hold_status""",
     "workload_status": _STATUS_COUNTS,
     "workload_pivot": f"""
@@ -161,12 +162,12 @@ ORACLE = {
         FROM grid x""",
     "workload_matrix": f"""
         WITH shown AS (SELECT category, ship_date, count(*) AS n FROM workload_rows
-          WHERE status = 'In Production' AND ship_date <= DATE '1998-06-18' GROUP BY ALL)
+          WHERE status = 'In Production' GROUP BY ALL)
         SELECT category, {_day_sums("n")}, {_CATEGORY_RANK} AS category_rank FROM shown x GROUP BY category
         UNION ALL
         SELECT 'TOTAL', {_day_sums("n")}, 10 FROM shown""",
     "pivot_margins": f"""
-        WITH shown AS (SELECT * FROM workload_rows WHERE ship_date <= DATE '1998-06-18')
+        WITH shown AS (SELECT * FROM workload_rows)
         SELECT category, {_day_sums("1")}, count(*) AS total FROM shown GROUP BY category
         UNION ALL SELECT 'TOTAL', {_day_sums("1")}, count(*) FROM shown""",
     "workload_summary": f"""

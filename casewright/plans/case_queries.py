@@ -20,10 +20,10 @@ WINDOW = W.window_days(AS_OF, CALENDAR, DAYS)
 
 
 def open_cases(lab: Lab) -> DataFrame:
-    return C.case_locations(
+    return C.open_case_list(
         lab.cases(),
         lab.case_tasks(),
-        lab.case_locations(),
+        lab.locations(),
         lab.case_products(),
         lab.products(),
         as_of=AS_OF,
@@ -43,7 +43,7 @@ def detail(lab: Lab) -> DataFrame:
         lab.cases(),
         lab.case_products(),
         lab.products(),
-        lab.case_locations(),
+        lab.locations(),
         CALENDAR,
         as_of=AS_OF,
         days=DAYS,
@@ -51,13 +51,13 @@ def detail(lab: Lab) -> DataFrame:
 
 
 @query
-def case_locations(lab: Lab) -> DataFrame:
+def open_case_list(lab: Lab) -> DataFrame:
     return open_cases(lab)
 
 
 @query
-def case_locations_by_dept(lab: Lab) -> DataFrame:
-    return C.case_locations_by_department(lab.cases(), lab.case_tasks(), lab.case_locations())
+def open_case_list_by_dept(lab: Lab) -> DataFrame:
+    return C.open_case_list_by_department(lab.cases(), lab.case_tasks(), lab.locations())
 
 
 @query
@@ -101,7 +101,7 @@ def airway_workflow(lab: Lab) -> DataFrame:
     rows = C.airway_workflow(
         lab.cases(),
         lab.case_tasks(),
-        lab.case_locations(),
+        lab.locations(),
         lab.customers(),
         CALENDAR,
         stages=stages,
@@ -116,7 +116,7 @@ def location_summary(lab: Lab) -> DataFrame:
 
 @query
 def stage_summary(lab: Lab) -> DataFrame:
-    rows = C.with_location(lab.cases(), lab.case_locations())
+    rows = C.with_location(lab.cases(), lab.locations())
     rows = C.filter_airway(rows.withColumn("ship_date", F.to_date("ship_date")))
     return C.stage_summary(rows)
 
@@ -137,7 +137,7 @@ def overdue_no_scan(lab: Lab) -> DataFrame:
 
 @query
 def submitted_cases(lab: Lab) -> DataFrame:
-    return C.submitted_cases(lab.cases(), lab.case_locations(), CALENDAR)
+    return C.submitted_cases(lab.cases(), lab.locations(), CALENDAR)
 
 
 @query
@@ -150,7 +150,7 @@ def hold_list(lab: Lab) -> DataFrame:
 @query
 def hold_status_counts(lab: Lab) -> DataFrame:
     held = lab.cases().filter(F.col("status") == "On Hold")
-    picked = C.filter_in(held, "hold_status", V.HOLD_STATUSES[:3])
+    picked = C.filter_in(held, "hold_status", V.HOLD_STATUSES)
     return C.counts_by(picked, "hold_status")
 
 
@@ -187,18 +187,18 @@ def category_pace(lab: Lab) -> DataFrame:
 
 @query
 def workload_matrix(lab: Lab) -> DataFrame:
-    rows = W.business_window(detail(lab), "ship_date", WINDOW[:8])
-    return W.workload_matrix(W.workload_pivot(rows), WINDOW[:8])
+    rows = W.business_window(detail(lab), "ship_date", WINDOW)
+    return W.workload_matrix(W.workload_pivot(rows), WINDOW)
 
 
 @query
 def pivot_margins(lab: Lab) -> DataFrame:
-    return W.pivot_margins(W.business_window(detail(lab), "ship_date", WINDOW[:8]), WINDOW[:8])
+    return W.pivot_margins(W.business_window(detail(lab), "ship_date", WINDOW), WINDOW)
 
 
 @query
 def workload_summary(lab: Lab) -> DataFrame:
-    submitted = C.submitted_cases(lab.cases(), lab.case_locations(), CALENDAR)
+    submitted = C.submitted_cases(lab.cases(), lab.locations(), CALENDAR)
     return W.workload_summary(status_counts(lab), submitted, open_cases(lab))
 
 

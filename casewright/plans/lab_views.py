@@ -205,7 +205,7 @@ class Lab:
             )
         )
 
-    def case_locations(self) -> DataFrame:
+    def locations(self) -> DataFrame:
         """Location of the work done by each supplier, named after its nation."""
         return self.table("supplier").select(
             F.col("s_suppkey").alias("id"), _pick(F.col("s_nationkey"), LOCATIONS).alias("description")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -32,14 +29,12 @@ def build_session(app: str = "casewright", master: str | None = None, **conf: st
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and stream state.
+    """The shared folder for checkpoints, stream state and working tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting
-    falls back to a temporary folder of this machine.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset it lies under the warehouse, so a
+    restarted stream finds its state again.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="casewright-", dir=os.environ.get("TMPDIR", "/tmp"))
+        return configured.rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/casewright-work"

@@ -15,7 +15,9 @@ class Folder:
         self._jvm = spark._jvm
         self.path = path.rstrip("/")
         root = self._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._gateway = spark.sparkContext._gateway
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = root.getFileSystem(self._conf)
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -39,13 +41,15 @@ class Folder:
             stream.close()
 
     def write_text(self, name: str, text: str) -> None:
-        """Replace a small file: written aside, then put in place."""
+        """Replace a small file: written aside, then renamed over the old one in one step, so it is never absent."""
         aside = f"{name}.tmp"
         stream = self._fs.create(self._at(aside), True)
         try:
             stream.write(bytearray(text, "utf-8"))
         finally:
             stream.close()
-        if self.exists(name):
-            self.delete(name)
-        self._fs.rename(self._at(aside), self._at(name))
+        fs = self._jvm.org.apache.hadoop.fs
+        overwrite = self._gateway.new_array(fs.Options.Rename, 1)
+        overwrite[0] = fs.Options.Rename.OVERWRITE
+        place = self._fs.makeQualified(self._at(name))
+        fs.FileContext.getFileContext(place.toUri(), self._conf).rename(self._fs.makeQualified(self._at(aside)), place, overwrite)

@@ -98,6 +98,8 @@ class WriteReport:
 def _pointer(spark: SparkSession, path: str) -> tuple[str, int] | None:
     folder = Folder(spark, path)
     if not folder.exists(POINTER):
+        if any(name.startswith("v_") for name in folder.children()):
+            raise FileNotFoundError(f"{path} holds versions but no pointer to the published one")
         return None
     version, rows = folder.read_text(POINTER).split()
     return version, int(rows)
@@ -130,8 +132,13 @@ def guarded_write(
     version = f"v_{now:%Y%m%d_%H%M%S_%f}"
     known = _pointer(spark, path)
     previous = known[1] if known else 0
-    df.write.mode("errorifexists").parquet(f"{folder.path}/{version}")
-    rows = spark.read.schema(df.schema).parquet(f"{folder.path}/{version}").count()
+    try:
+        df.write.mode("errorifexists").parquet(f"{folder.path}/{version}")
+        rows = spark.read.schema(df.schema).parquet(f"{folder.path}/{version}").count()
+    except BaseException:
+        if not known or known[0] != version:
+            folder.delete(version)
+        raise
     if rows == 0 and previous > 0:
         folder.delete(version)
         log.error("%s: empty result not published over %d rows", path, previous)
@@ -141,8 +148,9 @@ def guarded_write(
         warning = f"{rows} rows replace {previous}"
         log.warning("%s: %s", path, warning)
     folder.write_text(POINTER, f"{version} {rows}")
-    versions = [name for name in folder.children() if name.startswith("v_")]
-    for name in versions[:-keep]:
+    # The published version stays whatever its name; of the others the newest names do.
+    others = [name for name in folder.children() if name.startswith("v_") and name != version]
+    for name in others[: len(others) - (keep - 1)] if len(others) >= keep else []:
         folder.delete(name)
     return WriteReport(True, version, rows, previous, warning)
 
@@ -160,9 +168,7 @@ def import_history(df: DataFrame, required: Sequence[str] = REQUIRED_HISTORY) ->
     day = F.when(serial.isNotNull(), X.excel_serial_date(serial)).otherwise(
         F.substring(text, 1, 10).try_cast("date")
     )
-    out = df.withColumn("date", day).withColumn(
-        "employee_id", X.id_number(F.col("employee_id")).cast("string")
-    )
+    out = df.withColumn("date", day).withColumn("employee_id", X.id_number(F.col("employee_id")))
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     for name in texts:
         if name not in ("date", "employee_id"):
@@ -170,4 +176,10 @@ def import_history(df: DataFrame, required: Sequence[str] = REQUIRED_HISTORY) ->
             out = out.withColumn(
                 name, F.when(value.isNull() | (F.lower(value) == "nan"), F.lit("")).otherwise(value)
             )
-    return out
+    # The columns and types of the daily store, so that the rows can enter it; what is not a number is missing.
+    return out.select(
+        *(
+            (F.col(f.name).try_cast(f.dataType) if f.name in out.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in DAILY_SCHEMA
+        )
+    )

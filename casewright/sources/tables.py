@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from datetime import date, timedelta
 
@@ -117,9 +118,32 @@ def recent(df: DataFrame, col: str, days: int, as_of: date) -> DataFrame:
     return rows.filter(~F.coalesce("deleted", F.lit(False))) if "deleted" in df.columns else rows
 
 
+# Headers of the lookup files that differ from the column names, letter case and signs aside.
+LOOKUP_HEADERS = {"3pm": "pm3"}
+
+
 def read_lookup(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """CSV lookup with a declared schema; rows that do not fit it are dropped."""
-    return spark.read.csv(path, header=True, schema=LOOKUP_SCHEMAS[kind], mode="DROPMALFORMED")
+    """CSV lookup read by header name; every row is kept, a value of another type is null.
+
+    Headers match without regard to letter case and signs ("Staff Name" is ``staff_name``). Whole numbers may be
+    written with a fraction of zero. A missing column raises; of holidays, rows without a valid date are skipped.
+    """
+    plain = lambda name: re.sub("[^a-z0-9]", "", name.lower())
+    rows = spark.read.csv(path, header=True, inferSchema=False)
+    names = {plain(LOOKUP_HEADERS.get(plain(name), name)): name for name in rows.columns}
+    missing = [f.name for f in LOOKUP_SCHEMAS[kind] if plain(f.name) not in names]
+    if missing:
+        raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
+
+    def value(field: T.StructField) -> Column:
+        text = F.col(f"`{names[plain(field.name)]}`")
+        if isinstance(field.dataType, T.IntegerType):
+            number = F.trim(text).try_cast("double")
+            return F.when(number == F.floor(number), number.try_cast("int"))
+        return text if isinstance(field.dataType, T.StringType) else F.trim(text).try_cast(field.dataType)
+
+    typed = rows.select(*(value(f).alias(f.name) for f in LOOKUP_SCHEMAS[kind]))
+    return typed.filter("date IS NOT NULL") if kind == "holidays" else typed
 
 
 def tech_targets(constants: DataFrame) -> DataFrame:

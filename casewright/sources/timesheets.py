@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The layout of the payroll export.
 PREAMBLE_LINES = 8
 NAME, TOTAL, REST = "Name", "Total hours", "Rest break"
 FILE_RANGE = r"(\d{4}-\d{2}-\d{2})-to-(\d{4}-\d{2}-\d{2})"
-# One export lists the staff of one company; a larger file is not a timesheet.
-MAX_FILE_BYTES = 64 * 1024 * 1024
 
 _FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
 
@@ -33,30 +31,39 @@ def read_timesheets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     The date range comes from the file name, work hours are total minus rest break; what is not a
     number counts as missing, and a missing total gives zero.
     """
-    files = spark.read.text(paths, wholetext=True).select(
-        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size")
-    )
-    fits = F.when(
-        F.col("size") > MAX_FILE_BYTES, F.raise_error(F.concat(F.lit("not a timesheet: "), "file"))
-    ).otherwise(F.lit(True))
     start = F.regexp_extract("file", FILE_RANGE, 1)
     dated = F.when(
         start == "", F.raise_error(F.concat(F.lit("no date range in file name: "), "file"))
     ).otherwise(start)
-    lines = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
-    table = F.filter(F.slice(lines, PREAMBLE_LINES + 1, F.greatest(F.size(lines), F.lit(1))), lambda x: x != "")
-    parsed = F.transform(table, csv_fields)
-    empty = F.array_position(
-        F.transform(parsed, lambda row: F.forall(row, lambda f: f == "")), F.lit(True)
+    # A line's place in its file: the block it lies in, then its place in the task that reads the block.
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    number = F.row_number().over(Window.partitionBy("path").orderBy("block", "at"))
+    table = (
+        lines.withColumn("line", number)
+        .filter((F.col("line") > PREAMBLE_LINES) & (F.col("value") != ""))
+        .withColumn("row", csv_fields(F.col("value")))
+    )
+    empty = F.forall("row", lambda field: field == "")
+    bounds = table.groupBy("path").agg(
+        F.min_by("row", "line").alias("header"),
+        F.min("line").alias("first"),
+        F.min(F.when(empty, F.col("line"))).alias("end"),
     )
-    header = F.element_at(parsed, 1)
-    count = F.when(empty > 0, empty - 2).otherwise(F.size(parsed) - 1).cast("int")
-    rows = F.slice(parsed, 2, F.greatest(count, F.lit(0)))
-    exploded = files.filter(fits).select(
-        dated.cast("date").alias("date"),
-        F.regexp_extract("file", FILE_RANGE, 2).cast("date").alias("end_date"),
-        header.alias("header"),
-        F.explode(rows).alias("row"),
+    exploded = (
+        table.join(bounds, "path")
+        .filter("line > first AND (end IS NULL OR line < end)")
+        .select(
+            dated.cast("date").alias("date"),
+            F.regexp_extract("file", FILE_RANGE, 2).cast("date").alias("end_date"),
+            "header",
+            "row",
+        )
     )
 
     def value(name: str) -> Column:

@@ -56,6 +56,51 @@ def test_upload_twice(spark, tmp_path):
         assert (row.days_ago_1, row.days_ago_2, row.week_0, row.training_plan) == (0.75, 0.25, 0.5, 1)
 
 
+def test_file_of_several_days_import_and_renames(spark, tmp_path):
+    head = "".join("x\n" for _ in range(8)) + "Name,Total hours,Rest break\n"
+    (tmp_path / "t-2026-07-01-to-2026-07-02.csv").write_text(head + "pay ann,16,0\n")
+    kinds = "case_id long, case_number string, task string, case_product_id int, completed_by string, complete_date timestamp_ntz, rejected string"
+    history = spark.createDataFrame(
+        [
+            (1, "1", "t", 1, "7", datetime(2026, 7, 1, 9), "No"),
+            (2, "2", "t", 1, "7", datetime(2026, 7, 2, 9), "No"),
+            (3, "3", "t", 1, "7", datetime(2026, 7, 3, 9), "No"),
+        ],
+        kinds,
+    )
+    plan = spark.createDataFrame(
+        [(k, "t", 1, "4", 1) for k in (1, 2, 3)],
+        "case_id long, task string, case_product_id int, duration string, plan_id int",
+    )
+    staff = spark.createDataFrame(
+        [("pay ann", 7, "Ann", "T", 1)],
+        "payroll_name string, employee_id int, staff_name string, team string, training_plan int",
+    )
+    daily = str(tmp_path / "daily")
+    options = {"daily_path": daily, "periods_path": str(tmp_path / "periods"), "calendar": BusinessCalendar(), "as_of": date(2026, 7, 3)}
+
+    def stored():
+        rows = S.read_history(spark, daily).orderBy("date").collect()
+        return [(r.date.day, r.employee_id, r.team, float(r.tasks_duration_hours or 0), float(r.efficiency)) for r in rows]
+
+    flows.upload_timesheets(
+        spark, str(tmp_path / "t-*.csv"), history, plan, staff, plan_order=[F.col("plan_id").desc()], now=datetime(2026, 7, 3, 2), **options
+    )
+    assert stored() == [(1, 7, "T", 8.0, 50.0)]
+    export = spark.createDataFrame(
+        [("2026-06-30 00:00:00", "7.0", "Ann", "T", "80"), ("never", "7", "Ann", "T", "1")],
+        "date string, employee_id string, staff_name string, team string, efficiency string",
+    )
+    assert flows.import_history(export, now=datetime(2026, 7, 3, 3), **options).published
+    assert stored()[-1] == (30, 7, "T", 0.0, 80.0) or stored()[0] == (30, 7, "T", 0.0, 80.0)
+    assert flows.rename_teams(spark, {"T": "U"}, now=datetime(2026, 7, 3, 4), **options).published
+    assert {team for _, _, team, _, _ in stored()} == {"U"}
+    moved = staff.withColumn("team", F.lit("V"))
+    assert flows.reapply_employees(spark, moved, now=datetime(2026, 7, 3, 5), **options).published
+    assert [team for _, _, team, _, _ in stored()] == ["V", "V"]
+    assert S.read_current(spark, str(tmp_path / "periods")).first().team == "V"
+
+
 def test_sync_twice(spark, tmp_path):
     lab = Lab(spark, FOLDER)
     staff = lab.employees().select(

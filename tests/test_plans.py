@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from casewright import plans
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = plans.queries()
 
 
 def plan(df) -> str:
@@ -23,8 +23,8 @@ def big_tables(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-# Windows without partition may only see a page or a series of fixed length.
-SINGLE_TASK_WINDOWS = {"natural_sort_page", "mixed_sort_page", "monthly_trend", "daily_trend"}
+# Windows without partition may only see a series of fixed length.
+SINGLE_TASK_WINDOWS = {"monthly_trend", "daily_trend"}
 FORBIDDEN = (
     "CartesianProduct",
     "BroadcastNestedLoopJoin",
@@ -45,7 +45,7 @@ def test_no_pair_joins_no_python_no_global_windows(big_tables, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["case_locations", "case_locations_by_dept", "checkin_windows", "task_durations", "preferences"]
+    "name", ["open_case_list", "open_case_list_by_dept", "checkin_windows", "task_durations"]
 )
 def test_rankings_are_cut_before_the_shuffle(big_tables, name):
     text = plan(QUERIES[name](big_tables, FOLDER))

@@ -68,6 +68,44 @@ def test_guarded_write(spark, tmp_path):
     assert len([n for n in S.Folder(spark, path).children() if n.startswith("v_")]) == 7
 
 
+def test_older_name_is_not_pruned(spark, tmp_path):
+    path, now = str(tmp_path / "v"), datetime(2026, 7, 1)
+    for k in range(7):
+        S.guarded_write(spark.range(10 + k), path, now=now + timedelta(k))
+    S.guarded_write(spark.range(99), path, now=now - timedelta(5))
+    assert S.read_current(spark, path).count() == 99
+    assert len([n for n in S.Folder(spark, path).children() if n.startswith("v_")]) == 7
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    path, now = str(tmp_path / "v"), datetime(2026, 7, 1)
+    S.guarded_write(spark.range(10), path, now=now)
+    with pytest.raises(PySparkException):
+        S.guarded_write(spark.range(5).select(F.raise_error(F.lit("cut off"))), path, now=now + timedelta(1))
+    assert [n for n in S.Folder(spark, path).children() if n.startswith("v_")] == ["v_20260701_000000_000000"]
+    assert S.read_current(spark, path).count() == 10
+
+
+def test_lost_pointer_is_no_first_run(spark, tmp_path):
+    path = str(tmp_path / "v")
+    S.guarded_write(spark.range(10), path, now=datetime(2026, 7, 1))
+    S.Folder(spark, path).delete(S.POINTER)
+    with pytest.raises(FileNotFoundError, match="no pointer"):
+        S.current_version(spark, path)
+    with pytest.raises(FileNotFoundError, match="no pointer"):
+        S.guarded_write(spark.range(3), path, now=datetime(2026, 7, 2))
+
+
+def test_refused_and_interrupted_runs(spark, tmp_path):
+    log = str(tmp_path / "log")
+    with M.SyncRun(spark, "cases", log) as run:
+        run.rows, run.report = 5, S.WriteReport(False, "v", 0, 10, "empty result refused")
+    with pytest.raises(KeyboardInterrupt), M.SyncRun(spark, "tasks", log):
+        raise KeyboardInterrupt
+    got = spark.read.parquet(log).select("sync_type", "status", "succeeded", "error")
+    assert rows(got, "sync_type") == [("cases", "refused", 0, "empty result refused"), ("tasks", "failed", 0, "")]
+
+
 def test_timesheets(spark, tmp_path):
     head = "".join(f"line {k}\n" for k in range(8))
     (tmp_path / "hours-2026-07-01-to-2026-07-02.csv").write_text(
@@ -93,8 +131,21 @@ def test_lookups(spark, tmp_path):
     got = T.tech_targets(T.read_lookup(spark, str(path), "tech_constants"))
     assert rows(got, "name") == [("Ann", 12, None, "Day", "Regular")]
     goals = tmp_path / "goals.csv"
-    goals.write_text("Year,Month,RevenueGoal\n2026,1,500000\nbad,1,2\n")
-    assert rows(T.read_lookup(spark, str(goals), "revenue_goals"), "month") == [(2026, 1, 500000.0)]
+    goals.write_text("RevenueGoal,Year,Month\n500000,2026,1\n2,bad,2\n")
+    assert rows(T.read_lookup(spark, str(goals), "revenue_goals"), "month") == [(2026, 1, 500000.0), (None, 2, 2.0)]
+
+
+def test_lookup_rows_are_kept(spark, tmp_path):
+    path = tmp_path / "staff.csv"
+    path.write_text("EmployeeID,StaffName,PayrollName,Team,TrainingPlan\n7,A,a,T,1\n12.0,B,b,T,1.0\n13,C,c,T,\nx,D,d,T,2\n")
+    got = rows(T.read_lookup(spark, str(path), "employees").select("employee_id", "staff_name", "training_plan"), "staff_name")
+    assert got == [(7, "A", 1), (12, "B", 1), (13, "C", None), (None, "D", 2)]
+    path.write_text("EmployeeID,StaffName\n7,A\n")
+    with pytest.raises(ValueError, match="missing columns: payroll_name, team, training_plan"):
+        T.read_lookup(spark, str(path), "employees")
+    holidays = tmp_path / "holidays.csv"
+    holidays.write_text("Date,Name\n2026-07-04,x\nsoon,y\n")
+    assert rows(T.read_lookup(spark, str(holidays), "holidays"), "date") == [(date(2026, 7, 4), "x")]
 
 
 def test_missing_table_raises(spark, tmp_path):
@@ -116,9 +167,10 @@ def test_import_history(spark):
         "date string, employee_id string, staff_name string, team string, efficiency string",
     )
     got = S.import_history(df)
-    assert rows(got, "date") == [
-        (date(2023, 3, 15), "12", "Ann", "", "1"),
-        (DAY, "7", "", "A", "2"),
+    assert got.schema == S.DAILY_SCHEMA
+    assert rows(got.select("date", "employee_id", "staff_name", "team", "efficiency"), "date") == [
+        (date(2023, 3, 15), 12, "Ann", "", 1),
+        (DAY, 7, "", "A", 2),
     ]
     with pytest.raises(ValueError, match="missing columns: team"):
         S.import_history(df.drop("team"))
