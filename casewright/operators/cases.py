@@ -116,7 +116,7 @@ def open_case_list_by_department(
     open_cases = cases.filter(F.col("status") == status)
     return (
         with_location(open_cases, locations)
-        .join(latest_tasks(case_tasks, task_tie), "case_id", "inner")
+        .join(latest_tasks(of_cases(case_tasks, open_cases), task_tie), "case_id", "inner")
         .select(
             "case_id",
             "case_number",
@@ -235,7 +235,8 @@ def airway_workflow(
     """
     in_stage = with_location(cases, locations).filter(F.col("location").isin(list(stages)))
     named = in_stage.join(customers.select("customer_id", "practice_name"), "customer_id", "left")
-    rows = named.join(latest_tasks(case_tasks, task_tie).drop("department"), "case_id", "left").select(
+    tasks = latest_tasks(of_cases(case_tasks, in_stage), task_tie).drop("department")
+    rows = named.join(tasks, "case_id", "left").select(
         "customer_id",
         "doctor_name",
         "practice_name",

@@ -32,8 +32,12 @@ def task_events(history: DataFrame, start: date, end: date) -> DataFrame:
 def with_duration(
     history: DataFrame, plan: DataFrame, order: Sequence[Column], columns: Sequence[str] = ("duration",)
 ) -> DataFrame:
-    """Planned duration of each history row, at most one per row."""
-    return lateral_first(history, plan, TASK_KEY, order, columns)
+    """Planned duration of each history row, at most one per row.
+
+    Only the plans of these rows' tasks are ranked.
+    """
+    wanted = plan.join(history.select(*TASK_KEY), TASK_KEY, "left_semi")
+    return lateral_first(history, wanted, TASK_KEY, order, columns)
 
 
 def plan_sums(plan: DataFrame) -> DataFrame:
@@ -227,6 +231,7 @@ def midday_snapshot(
         between_days(F.col("complete_date"), first, as_of)
         & (X.yes_no_flag(F.col("rejected")) == 0)
     )
+    plan = plan.join(rows.select(*TASK_KEY), TASK_KEY, "left_semi")
     if fan_out:
         planned = plan_sums(plan)
     else:

@@ -16,6 +16,7 @@ from casewright.operators.cases import adjust_rush_dates, count_in, with_locatio
 from casewright.operators.joins import day_spine, densify
 from casewright.operators.pick import of_cases, product_categories
 from casewright.sources.tables import between_days, small_table
+from casewright.sources.working import working_table
 
 STATUSES = ("In Production", "Invoiced")
 TOTAL = "TOTAL"
@@ -174,9 +175,10 @@ def category_pace(
 ) -> DataFrame:
     """Pace of every category on each of the first dates, zero where it has no case."""
     zero = F.lit(0).cast("bigint")
-    measured = _by_status(pivot, ["category", "ship_date"], "n")
-    dates = pivot.select("ship_date").distinct().orderBy("ship_date").limit(first_dates)
-    grid = day_spine(pivot, ["category"], window, "ship_date").join(dates, "ship_date", "left_semi")
+    # One row per category and date, used three times: computed once, without its lineage from here on.
+    measured = working_table(_by_status(pivot, ["category", "ship_date"], "n"), "pace")
+    dates = measured.select("ship_date").distinct().orderBy("ship_date").limit(first_dates)
+    grid = day_spine(measured, ["category"], window, "ship_date").join(dates, "ship_date", "left_semi")
     filled = densify(
         grid, measured, ["category", "ship_date"], {"invoiced": 0, "in_production": 0}
     )
@@ -262,9 +264,8 @@ def workload_by_category(
         "case_id", "case_number", F.to_date("ship_date").alias("ship_date")
     )
     named = products.filter("category IS NOT NULL").select("product_id", "category")
-    lines = case_products.select("case_id", "product_id").distinct()
     return (
-        open_cases.join(lines, "case_id", "inner")
+        open_cases.join(case_products.select("case_id", "product_id"), "case_id", "inner")
         .join(named, "product_id", "inner")
         .groupBy("category", "ship_date")
         .agg(F.count_distinct("case_number").alias("n"))

@@ -22,10 +22,15 @@ def latest_scans(history: DataFrame) -> DataFrame:
 
 
 def stale_cases(history: DataFrame, now: datetime, *, hours: int = 4) -> DataFrame:
-    """Cases whose newest scan up to ``now`` is older than the given hours."""
+    """Open cases whose newest scan up to ``now`` is older than the given hours.
+
+    A case with a row marked ``closed``, where the history has that column, is not open.
+    """
     seen = history.filter(F.col("complete_date") <= wall_clock(now))
+    closed = F.bool_or("closed") if "closed" in history.columns else F.lit(False)
+    newest = seen.groupBy("case_number").agg(F.max("complete_date").alias("last_scan"), closed.alias("closed"))
     limit = wall_clock(now - timedelta(hours=hours))
-    return latest_scans(seen).filter(F.col("last_scan") < limit)
+    return newest.filter((F.col("last_scan") < limit) & ~F.coalesce("closed", F.lit(False))).select("case_number", "last_scan")
 
 
 def hourly_counts(history: DataFrame) -> DataFrame:
@@ -58,7 +63,8 @@ def hourly_counts_stream(history: DataFrame, *, delay: str = "1 hour") -> DataFr
 class ScanTimer(StatefulProcessor):
     """Newest scan of one case and an event-time timer ``hours`` after it.
 
-    A late scan never moves the newest scan back. A closing status removes the case's state.
+    A late scan never moves the newest scan back. A closing status leaves a mark until the watermark has passed it,
+    so that a scan which arrives after it starts no timer; then the case's state goes.
     """
 
     def __init__(self, hours: int):
@@ -66,7 +72,7 @@ class ScanTimer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "ts timestamp")
+        self.newest = handle.getValueState("newest", "ts timestamp, closed boolean")
 
     def _drop_timers(self) -> None:
         for timer in list(self.handle.listTimers()):
@@ -78,20 +84,22 @@ class ScanTimer(StatefulProcessor):
             top = batch["complete_date"].max()
             latest = top if latest is None or top > latest else latest
             closed = closed or bool(batch["closed"].any())
-        if closed:
+        known, was_closed = self.newest.get() if self.newest.exists() else (None, False)
+        closed = closed or was_closed
+        if known is None or latest > pd.Timestamp(known) or closed != was_closed:
+            newest = latest if known is None else max(latest, pd.Timestamp(known))
             self._drop_timers()
-            self.newest.clear()
-            return iter(())
-        known = self.newest.get()[0] if self.newest.exists() else None
-        if known is None or latest > pd.Timestamp(known):
-            self._drop_timers()
-            self.newest.update((latest.to_pydatetime(),))
-            due = latest + pd.Timedelta(hours=self.hours)
+            self.newest.update((newest.to_pydatetime(), closed))
+            due = newest if closed else newest + pd.Timedelta(hours=self.hours)
             self.handle.registerTimer(int(due.timestamp() * 1000) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest = pd.Timestamp(self.newest.get()[0])
+        newest, closed = self.newest.get()
+        if closed:
+            self.newest.clear()
+            return
+        newest = pd.Timestamp(newest)
         due = newest + pd.Timedelta(hours=self.hours)
         yield pd.DataFrame(
             {"case_number": [key[0]], "last_scan": [newest], "alarm_at": [due]}
