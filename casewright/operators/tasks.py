@@ -74,12 +74,16 @@ def task_counts(
 def task_leaders(
     counts: DataFrame, employees: DataFrame, *, as_of: date, tasks: Sequence[str] = V.AIRWAY_TASKS, n_days: int = 6
 ) -> DataFrame:
-    """Per weekday and task: each employee's count and, as rows of their own, the totals."""
+    """Per weekday and task: each employee's count and place, largest first, and the totals as rows of their own.
+
+    A place's window spans the staff of one day and task.
+    """
     recent = counts.filter(F.col("day").isin(last_weekdays(as_of, n_days)))
     names = {f"task_{k}": task for k, task in enumerate(tasks, 1)}
     long = recent.unpivot(["completed_by", "day"], list(names), "slot", "n").filter("n > 0")
     rows = with_totals(long, ["day", "slot"], "completed_by", {"n": F.sum("n")})
-    return named_rows(rows, employees).select(
+    order = Window.partitionBy("day", "slot", "is_total").orderBy(F.col("n").desc(), "completed_by")
+    return named_rows(rows, employees).withColumn("place", F.row_number().over(order).cast("bigint")).select(
         "day",
         X.weekday_slash(F.col("day")).alias("label"),
         X.map_values(F.col("slot"), names).alias("task"),
@@ -87,6 +91,7 @@ def task_leaders(
         "emp_name",
         "is_total",
         "n",
+        "place",
     )
 
 

@@ -1,5 +1,7 @@
 """Oracle SQL for the case, workload and sales queries."""
 
+from casewright import vocabulary as V
+
 _DAYS = [f"DATE '1998-06-11' + {k}" for k in range(46)]
 
 
@@ -35,6 +37,18 @@ _MONTHLY = """
   SELECT year(day) AS y, month(day) AS m, count(*) AS n, sum(amount) AS subtotal FROM invoiced
   WHERE day >= DATE '1996-11-01' AND day < DATE '1998-07-01' GROUP BY 1, 2"""
 
+_AIRWAY = """
+  SELECT l.customer_id, l.doctor_name, c.practice_name, l.location,
+    CASE WHEN l.pan_number LIKE 'R%' AND length(l.pan_number) < 4 THEN cal.prev_bd
+         ELSE CAST(l.ship_date AS DATE) END AS ship_date,
+    l.case_number, l.pan_number, CAST(l.create_date AS DATE) AS create_date, l.status,
+    t.task AS last_task, t.complete_date AS last_scan
+  FROM located l JOIN v_stage s ON s.location = l.location
+    JOIN cal ON cal.d = CAST(l.ship_date AS DATE)
+    LEFT JOIN customers c ON c.customer_id = l.customer_id
+    LEFT JOIN latest_task t ON t.case_id = l.case_id
+  WHERE l.status IN ('In Production', 'On Hold')"""
+
 ORACLE = {
     "open_case_list": """
         SELECT case_id, case_number, pan_number, ship_date, due_date, status, category, location,
@@ -62,17 +76,9 @@ ORACLE = {
         SELECT 'location' AS "column", location AS value FROM case_list WHERE trim(location) <> ''
         UNION SELECT 'category', category FROM case_list
         UNION SELECT 'ship_day', month(ship_date) || '/' || day(ship_date) FROM case_list""",
-    "airway_workflow": """
-        SELECT l.customer_id, l.doctor_name, c.practice_name, l.location,
-          CASE WHEN l.pan_number LIKE 'R%' AND length(l.pan_number) < 4 THEN cal.prev_bd
-               ELSE CAST(l.ship_date AS DATE) END AS ship_date,
-          l.case_number, l.pan_number, CAST(l.create_date AS DATE) AS create_date, l.status,
-          t.task AS last_task, t.complete_date AS last_scan
-        FROM located l JOIN v_stage s ON s.location = l.location
-          JOIN cal ON cal.d = CAST(l.ship_date AS DATE)
-          LEFT JOIN customers c ON c.customer_id = l.customer_id
-          LEFT JOIN latest_task t ON t.case_id = l.case_id
-        WHERE l.status IN ('In Production', 'On Hold')""",
+    "airway_workflow": _AIRWAY,
+    "airway_workflow_by_location": f"SELECT * FROM ({_AIRWAY}) a WHERE location = '{next(iter(V.STAGE_GROUPS.values()))[0]}'",
+    "airway_workflow_by_day": f"SELECT * FROM ({_AIRWAY}) a WHERE ship_date = DATE '1998-06-15'",
     "location_summary": """
         SELECT location, category, n, location_total,
           CASE WHEN location = 'No Location' THEN 24 ELSE
@@ -102,7 +108,9 @@ ORACLE = {
     "submitted_cases": """
         SELECT case_number, pan_number,
           CASE WHEN pan_number LIKE 'R%' AND length(pan_number) < 4 THEN prev_bd
-               ELSE CAST(ship_date AS DATE) END AS ship_date, status, location
+               ELSE CAST(ship_date AS DATE) END AS ship_date, status, location,
+          row_number() OVER (ORDER BY CASE WHEN pan_number LIKE 'R%' AND length(pan_number) < 4 THEN prev_bd
+               ELSE CAST(ship_date AS DATE) END, case_number) AS position
         FROM located JOIN cal ON cal.d = CAST(ship_date AS DATE)
         WHERE status = 'Submitted' AND NOT deleted""",
     "hold_list": """
@@ -128,7 +136,9 @@ ORACLE = {
           CASE WHEN hold_reason LIKE '%(AFU)%' THEN 'AFU' WHEN hold_reason LIKE '%(ZFU)%' THEN 'ZFU'
                WHEN hold_reason LIKE '%(EFU)%' THEN 'EFU' END AS follow_up_type,
           f.d AS follow_up_date,
-          CAST(CASE WHEN hold_reason LIKE '%(_FU)%' THEN 0 ELSE 1 END AS BIGINT) AS type_rank
+          CAST(CASE WHEN hold_reason LIKE '%(_FU)%' THEN 0 ELSE 1 END AS BIGINT) AS type_rank,
+          row_number() OVER (ORDER BY CASE WHEN hold_reason LIKE '%(_FU)%' THEN 0 ELSE 1 END, f.d NULLS LAST, h.case_number)
+            AS position
         FROM held h LEFT JOIN customers c ON c.customer_id = h.customer_id
           LEFT JOIN follow f ON f.case_id = h.case_id""",
     "hold_status_counts": """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casewright import vocabulary as V
 from casewright.functions import text as X
 from casewright.operators import cases as C
+from casewright.operators import customers as B
 from casewright.operators import sales as S
 from casewright.operators import workload as W
 from casewright.operators.customers import filter_options
@@ -95,10 +96,9 @@ def case_filter_options(lab: Lab) -> DataFrame:
     return filter_options(rows, ["location", "category", "ship_day"])
 
 
-@query
-def airway_workflow(lab: Lab) -> DataFrame:
+def airway_rows(lab: Lab) -> DataFrame:
     stages = [stage for stages in V.STAGE_GROUPS.values() for stage in stages]
-    rows = C.airway_workflow(
+    return C.airway_workflow(
         lab.cases(),
         lab.case_tasks(),
         lab.locations(),
@@ -106,7 +106,21 @@ def airway_workflow(lab: Lab) -> DataFrame:
         CALENDAR,
         stages=stages,
     )
-    return C.filter_airway(rows, ship_date="not a date")
+
+
+@query
+def airway_workflow(lab: Lab) -> DataFrame:
+    return C.filter_airway(airway_rows(lab), ship_date="not a date")
+
+
+@query
+def airway_workflow_by_location(lab: Lab) -> DataFrame:
+    return C.filter_airway(airway_rows(lab), location=next(iter(V.STAGE_GROUPS.values()))[0])
+
+
+@query
+def airway_workflow_by_day(lab: Lab) -> DataFrame:
+    return C.filter_airway(airway_rows(lab), ship_date="1998-06-15")
 
 
 @query
@@ -137,14 +151,16 @@ def overdue_no_scan(lab: Lab) -> DataFrame:
 
 @query
 def submitted_cases(lab: Lab) -> DataFrame:
-    return C.submitted_cases(lab.cases(), lab.locations(), CALENDAR)
+    rows = C.submitted_cases(lab.cases(), lab.locations(), CALENDAR)
+    return B.numbered(rows, [F.col("ship_date"), F.col("case_number")])
 
 
 @query
 def hold_list(lab: Lab) -> DataFrame:
     rows = C.hold_list(lab.cases(), lab.customers(), CALENDAR, as_of=AS_OF)
     typed = F.when(F.col("follow_up_type").isNull(), 1).otherwise(0)
-    return rows.withColumn("type_rank", typed)
+    order = [F.col("type_rank"), F.col("follow_up_date").asc_nulls_last(), F.col("case_number")]
+    return B.numbered(rows.withColumn("type_rank", typed), order)
 
 
 @query

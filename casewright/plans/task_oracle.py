@@ -69,11 +69,12 @@ ORACLE = {
         WITH t AS (SELECT completed_by, day, '3dplan' AS task, task_1 AS n FROM ({_AIRWAY}) a
           UNION ALL SELECT completed_by, day, '3dfin-exp', task_2 FROM ({_AIRWAY}) a
           UNION ALL SELECT completed_by, day, '3drevise', task_3 FROM ({_AIRWAY}) a)
-        SELECT day, {_LABEL} AS label, task, completed_by, {_EMP_NAME} AS emp_name, false AS is_total, n
+        SELECT day, {_LABEL} AS label, task, completed_by, {_EMP_NAME} AS emp_name, false AS is_total, n,
+          row_number() OVER (PARTITION BY day, task ORDER BY n DESC, completed_by) AS place
         FROM t LEFT JOIN employees e ON e.employee_id = CAST(t.completed_by AS BIGINT)
         WHERE n > 0 AND day IN {_SIX_DAYS}
         UNION ALL
-        SELECT day, {_LABEL}, task, NULL, NULL, true, CAST(sum(n) AS BIGINT) FROM t
+        SELECT day, {_LABEL}, task, NULL, NULL, true, CAST(sum(n) AS BIGINT), 1 FROM t
         WHERE n > 0 AND day IN {_SIX_DAYS} GROUP BY day, task""",
     "design_windows": f"""
         WITH t AS (SELECT CAST(complete_date AS DATE) AS day, w.name, task, completed_by,

@@ -44,9 +44,14 @@ def test_no_pair_joins_no_python_no_global_windows(big_tables, name):
     assert not windows or name in SINGLE_TASK_WINDOWS
 
 
-@pytest.mark.parametrize(
-    "name", ["open_case_list", "open_case_list_by_dept", "checkin_windows", "task_durations"]
-)
+@pytest.mark.parametrize("name", ["open_case_list_by_dept", "airway_workflow", "task_durations", "midday_snapshot"])
+def test_only_wanted_rows_are_ranked(big_tables, name):
+    text = plan(QUERIES[name](big_tables, FOLDER))
+    window = text.index("row_number()")
+    assert "LeftSemi" in text[window:]
+
+
+@pytest.mark.parametrize("name", ["open_case_list", "checkin_windows"])
 def test_rankings_are_cut_before_the_shuffle(big_tables, name):
     text = plan(QUERIES[name](big_tables, FOLDER))
     assert re.search(r"WindowGroupLimit.*Partial", text)
