@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from casewright.llm.workspace import PLACE, kept, located, shared_folder
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Every state partition would set aside some megabytes of disk for its logs before it holds a row.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 FILES_PER_BATCH = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ARRIVALS = "digest string, id long, file string, position long"
@@ -65,8 +68,9 @@ class ExactDedup:
 
     def _stream(self) -> None:
         """Takes in what has arrived since the last call; a call that was cut off is repeated from its log."""
-        before = self.spark.conf.get(PROVIDER, None)
-        self.spark.conf.set(PROVIDER, ROCKS)
+        before = {key: self.spark.conf.get(key, None) for key in STATE_SETTINGS}
+        for key, value in STATE_SETTINGS.items():
+            self.spark.conf.set(key, value)
         try:
             arrivals = (
                 self.spark.readStream.schema(ARRIVALS).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{self.folder}/arrivals")
@@ -82,10 +86,11 @@ class ExactDedup:
                 .awaitTermination()
             )
         finally:
-            if before is None:
-                self.spark.conf.unset(PROVIDER)
-            else:
-                self.spark.conf.set(PROVIDER, before)
+            for key, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(key)
+                else:
+                    self.spark.conf.set(key, value)
 
     def arrivals(self) -> DataFrame:
         return self.spark.read.schema(ARRIVALS).parquet(f"{self.folder}/arrivals")
