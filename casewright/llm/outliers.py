@@ -167,7 +167,9 @@ def estimates(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         far = rows.join(now, "g").withColumn("d", stepped(distance()))
         cut = far.groupBy("g", "start").agg(F.ceil(F.percentile("d", F.lit(NEAREST))).alias("cut"))
-        near = far.join(cut, ["g", "start"]).where("d <= cut").select("g", "start", *STATISTICS)
+        # With the estimates in one small table, the rows need no shuffle by group to learn their cut.
+        limits = kept(now.join(cut, ["g", "start"]), "mcd-cut")
+        near = rows.join(limits, "g").where(stepped(distance()) <= F.col("cut")).select("g", "start", *STATISTICS)
         now = kept(factor(moments(near)), "mcd-step")
     best = now.groupBy("g").agg(F.min(F.struct("volume", "start")).alias("best")).select("g", F.col("best.start").alias("start"))
     best = kept(now.join(best, ["g", "start"]).drop("start", "volume"), "mcd-best")
@@ -188,7 +190,7 @@ def judge(docs: DataFrame, keep: list[str], language: str = "lang", source: str
     keys = [f"k{i}" for i in range(len(keep))]
     counts = kept(base_counts(named, [*keys, "g"]).withColumn("base_failed", base_failed()), "mcd-counts")
     rows = counts.where("not base_failed").select("g", *statistics())
-    final = estimates(rows)
+    final = kept(estimates(rows), "mcd-final")
     own = counts.join(final, "g", "left").select("*", *statistics())
     d = F.when(~F.col("base_failed"), distance() / F.col("consistent"))
     return own.select(
