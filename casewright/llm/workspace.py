@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.session import checkpoint_root
 
 #: Column that holds a row's file and position; named so that no column of a table clashes with it.
 PLACE = "_place_of_row"
@@ -15,10 +16,7 @@ PLACE = "_place_of_row"
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``; where that is unset, under the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/casewright-work"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, purpose: str) -> DataFrame:
@@ -29,10 +27,12 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder that this package made and no longer reads."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def one_row_each(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` is a row of a file, and no two are the same one: scans, filters and columns only."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation"
 
 
 def located(docs: DataFrame, columns: list[str], purpose: str = "rows") -> DataFrame:
@@ -44,7 +44,7 @@ def located(docs: DataFrame, columns: list[str], purpose: str = "rows") -> DataF
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("position")
     ).alias(PLACE)
     wanted = [F.col(f"`{name}`") for name in columns]
-    if "_metadata" not in docs.columns:
+    if "_metadata" not in docs.columns and one_row_each(docs):
         try:
             return docs.select(*wanted, place)
         except AnalysisException:
