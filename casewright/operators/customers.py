@@ -15,6 +15,13 @@ from casewright.sources.working import working_table
 
 SALES = ["mtd_sales", "lm_sales", "ytd_sales", "ly_sales", "ltd_sales"]
 
+# Names, contact and billing columns of a customer, shown as they are where the table has them.
+CONTACT = [
+    *("first_name", "last_name", "referred_by", "email", "office_phone", "cell", "fax"),
+    *("address1", "address2", "zip_code", "country", "bill_contact", "bill_email", "bill_phone"),
+    *("bill_address1", "bill_address2", "bill_city", "bill_state", "bill_zip_code", "bill_country"),
+]
+
 
 def customer_book(customers: DataFrame, dates: DataFrame, sales: DataFrame) -> DataFrame:
     """Live customers with a usable id, their case dates and sales; missing sales are zero."""
@@ -35,6 +42,7 @@ def customer_book(customers: DataFrame, dates: DataFrame, sales: DataFrame) -> D
         "city",
         "state",
         "price_catalog",
+        *[name for name in CONTACT if name in customers.columns],
         *SALES,
         "date_of_first_case",
         "date_of_last_case",

@@ -18,6 +18,9 @@ REPORT_COLUMNS = [
     "dental_group",
     "full_name",
     "sales_person",
+    "office_phone",
+    "bill_email",
+    "last_payment_date",
     "last_payment_amount",
     "current_balance",
     "past_due_60",
@@ -54,6 +57,9 @@ def past_due_accounts(
         "dental_group",
         X.full_name(F.col("first_name"), F.col("last_name")).alias("full_name"),
         "sales_person",
+        "office_phone",
+        "bill_email",
+        F.to_date("last_payment_date").alias("last_payment_date"),
         _money("last_payment_amount").alias("last_payment_amount"),
         (_money("unapplied_payments") + _money("unapplied_credits")).cast(MONEY).alias("unapplied"),
         _money("this_period_charges").alias("this_period"),

@@ -8,7 +8,9 @@ _RATE = """
   GROUP BY cu.practice_name"""
 _BOOK = """
   SELECT c.customer_id, practice_name, coalesce(first_name, '') || ' ' || coalesce(last_name, '') AS full_name,
-    sales_person, dental_group, type, specialty, city, state, price_catalog,
+    sales_person, dental_group, type, specialty, city, state, price_catalog, first_name, last_name, referred_by,
+    email, office_phone, cell, fax, address1, address2, zip_code, country, bill_contact, bill_email, bill_phone,
+    bill_address1, bill_address2, bill_city, bill_state, bill_zip_code, bill_country,
     CAST(coalesce(mtd_sales, 0) AS DOUBLE) AS mtd_sales, CAST(coalesce(lm_sales, 0) AS DOUBLE) AS lm_sales,
     CAST(coalesce(ytd_sales, 0) AS DOUBLE) AS ytd_sales, CAST(coalesce(ly_sales, 0) AS DOUBLE) AS ly_sales,
     CAST(coalesce(ltd_sales, 0) AS DOUBLE) AS ltd_sales, date_of_first_case, date_of_last_case, active, prospect
@@ -106,6 +108,7 @@ ORACLE = {
     "past_due_accounts": """
         SELECT lab_name, customer_id, practice_name, dental_group,
           coalesce(first_name, '') || ' ' || coalesce(last_name, '') AS full_name, sales_person,
+          office_phone, bill_email, last_payment_date,
           CAST(last_payment_amount AS DOUBLE) AS last_payment_amount,
           CAST(coalesce(unapplied_payments, 0) + coalesce(unapplied_credits, 0) AS DOUBLE) AS unapplied,
           CAST(coalesce(this_period_charges, 0) AS DOUBLE) AS this_period,
@@ -135,6 +138,8 @@ ORACLE = {
     "filter_customers": f"""
         SELECT customer_id, practice_name, price_catalog FROM ({_BOOK}) b
         WHERE active AND NOT prospect AND type = 'BUILDING' AND lower(price_catalog) LIKE '%catalog 2%'""",
+    "customers_by_mail": f"""
+        SELECT customer_id, email FROM ({_BOOK}) b WHERE lower(email) LIKE '%front1%' OR lower(bill_email) LIKE '%front1%'""",
     "customer_metrics": f"""
         SELECT count(*) FILTER (WHERE active AND NOT prospect) AS active,
           count(*) FILTER (WHERE prospect AND NOT active) AS prospects,

@@ -138,6 +138,12 @@ def filter_customers(lab: Lab) -> DataFrame:
     return rows.select("customer_id", "practice_name", "price_catalog")
 
 
+@query
+def customers_by_mail(lab: Lab) -> DataFrame:
+    """A search that only an e-mail address can meet."""
+    return B.filter_customers(book(lab), search="FRONT1").select("customer_id", "email")
+
+
 @query
 def customer_metrics(lab: Lab) -> DataFrame:
     return B.customer_metrics(book(lab), as_of=AS_OF)

@@ -366,6 +366,11 @@ class Lab:
         def bucket(n: int) -> Column:
             return F.when(key % 7 == n, F.lit(None)).when(key % 5 == n, balance).otherwise(zero)
 
+        site = F.concat(F.lit("@practice"), F.floor(key / 2).cast("string"), F.lit(".example"))
+        suite = F.when(key % 7 == 0, F.concat(F.lit("Suite "), (key % 20).cast("string")))
+        phone = F.concat(F.lit("555-"), F.lpad((key * 7 % 10_000).cast("string"), 4, "0"))
+        street = F.concat(key.cast("string"), F.lit(" Main Street"))
+        zip_code = F.lpad((key % 100_000).cast("string"), 5, "0")
         nations = (
             self.table("nation")
             .join(
@@ -387,6 +392,25 @@ class Lab:
                 F.when(key % 3 != 0, _pick(key % 2, ["Ortho", "General"])).alias("specialty"),
                 F.concat(F.lit("City "), (key % 40).cast("string")).alias("city"),
                 F.col("n_name").alias("state"),
+                F.when(key % 11 == 0, F.concat(F.lit("Rep "), (key % 5).cast("string"))).alias("referred_by"),
+                F.when(key % 5 != 0, F.concat(F.lit("front"), key.cast("string"), site)).alias("email"),
+                phone.alias("office_phone"),
+                F.when(key % 3 == 0, F.concat(F.lit("556-"), key.cast("string"))).alias("cell"),
+                F.when(key % 4 == 1, phone).alias("fax"),
+                street.alias("address1"),
+                suite.alias("address2"),
+                zip_code.alias("zip_code"),
+                F.col("n_name").alias("country"),
+                F.when(key % 2 == 0, F.concat(F.lit("Last"), (key % 50).cast("string"))).alias("bill_contact"),
+                F.when(key % 6 != 1, F.concat(F.lit("billing"), key.cast("string"), site)).alias("bill_email"),
+                phone.alias("bill_phone"),
+                street.alias("bill_address1"),
+                suite.alias("bill_address2"),
+                F.concat(F.lit("City "), (key % 40).cast("string")).alias("bill_city"),
+                F.col("n_name").alias("bill_state"),
+                zip_code.alias("bill_zip_code"),
+                F.col("n_name").alias("bill_country"),
+                F.when(key % 12 != 0, F.date_sub(F.lit(AS_OF), (key % 200).cast("int"))).alias("last_payment_date"),
                 F.when(key % 6 == 0, "").otherwise(
                     F.concat(F.lit("Catalog "), (key % 4).cast("string"))
                 ).alias("price_catalog"),

@@ -207,6 +207,21 @@ VIEWS = {
           c_mktsegment AS type,
           CASE WHEN c_custkey % 3 <> 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Ortho' ELSE 'General' END END AS specialty,
           'City ' || (c_custkey % 40) AS city, n_name AS state,
+          CASE WHEN c_custkey % 11 = 0 THEN 'Rep ' || (c_custkey % 5) END AS referred_by,
+          CASE WHEN c_custkey % 5 <> 0 THEN 'front' || c_custkey || '@practice' || (c_custkey // 2) || '.example' END AS email,
+          phone AS office_phone, CASE WHEN c_custkey % 3 = 0 THEN '556-' || c_custkey END AS cell,
+          CASE WHEN c_custkey % 4 = 1 THEN phone END AS fax, street AS address1,
+          CASE WHEN c_custkey % 7 = 0 THEN 'Suite ' || (c_custkey % 20) END AS address2,
+          lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS zip_code, n_name AS country,
+          CASE WHEN c_custkey % 2 = 0 THEN 'Last' || (c_custkey % 50) END AS bill_contact,
+          CASE WHEN c_custkey % 6 <> 1 THEN 'billing' || c_custkey || '@practice' || (c_custkey // 2) || '.example' END
+            AS bill_email,
+          phone AS bill_phone, street AS bill_address1,
+          CASE WHEN c_custkey % 7 = 0 THEN 'Suite ' || (c_custkey % 20) END AS bill_address2,
+          'City ' || (c_custkey % 40) AS bill_city, n_name AS bill_state,
+          lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS bill_zip_code, n_name AS bill_country,
+          CASE WHEN c_custkey % 12 <> 0 THEN CAST(DATE '1998-06-15' - CAST(c_custkey % 200 AS INTEGER) AS DATE) END
+            AS last_payment_date,
           CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'Catalog ' || (c_custkey % 4) END AS price_catalog,
           c_custkey % 3 <> 1 AS active, c_custkey % 4 = 1 AS prospect, c_custkey % 89 = 0 AS deleted,
           CASE WHEN c_custkey % 2 = 0 THEN 'North Lab' ELSE 'South Lab' END AS lab_name,
@@ -220,7 +235,8 @@ VIEWS = {
           CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 70 AS DECIMAL(18,2)) END AS this_period_charges,
           CAST(c_custkey % 500 AS DECIMAL(18,2)) AS last_payment_amount,
           c_custkey % 10 = 0 AS is_on_cod, c_custkey % 6 = 0 AS on_credit_hold, c_custkey % 4 = 0 AS in_collection
-        FROM (SELECT *, CAST(c_acctbal AS DECIMAL(18,2)) AS bal FROM customer) c
+        FROM (SELECT *, CAST(c_acctbal AS DECIMAL(18,2)) AS bal,
+            '555-' || lpad(CAST(c_custkey * 7 % 10000 AS VARCHAR), 4, '0') AS phone, c_custkey || ' Main Street' AS street FROM customer) c
           LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""",
     "sales_summary": """
         SELECT CAST(o_custkey AS VARCHAR) AS customer_id,

@@ -441,6 +441,9 @@ def accounts_table(spark):
         F.lit(None).cast("string").alias("first_name"),
         F.lit("L").alias("last_name"),
         F.lit("s").alias("sales_person"),
+        F.lit("1").alias("office_phone"),
+        F.lit("e").alias("bill_email"),
+        F.lit(None).cast("date").alias("last_payment_date"),
         zero.alias("past_due_30"),
         F.lit(None).cast(money).alias("past_due_60"),
         F.col("p90").cast(money).alias("past_due_90"),
