@@ -14,10 +14,11 @@ skips their lists unless most of a document is common text. The table of common
 Groups are not expanded into pairs. Texts with one set are one class. In ``ROUNDS`` rounds a list links its
 members to one pivot only, later those outside its largest component to a pivot of that component; what is
 connected needs no further pair. Lists whose members then still lie in different components are compared inside
-tasks: members outside the largest component with all others, long lists dealt out by pairs of blocks. A pair is
-looked at in the first list that both are posted in, and leaves the task only if it also reaches the threshold of
-a finer signature (1,024 coordinates of 8 bits, made for these documents only). Sets are known by 64-bit shingle
-hashes, classes by 128 bits.
+tasks: members outside the largest component with all others, long lists dealt out by pairs of blocks. The first
+comparison, on 16 bits of each coordinate, marks members that have a candidate in a list; a pair counts in the
+first two lists at most that both are posted in. Marked members meet again with their texts, and there, in the first
+list that both are posted in, a pair is confirmed on full sets. No pair leaves a task but a confirmed one.
+Sets are known by 64-bit shingle hashes, classes by 128 bits.
 """
 
 from __future__ import annotations
@@ -42,23 +43,20 @@ COMMON_IN_PART = 8
 BLOCK_ROWS = 1024
 PIVOT_ROWS = 512
 ROUNDS = 3
-FINE = 1024
-#: At a similarity of 0.75 fewer than this many of the fine coordinates agree with a chance of about 1e-6.
-FINE_MATCHES = 702
 
-FLIPS = ragged.numbers(21, COORDINATES + FINE)
-FACTORS = ragged.numbers(22, COORDINATES + FINE) | ragged.U64(1)
+FLIPS = ragged.numbers(21, COORDINATES)
+FACTORS = ragged.numbers(22, COORDINATES) | ragged.U64(1)
 DIGEST_SEEDS = ragged.numbers(23, 2)
 
 
-def signatures_of(sets: np.ndarray, of: np.ndarray, coordinates: range = range(COORDINATES), kind: type = np.uint32) -> np.ndarray:
-    """One row of coordinates per set, each cut to ``kind``; sets must not be empty."""
-    out = np.empty((len(of) - 1, len(coordinates)), kind)
+def signatures_of(sets: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """One row of coordinates per set; sets must not be empty."""
+    out = np.empty((len(of) - 1, COORDINATES), np.uint32)
     work = np.empty_like(sets)
-    for k, c in enumerate(coordinates):
+    for c in range(COORDINATES):
         np.bitwise_xor(sets, FLIPS[c], out=work)
         np.multiply(work, FACTORS[c], out=work)
-        out[:, k] = (np.minimum.reduceat(work, of[:-1]) >> ragged.U64(32)).astype(kind)
+        out[:, c] = np.minimum.reduceat(work, of[:-1]) >> ragged.U64(32)
     return out
 
 
@@ -132,17 +130,6 @@ def poster(common: np.ndarray):
     return post
 
 
-def fine_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> (node, fine)."""
-    for batch in batches:
-        data, offsets = ragged.as_bytes(batch.column("text"))
-        for first, end, part, part_of in ragged.blocks(data, offsets):
-            fine = signatures_of(*ragged.shingles(part, part_of), range(COORDINATES, COORDINATES + FINE), np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node").slice(first, end - first), pa.array([r.tobytes() for r in fine], pa.binary())], names=["node", "fine"]
-            )
-
-
 def enough_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, sign_a, sign_b) -> the pairs that agree in ``MATCHES`` coordinates."""
     for batch in batches:
@@ -156,8 +143,8 @@ def close_in_size(a: str, b: str) -> F.Column:
     return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
 
 
-def cell_pairs(signs: np.ndarray, fine: np.ndarray, label: np.ndarray, size: np.ndarray, coordinates: np.ndarray, coordinate: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of ``left`` and ``right`` that reach both thresholds and first meet under ``coordinate``."""
+def near_pairs(signs: np.ndarray, label: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of ``left`` and ``right`` in different components that agree in ``MATCHES`` coordinates."""
     for start in range(0, len(left), 256):
         some = left[start : start + 256]
         maybe = (label[some][:, None] != label[right]) & (
@@ -169,40 +156,94 @@ def cell_pairs(signs: np.ndarray, fine: np.ndarray, label: np.ndarray, size: np.
         for c in range(COORDINATES):
             same += signs[some, c][:, None] == signs[right, c]
         x, y = np.nonzero(maybe & (same >= MATCHES))
-        x, y = some[x], right[y]
         for at in range(0, len(x), 4096):
-            a, b = x[at : at + 4096], y[at : at + 4096]
-            both = (signs[a] == signs[b]) & coordinates[a] & coordinates[b]
-            first = both.argmax(axis=1) == coordinate
-            a, b = a[first], b[first]
-            close = (fine[a] == fine[b]).sum(axis=1) >= FINE_MATCHES
-            yield a[close], b[close]
+            yield some[x[at : at + 4096]], right[y[at : at + 4096]]
 
 
-def comparer(common: np.ndarray):
-    """Rows sorted by cell (key, i, j) -> pairs of different components that reach both thresholds, each pair once.
+def cells_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Key and the places of the two sides of each cell (key, i, j) of a sorted batch."""
+    key, i, j, block = (batch.column(n).to_numpy() for n in ("key", "i", "j", "block"))
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+        rows = np.arange(a, b)
+        yield int(key[a]), rows[block[a:b] == i[a]], rows[block[a:b] == j[a]]
 
-    Cells i = j compare all members with each other, others those of block i with those of block j.
-    """
 
-    def ready(cells: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(cells).combine_chunks().to_batches()[0]
-        signs, fine = sign_matrix(table.column("sign")), sign_matrix(table.column("fine"), np.uint8)
-        coordinates = np.zeros(signs.shape, bool)
-        np.put_along_axis(coordinates, posted(signs, common), True, axis=1)
-        node, label, size, block = (table.column(n).to_numpy() for n in ("node", "label", "size", "block"))
-        i, j, key = (table.column(n).to_numpy() for n in ("i", "j", "key"))
-        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+def posted_mask(signs: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Rows of flags: the coordinates under which each class is posted."""
+    mask = np.zeros(signs.shape, bool)
+    np.put_along_axis(mask, posted(signs, common), True, axis=1)
+    return mask
+
+
+def sketcher(common: np.ndarray):
+    """(node, size, sign) -> the same with 16 bits of each coordinate, and the posted coordinates."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                signs = sign_matrix(batch.column("sign"))
+                masks = np.packbits(posted_mask(signs, common), axis=1)
+                cells = [pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (signs.astype(np.uint16), masks)]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), *cells], names=["node", "size", "sketch", "mask"])
+
+    return sketch
+
+
+def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Whole cells -> (key, node) of the members that have a candidate there.
+
+    Equal halves of unequal coordinates could hide a pair's first list, so its second one counts too.
+    """
+    signs = sign_matrix(batch.column("sketch"), np.uint16)
+    masks = np.unpackbits(sign_matrix(batch.column("mask"), np.uint8), axis=1).astype(bool)
+    node, label, size, keys = (batch.column(n).to_numpy() for n in ("node", "label", "size", "key"))
+    marked = np.zeros(len(node), bool)
+    for key, left, right in cells_of(batch):
+        for x, y in near_pairs(signs, label, size, left, right):
+            both = (signs[x] == signs[y]) & masks[x] & masks[y]
+            early = both[:, : key >> 32].sum(axis=1) < 2
+            marked[x[early]] = marked[y[early]] = True
+    return pa.RecordBatch.from_arrays([pa.array(keys[marked]), pa.array(node[marked])], names=["key", "node"])
+
+
+def linker(common: np.ndarray):
+    """Whole cells with texts -> the pairs of different components that full sets confirm."""
+
+    def link(batch: pa.RecordBatch) -> pa.RecordBatch:
+        signs = sign_matrix(batch.column("sign"))
+        masks = posted_mask(signs, common)
+        node, label, size = (batch.column(n).to_numpy() for n in ("node", "label", "size"))
+        data, offsets = ragged.as_bytes(batch.column("text"))
+        parts = [ragged.shingles(part, part_of) for _, _, part, part_of in ragged.blocks(data, offsets)]
+        sets = np.concatenate([s for s, _ in parts])
+        of = np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))]
         found = [np.empty((2, 0), np.int64)]
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
-            rows = np.arange(a, b)
-            left, right = rows[block[a:b] == i[a]], rows[block[a:b] == j[a]]
-            for x, y in cell_pairs(signs, fine, label, size, coordinates, int(key[a] >> 32), left, right):
-                found.append(np.stack([node[x], node[y]]))
-        both = np.concatenate(found, axis=1)
-        pairs = np.unique(np.sort(both, axis=0), axis=1)
+        for key, left, right in cells_of(batch):
+            for x, y in near_pairs(signs, label, size, left, right):
+                both = (signs[x] == signs[y]) & masks[x] & masks[y]
+                first = both.argmax(axis=1) == key >> 32
+                x, y = x[first], y[first]
+                for row in np.unique(x):
+                    partners = y[x == row]
+                    members = np.concatenate([sets[of[k] : of[k + 1]] for k in partners])
+                    counts = of[partners + 1] - of[partners]
+                    hits = np.isin(members, sets[of[row] : of[row + 1]])
+                    shared = np.add.reduceat(hits, np.r_[0, np.cumsum(counts)[:-1]], dtype=np.int64)
+                    close = 100 * shared >= PERCENT * (counts + of[row + 1] - of[row] - shared)
+                    found.append(np.stack([np.full(close.sum(), node[row]), node[partners[close]]]))
+        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
+    return link
+
+
+def by_cell(ready):
+    """Applies ``ready`` to batches of whole cells; rows come sorted by cell, of at most about 2 ``BLOCK_ROWS`` each.
+
+    Cells i = j compare all members of a block with each other, others those of block i with those of block j.
+    """
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         held_rows = 0
@@ -218,10 +259,10 @@ def comparer(common: np.ndarray):
             other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield ready([table.slice(0, cut)])
+                yield ready(table.slice(0, cut))
             held, held_rows = [table.slice(cut)], len(key) - cut
         if held_rows:
-            yield ready(held)
+            yield ready(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return compare
 
@@ -301,29 +342,14 @@ class NearDuplicates:
             roots = components(links)
 
         labelled, mixed = self._mixed(shared, roots, ROUNDS)
-        outside, blocks = (F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("others", "most"))
-        inside = labelled.join(mixed.select("key", "top", outside.alias("outside"), (outside + blocks).alias("blocks")), "key")
-        inside = kept(inside, "near-mixed")
-        fine = texts.join(inside.select("node").distinct(), "node", "left_semi").mapInArrow(fine_signs, "node long, fine binary")
-        details = kept(fine.join(signs, "node"), "near-fine")
-        is_top = F.col("label") == F.col("top")
-        code = F.xxhash64("node")
-        block = F.when(is_top, F.col("outside") + F.pmod(code, F.col("blocks") - F.col("outside"))).otherwise(F.pmod(code, F.col("outside")))
-        others = F.sequence(F.lit(0), F.when(is_top, F.col("outside")).otherwise(F.col("blocks")) - 1)
-        cells = (
-            inside.withColumn("block", block.cast("int"))
-            .withColumn("other", F.explode(others))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
-            .join(details, "node")
-        )
-        found = (
-            cells.repartition("key", "i", "j")
-            .sortWithinPartitions("key", "i", "j")
-            .mapInArrow(comparer(values), "a long, b long")
-            .join(tried, ["a", "b"], "left_anti")
-            .join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        inside = kept(labelled.join(mixed.select("key"), "key", "left_semi"), "near-mixed")
+        sketch = kept(
+            signs.select("node", "size", "sign").mapInArrow(sketcher(values), "node long, size long, sketch binary, mask binary"), "near-sketches"
         )
-        more = self._confirmed(kept(found, "near-pairs"), texts)
+        marked = self._cells(inside, mixed, sketch).mapInArrow(by_cell(mark), "key long, node long").distinct()
+        again, mixed = self._mixed(kept(marked, "near-marked"), roots, ROUNDS)
+        details = texts.join(again.select("node").distinct(), "node", "left_semi").join(signs, "node")
+        more = self._cells(again, mixed, details).mapInArrow(by_cell(linker(values)), "a long, b long").distinct()
         links = kept(links.union(more), "near-links")
         return links, components(links)
 
@@ -344,6 +370,28 @@ class NearDuplicates:
         mixed = lists.where("labels > 1").select("key", "top", "pivot", "most", (F.col("members") - F.col("most")).alias("others"))
         return labelled, mixed
 
+    @staticmethod
+    def _cells(labelled: DataFrame, mixed: DataFrame, details: DataFrame) -> DataFrame:
+        """Rows of mixed lists with ``details`` of their nodes, dealt out and sorted by cell (key, i, j).
+
+        Members outside the largest component fill the first blocks and meet every block, those inside meet only the first.
+        """
+        outside, most = (F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("others", "most"))
+        lists = mixed.select("key", "top", outside.alias("outside"), (outside + most).alias("blocks"))
+        is_top = F.col("label") == F.col("top")
+        code = F.xxhash64("node")
+        block = F.when(is_top, F.col("outside") + F.pmod(code, F.col("blocks") - F.col("outside"))).otherwise(F.pmod(code, F.col("outside")))
+        others = F.sequence(F.lit(0), F.when(is_top, F.col("outside")).otherwise(F.col("blocks")) - 1)
+        return (
+            labelled.join(lists, "key")
+            .withColumn("block", block.cast("int"))
+            .withColumn("other", F.explode(others))
+            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+            .join(details, "node")
+            .repartition("key", "i", "j")
+            .sortWithinPartitions("key", "i", "j")
+        )
+
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """One text for each class that shares a list with another."""
         wanted = self.classes.join(nodes, "node", "left_semi").select("place", "node")
