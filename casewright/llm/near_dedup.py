@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm import ragged
 from casewright.llm.components import components
-from casewright.llm.workspace import PLACE, kept, located
+from casewright.llm.workspace import PLACE, kept, located, shared_folder
 
 COORDINATES = 64
 MATCHES = 32
@@ -393,9 +393,16 @@ class NearDuplicates:
         )
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
-        """One text for each class that shares a list with another."""
-        wanted = self.classes.join(nodes, "node", "left_semi").select("place", "node")
-        return kept(self.texts.select("place", "text").join(wanted, "place").select("node", "text"), "near-texts")
+        """One text for each class that shares a list with another, bucketed by node: each round joins it without a shuffle."""
+        wanted = self.classes.join(nodes, "node", "left_semi").select(F.col("place").alias(PLACE), "node")
+        found = self.texts.select(F.col("place").alias(PLACE), "text").join(wanted, PLACE).select("node", "text")
+        spark = found.sparkSession
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        folder = shared_folder(spark, "near-texts")
+        name = f"near_texts_{folder.rsplit('-', 1)[1]}"
+        writer = found.repartition(buckets, "node").write.bucketBy(buckets, "node").sortBy("node")
+        writer.option("path", folder).format("parquet").saveAsTable(name)
+        return spark.table(name)
 
     def _matching(self, pairs: DataFrame, signs: DataFrame) -> DataFrame:
         left = signs.toDF("a", "sign_a", "size_a")
