@@ -8,6 +8,9 @@ one with the smaller determinant is taken. Because the statistics and the logari
 medians and the cut at three quarters are exact percentiles over a small count of values, sums are exact, and a group with
 a third of all rows is a partial aggregate like any other. ``FLOORS`` are added to the scales, so that a statistic that
 never varies in a group does not reject the first document in which it does.
+
+A group of fewer than ``MIN_GROUP`` documents is judged by the estimate of its language, one of a language that has fewer
+than that by the estimate of all documents; so each document that passes the base rule is judged.
 """
 
 from __future__ import annotations
@@ -92,6 +95,26 @@ def group_key(*columns: str) -> Column:
     return F.concat_ws("\0", *(part(c) for c in columns))
 
 
+def models(rows: DataFrame) -> DataFrame:
+    """(g, model, feeds) of each group of ``rows`` (g, wide): the key of the estimate that judges it and of those it is part of."""
+    sizes = kept(rows.groupBy("g", "wide").agg(F.count("*").alias("n")), "mcd-sizes")
+    wide = sizes.groupBy("wide").agg(F.sum("n").alias("wide_n"), F.min("n").alias("least"))
+    own, wider, every = F.concat(F.lit("0"), "g"), F.concat(F.lit("1"), "wide"), F.lit("2")
+    enough, wide_enough = F.col("n") >= MIN_GROUP, F.col("wide_n") >= MIN_GROUP
+    named = kept(
+        sizes.join(wide, "wide").select(
+            "g",
+            F.when(enough, own).when(wide_enough, wider).otherwise(every).alias("model"),
+            F.when(enough, own).alias("own"),
+            F.when(wide_enough & (F.col("least") < MIN_GROUP), wider).alias("wider"),
+        ),
+        "mcd-named",
+    )
+    # All documents are estimated only where a language is too small.
+    last = every if named.where(F.col("model") == every).limit(1).count() else F.lit(None).cast("string")
+    return kept(named.select("g", "model", F.array_compact(F.array("own", "wider", last)).alias("feeds")), "mcd-models")
+
+
 def factor(estimates: DataFrame) -> DataFrame:
     """Adds the inverse of the Cholesky factor of the floored covariance (i_rc) and its log determinant."""
     size = len(STATISTICS)
@@ -173,24 +196,29 @@ def estimates(rows: DataFrame) -> DataFrame:
         now = kept(factor(moments(near)), "mcd-step")
     best = now.groupBy("g").agg(F.min(F.struct("volume", "start")).alias("best")).select("g", F.col("best.start").alias("start"))
     best = kept(now.join(best, ["g", "start"]).drop("start", "volume"), "mcd-best")
-    middle = rows.join(best, "g").groupBy("g").agg(F.percentile(stepped(distance()), F.lit(0.5)).alias("middle"), F.count("*").alias("members"))
+    middle = rows.join(best, "g").groupBy("g").agg(F.percentile(stepped(distance()), F.lit(0.5)).alias("middle"))
     consistent = F.greatest(F.lit(1.0), F.exp(F.col("middle") / DISTANCE_STEPS) / MEDIAN)
-    return best.join(middle.where(F.col("members") >= MIN_GROUP), "g").withColumn("consistent", consistent).drop("middle", "members")
+    return best.join(middle, "g").withColumn("consistent", consistent).drop("middle")
 
 
 def judge(docs: DataFrame, keep: list[str], language: str = "lang", source: str = "source") -> DataFrame:
     """``keep``, the base counts, base_failed, distance and kept, one row per row of ``docs``.
 
     Null languages and sources form groups of their own; a null text has no words and fails the base rule; repeated rows count
-    as often as they occur. Documents that fail the base rule take no part in the estimates. A group with fewer than
-    ``MIN_GROUP`` others has no estimate: its distance is null and the base rule alone decides. An empty table gives an empty
-    result. The scale is never narrowed below the floored covariance.
+    as often as they occur. Documents that fail the base rule take no part in the estimates; their distance is null. A group
+    with fewer than ``MIN_GROUP`` others is judged by the estimate of all sources of its language, and where these are fewer
+    too, by that of all documents, whatever their number. An empty table gives an empty result. The scale is never narrowed
+    below the floored covariance.
     """
-    named = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col("`text`"), group_key(language, source).alias("g"))
+    groups = [group_key(language, source).alias("g"), group_key(language).alias("wide")]
+    named = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col("`text`"), *groups)
     keys = [f"k{i}" for i in range(len(keep))]
-    counts = kept(base_counts(named, [*keys, "g"]).withColumn("base_failed", base_failed()), "mcd-counts")
-    rows = counts.where("not base_failed").select("g", *statistics())
-    final = kept(estimates(rows), "mcd-final")
+    counts = kept(base_counts(named, [*keys, "g", "wide"]).withColumn("base_failed", base_failed()), "mcd-counts")
+    rows = counts.where("not base_failed").select("g", "wide", *statistics())
+    judges = models(rows)
+    fed = rows.join(judges, "g").select(F.explode("feeds").alias("g"), *STATISTICS)
+    final = estimates(kept(fed, "mcd-fed")).withColumnRenamed("g", "model")
+    final = kept(judges.select("g", "model").join(final, "model").drop("model"), "mcd-final")
     own = counts.join(final, "g", "left").select("*", *statistics())
     d = F.when(~F.col("base_failed"), distance() / F.col("consistent"))
     return own.select(
@@ -202,5 +230,5 @@ def judge(docs: DataFrame, keep: list[str], language: str = "lang", source: str
         "n_repeat_words",
         "base_failed",
         d.alias("distance"),
-        (~F.col("base_failed") & F.coalesce(d <= LIMIT, F.lit(True))).alias("kept"),
+        (~F.col("base_failed") & (d <= LIMIT)).alias("kept"),
     )

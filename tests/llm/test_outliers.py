@@ -90,6 +90,32 @@ def test_counts_and_distances_match(spark):
     assert rejected >= 5
 
 
+def test_small_groups_are_judged_by_wider_ones(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join(rng.choice("some words of plain prose told at length by many".split()) + str(rng.randrange(900)) for _ in range(150))
+    junk = lambda: " ".join(w + "##%%" for w in prose().split())
+    rows = [(prose(), "en", "large") for _ in range(60)]
+    rows += [(t(), "en", source) for source in ("tail", None) for t in (prose, prose, junk)]
+    rows += [(t(), lang, "other") for lang in ("fr", None) for t in (prose, junk)]
+    docs = [(k, *row) for k, row in enumerate(rows)]
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(docs, SCHEMA), ["doc_id"]).collect()}
+    stats = np.array([steps(*counts(text)) for _, text, _, _ in docs], float)
+    english = [k for k, _, lang, _ in docs if lang == "en"]
+    wanted = dict(zip(range(60), distances(stats[:60]), strict=True))
+    wanted |= {k: d for k, d in zip(english, distances(stats[english]), strict=True) if k >= 60}
+    wanted |= {k: d for k, d in enumerate(distances(stats)) if k not in wanted}
+    for k, text, _, _ in docs:
+        assert got[k].distance == pytest.approx(wanted[k], rel=1e-6)
+        assert got[k].kept == ("##" not in text)
+
+
+def test_a_table_below_the_least_group_is_judged(spark):
+    clean = [" ".join(f"word{k}x{j}" for j in range(60)) for k in range(8)]
+    rows = [(k, text, "en", f"s{k % 3}") for k, text in enumerate([*clean, clean[0].replace(" ", "## ")])]
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    assert [got[k].kept for k in range(9)] == [True] * 8 + [False] and all(r.distance is not None for r in got.values())
+
+
 def test_empty_repeated_and_clashing(spark):
     rows = [(1, "a b c " * 30, "en", "s", 1, "x"), (1, "a b c " * 30, "en", "s", 1, "x")]
     docs = spark.createDataFrame(rows, SCHEMA + ", n_words int, g string")
