@@ -33,8 +33,8 @@ NEAREST = 0.75
 STEPS = 3
 STARTS = (0, 1)
 MIN_GROUP = 20
-#: Squared distance beyond which a vector is an outlier: 1 - 1e-9 of a chi-square of four degrees lies below.
-LIMIT = 48.1
+#: Squared distance beyond which a vector is an outlier: 1 - 1e-6 of a chi-square of four degrees lies below.
+LIMIT = 33.4
 #: Median of a chi-square of four degrees of freedom.
 MEDIAN = 3.3567
 DISTANCE_STEPS = 64

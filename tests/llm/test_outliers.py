@@ -109,6 +109,14 @@ def test_small_groups_are_judged_by_wider_ones(spark):
         assert got[k].kept == ("##" not in text)
 
 
+def test_a_text_with_forty_symbols_in_a_hundred_words_is_rejected(spark):
+    rng = random.Random(8)
+    prose = lambda marks: " ".join(f"word{rng.randrange(900)}" + "|" * (j % 100 < marks) for j in range(100))
+    rows = [(k, prose(marks), "en", "a") for k, marks in enumerate([0] * 60 + [10, 40])]
+    got = {r.doc_id: r.kept for r in outliers.judge(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    assert [k for k in got if not got[k]] == [61]
+
+
 def test_a_table_below_the_least_group_is_judged(spark):
     clean = [" ".join(f"word{k}x{j}" for j in range(60)) for k in range(8)]
     rows = [(k, text, "en", f"s{k % 3}") for k, text in enumerate([*clean, clean[0].replace(" ", "## ")])]
