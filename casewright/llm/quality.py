@@ -26,7 +26,7 @@ BITS = 17
 RATED = 6_000
 GRADES = 3
 WANTED = 2
-KEEP_AT = 0.3
+KEEP_AT = 0.5
 PENALTY = 2e-4
 ROUNDS = 300
 RATE = 0.1

@@ -34,6 +34,15 @@ def test_held_out_ratings(spark):
     assert scored.tail_probability.between(0, 1).all() and scored.expected_grade.between(0, 2).all()
 
 
+def test_toxic_texts_are_rejected_more_often_than_a_lower_cut_would(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where("doc_id % 3 = 0 and quality = 1")
+    scored = quality.graded(docs, labels.where("doc_id % 3 != 0")).join(held, "doc_id").toPandas()
+    toxic = scored.toxic == 1
+    assert scored[toxic].kept.mean() < 0.65
+    assert scored[~toxic].kept.mean() > 0.99
+
+
 def test_edges(spark):
     rows = [(1, None, 5.0), (2, "", None), (3, "word " * 200_000, 1.0), (4, "a b", 2.0), (4, "a b", 2.0), (None, "c", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, expected_grade double")
