@@ -199,14 +199,18 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 
 def rated(docs: DataFrame, labels: DataFrame, most: int = RATED) -> DataFrame:
-    """(grade, text) of about ``most`` rated documents at most; of several ratings of a document the lowest counts."""
+    """(grade, text) of about ``most`` rated documents at most, one row per identifier.
+
+    Of several ratings of a document the lowest counts; of several texts the one of the largest hash.
+    """
     grades = labels.select(F.col("doc_id").alias("id"), grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     grades = grades.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     count = grades.count()
     part = min(1.0, most / count) if count else 0.0
     chosen = grades.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part * 1_000_000)
     # The sample is bounded by ``most``, so it may go to every task.
-    return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("grade", "text")
+    found = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+    return found.groupBy("id", "grade").agg(F.max_by("text", F.xxhash64("text")).alias("text")).select("grade", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = RATED) -> Ordinal:

@@ -43,6 +43,13 @@ def test_toxic_texts_are_rejected_more_often_than_a_lower_cut_would(spark):
     assert scored[~toxic].kept.mean() > 0.99
 
 
+def test_a_repeated_identifier_is_rated_once(spark):
+    docs = spark.createDataFrame([(1, "same text")] * 40 + [(1, "other text"), (2, None), (3, "rare")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = sorted((r.grade, r.text or "") for r in quality.rated(docs, labels).collect())
+    assert [grade for grade, _ in got] == [0, 1, 2] and got[0][1] in ("same text", "other text")
+
+
 def test_edges(spark):
     rows = [(1, None, 5.0), (2, "", None), (3, "word " * 200_000, 1.0), (4, "a b", 2.0), (4, "a b", 2.0), (None, "c", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, expected_grade double")
