@@ -41,6 +41,8 @@ PREFIX = COORDINATES - MATCHES + 1
 COMMON_VALUES = 20_000
 COMMON_IN_PART = 8
 BLOCK_ROWS = 1024
+#: Bytes of rows that a task holds before it compares the whole cells among them.
+HELD_BYTES = 1 << 26
 PIVOT_ROWS = 512
 ROUNDS = 3
 
@@ -238,31 +240,49 @@ def linker(common: np.ndarray):
     return link
 
 
+def wide(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts with offsets of 64 bits, so that joined ones stay in one piece beyond 2 GB."""
+    at = batch.schema.get_field_index("text")
+    return batch if at < 0 else batch.set_column(at, "text", batch.column(at).cast(pa.large_string()))
+
+
+def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    pieces = pa.Table.from_batches(held).combine_chunks().to_batches()
+    if len(pieces) != 1:
+        raise ValueError(f"rows of a cell came in {len(pieces)} pieces")
+    return pieces[0]
+
+
 def by_cell(ready):
     """Applies ``ready`` to batches of whole cells; rows come sorted by cell, of at most about 2 ``BLOCK_ROWS`` each.
 
-    Cells i = j compare all members of a block with each other, others those of block i with those of block j.
+    Cells i = j compare all members of a block with each other, others those of block i with those of block j. Whole cells
+    are handed on once rows or bytes are enough; a single cell is held whatever its bytes.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        held_rows = 0
-        for batch in batches:
+        held_rows, held_bytes, most = 0, 0, HELD_BYTES
+        for batch in map(wide, batches):
             if not batch.num_rows:
                 continue
             held.append(batch)
             held_rows += batch.num_rows
-            if held_rows < 4 * BLOCK_ROWS:
+            held_bytes += batch.nbytes
+            if held_rows < 4 * BLOCK_ROWS and held_bytes < most:
                 continue
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            table = joined(held)
             i, j, key = (table.column(n).to_numpy() for n in ("i", "j", "key"))
             other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
                 yield ready(table.slice(0, cut))
             held, held_rows = [table.slice(cut)], len(key) - cut
+            held_bytes = held[0].nbytes
+            # What is left of a long cell is not joined anew with each batch.
+            most = max(HELD_BYTES, 2 * held_bytes)
         if held_rows:
-            yield ready(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield ready(joined(held))
 
     return compare
 

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 
 from casewright.llm import near_dedup
@@ -76,3 +77,13 @@ def test_common_values_change_no_result(spark, monkeypatch, common):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     wanted = brute.near_components([(r.doc_id, r.text) for r in docs.collect()])
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()} == wanted
+
+
+def test_cells_are_handed_on_by_bytes(monkeypatch):
+    monkeypatch.setattr(near_dedup, "HELD_BYTES", 20_000)
+    rows = [{"key": k // 30, "i": 0, "j": 0, "node": k, "text": "x" * 500} for k in range(600)]
+    batches = [pa.RecordBatch.from_pylist(rows[k : k + 7]) for k in range(0, 600, 7)]
+    got = list(near_dedup.by_cell(lambda batch: batch)(iter(batches)))
+    assert [n for b in got for n in b.column("node").to_pylist()] == list(range(600))
+    assert len(got) > 5 and all(b.column("node")[0].as_py() % 30 == 0 for b in got)
+    assert all(b.schema.field("text").type == pa.large_string() for b in got)
