@@ -1,8 +1,9 @@
-"""Optimal length buckets and batches of a token budget inside each.
+"""Optimal length buckets and batches of a budget of lengths inside each: words, unless a length in tokens is given.
 
 The global histogram of lengths is one small table: exact cells up to 1,024, above that 512 cells per power of two, so
 its size does not grow with the data. Dynamic programming over its cells chooses the bucket boundaries with the least
-padding; a boundary is the longest length that occurs in its bucket, so no document is cut. The recurrence
+padding, from 1,024 on among the longest lengths of the cells, each 0.2 % wide at most; a boundary is the longest length
+that occurs in its bucket, so no document is cut. The recurrence
 
     padding(k, j) = min over i < j of padding(k - 1, i) + longest(j) * count(i..j) - tokens(i..j)
 
