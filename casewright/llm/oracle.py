@@ -4,6 +4,7 @@ from __future__ import annotations
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 URLS = rf"""
 WITH parts AS (
@@ -127,10 +128,128 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.co
 FROM documents d JOIN roots r ON d.doc_id = r.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id
 """
 
+SEARCH = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS terms
+  FROM documents
+), sizes AS (
+  SELECT row, doc_id, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes
+), held AS (
+  SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+  FROM held, totals GROUP BY term, n_docs
+), items AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark
+), scored AS (
+  SELECT item_id, row, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN held USING (term) JOIN sizes USING (row), totals
+  GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def after(value: str, cost: str, edit: str) -> str:
+    """A survivor (eight digits of cost, then its edits) with one more edit; null stays null."""
+    return f"lpad(CAST(CAST(left({value}, 8) AS INTEGER) + {cost} AS VARCHAR), 8, '0') || substr({value}, 9) || '{edit}'"
+
+
+def stays(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} END"
+
+
+KEPT, PUT = "extra", "extra + 3"
+MOVES = f"""
+    {after("v0", "4", "D")} AS n0,
+    least({after("v1", "4", "D")}, {stays("stays AND initial = 's'", after("v0", KEPT, "K"))}) AS n1,
+    least({after("v2", "4", "D")},
+      {", ".join(stays("stays AND initial = 'u'", after(v, KEPT, "K")) for v in ("v0", "v1", "v3"))},
+      {", ".join(stays("stays", after(v, PUT, "R")) for v in ("v0", "v1", "v3"))}) AS n2,
+    least({after("v3", "4", "D")}, {stays("stays AND initial = 'a'", after("v2", KEPT, "K"))},
+      {stays("stays", after("v2", PUT, "R"))}) AS n3"""
+#: crc32 of the key of a turn, byte by byte and bit by bit.
+CHECKSUM = """xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
+BLANKS = r"[\x20\x09-\x0D]"
+REPAIR = rf"""
+WITH RECURSIVE filled AS (
+  SELECT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key,
+    coalesce(role, ' ') AS role, coalesce(text, ' ') AS text
+  FROM conversations
+), kinds AS (
+  SELECT *, {CHECKSUM} % 20 AS kind FROM filled
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), seen AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, *, left(role, 1) AS initial,
+    regexp_replace(text, '{BLANKS}+$', '') AS shown,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+  FROM damaged
+), rows AS (
+  SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    fault IN ('', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra,
+    lag(initial) OVER (PARTITION BY c ORDER BY i) AS previous
+  FROM seen
+), counted AS (
+  SELECT c, conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY c, conv_id
+), steps AS (
+  SELECT c, 0::BIGINT AS i, '00000000' AS v0, NULL::VARCHAR AS v1, '00000003I' AS v2, '00000006II' AS v3 FROM counted
+  UNION ALL
+  SELECT c, i, n0, n1, w2, least(n3, {after("w2", "3", "I")}) FROM (
+    SELECT *, least(n2, {", ".join(after(v, "3", "I") for v in ("n0", "n1", "n3"))}) AS w2
+    FROM (SELECT steps.c, steps.i + 1 AS i, {MOVES} FROM steps JOIN rows ON rows.c = steps.c AND rows.i = steps.i + 1)
+  )
+), solved AS (
+  SELECT counted.*, least(v0, v3) AS best, substr(least(v0, v3), 9) AS audit FROM counted JOIN steps ON steps.c = counted.c AND steps.i = n
+), edits AS (
+  SELECT c, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS step FROM solved WHERE audit <> ''
+), placed AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY c ORDER BY step) AS i,
+    count(*) FILTER (edit <> 'D') OVER (PARTITION BY c ORDER BY step) AS turn_out
+  FROM edits
+), written AS (
+  SELECT placed.*, rows.role, rows.text,
+    max(CASE WHEN edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY placed.c) AS system
+  FROM placed LEFT JOIN rows ON rows.c = placed.c AND rows.i = placed.i AND edit <> 'I'
+), hashed AS (
+  SELECT c, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (turn_out - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY step)) AS hash
+  FROM written WHERE edit <> 'D' GROUP BY c
+)
+SELECT known.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(best, 8)::BIGINT, 0) AS cost,
+  coalesce(audit, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS known
+LEFT JOIN solved ON solved.conv_id IS NOT DISTINCT FROM known.conv_id
+LEFT JOIN hashed ON hashed.c = solved.c
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_url_filter": URLS,
     "op2_mixing": MIX,
     "op7_chat_formatting": CHAT,
     "op8_exact_dedup": EXACT,
     "op9_minhash_near_dedup": NEAR,
+    "op11_ranked_search": SEARCH,
+    "op13_turn_repair": REPAIR,
 }

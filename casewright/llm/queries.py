@@ -16,7 +16,10 @@ from casewright.llm import (
     outliers,
     packing,
     quality,
+    ranked_search,
     token_counts,
+    token_files,
+    turn_repair,
     url_filter,
 )
 from casewright.llm.oracle import ORACLE  # noqa: F401
@@ -87,3 +90,18 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judge(table(spark, folder, "documents"), ["doc_id"]).drop("distance")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.read_back(token_files.encode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.digests(table(spark, folder, "conversations"))

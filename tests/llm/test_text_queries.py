@@ -18,7 +18,7 @@ def duck():
 
 
 def test_one_query_for_each_operator():
-    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
@@ -26,12 +26,13 @@ def test_query_matches_sql(spark, duck, name):
     assert oracle.compare(queries.QUERIES[name](spark, FOLDER), duck, queries.ORACLE[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - {"op11_ranked_search"}))
 def test_query_returns_every_row(spark, name):
     table = {"op1_url_filter": "pages"}.get(name, "documents")
     wanted = spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
-    if name == "op7_chat_formatting":
-        wanted = spark.read.parquet(f"{FOLDER}/conversations.parquet").select("conv_id").distinct().count() + 1
+    if name in ("op7_chat_formatting", "op13_turn_repair"):
+        wanted = spark.read.parquet(f"{FOLDER}/conversations.parquet").select("conv_id").distinct().count()
+        wanted += name == "op7_chat_formatting"
     assert queries.QUERIES[name](spark, FOLDER).count() == wanted
 
 
