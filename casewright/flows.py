@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions.calendar import BusinessCalendar
@@ -13,6 +13,7 @@ from casewright.operators import dimension as D
 from casewright.operators import efficiency as E
 from casewright.operators import mirror as M
 from casewright.sources import stores as S
+from casewright.sources.keyed import KeyedStore, bucket_of, month_of
 from casewright.sources.tables import between_days
 from casewright.sources.timesheets import read_timesheets
 from casewright.sources.working import working_table
@@ -129,6 +130,26 @@ def publish_periods(
 # Parents before children: a table may look up only tables that come before it.
 SYNC_ORDER = ["statuses", "departments", "employees", "customers", "cases"]
 CHILDREN = ["case_tasks", "case_task_history"]
+TARGETS: dict[str, Callable[[], M.Target]] = {
+    "statuses": M.statuses_target,
+    "departments": M.departments_target,
+    "employees": M.employees_target,
+    "customers": M.customers_target,
+    "cases": M.cases_target,
+}
+
+
+def mirror_part(name: str) -> Column:
+    """Partition of a mirrored row: cases by the month they came in, customers dealt out, short lists whole."""
+    if name == "cases":
+        return month_of(F.col("received_date"))
+    return bucket_of(F.col("customer_code")) if name == "customers" else F.lit("all")
+
+
+def mirror_store(spark: SparkSession, root: str, name: str) -> KeyedStore:
+    """The store of one mirrored table; children are merged by their parent."""
+    key = TARGETS[name]().key if name in TARGETS else "case_id"
+    return KeyedStore(spark, f"{root.rstrip('/')}/{name}", key)
 
 
 def sync_mirror(
@@ -143,64 +164,49 @@ def sync_mirror(
 ) -> dict[str, M.SyncRun]:
     """Upsert every mirrored table in dependency order, then replace the children.
 
-    Each table is its own job and publishes its own version. A table that fails is logged; the
-    others still land, and its last good version stays.
+    Each table is its own job and publishes its own version; only partitions with a changed row are written, so a night
+    without changes writes none. A table that fails is logged; the others still land, and its last good version stays.
     """
-    root = root.rstrip("/")
-    log = f"{root}/sync_log"
-    targets = {
-        "statuses": M.statuses_target(),
-        "departments": M.departments_target(),
-        "employees": M.employees_target(),
-        "customers": M.customers_target(),
-        "cases": M.cases_target(),
-    }
+    log = f"{root.rstrip('/')}/sync_log"
     first = as_of - timedelta(days=days)
     runs: dict[str, M.SyncRun] = {}
 
-    def published(name: str) -> DataFrame | None:
-        version = S.current_version(spark, f"{root}/{name}")
-        return spark.read.parquet(version) if version else None
+    def store(name: str) -> KeyedStore:
+        return mirror_store(spark, root, name)
 
-    def parent(name: str) -> DataFrame:
-        return S.read_current(spark, f"{root}/{name}")
+    def recent_cases() -> DataFrame:
+        cases = sources["cases"]()
+        cases = cases.filter(between_days(F.col("date_in"), first, as_of))
+        return cases.filter(~F.coalesce("deleted", F.lit(False))) if "deleted" in cases.columns else cases
 
     for name in SYNC_ORDER:
         with M.SyncRun(spark, name, log) as run:
             runs[name] = run
-            source = sources[name]()
-            if name == "cases":
-                source = source.filter(between_days(F.col("date_in"), first, as_of))
-            if "deleted" in source.columns:
+            source = recent_cases() if name == "cases" else sources[name]()
+            if name != "cases" and "deleted" in source.columns:
                 source = source.filter(~F.coalesce("deleted", F.lit(False)))
-            target = targets[name]
-            parents = {table: parent(table) for _, table, _, _ in target.lookups.values()}
-            rows = M.mapped_rows(source, target, parents, (newest or {}).get(name))
-            merged = M.upsert(published(name), run.counted(rows), target, now=now)
-            run.report = S.guarded_write(merged, f"{root}/{name}", now=now)
+            target = TARGETS[name]()
+            parents = {table: store(table).read() for _, table, _, _ in target.lookups.values()}
+            rows = M.with_ids(M.mapped_rows(source, target, parents, (newest or {}).get(name)), target)
+            run.report = store(name).merge(run.counted(rows), mirror_part(name), now=now, stamp=M.STAMP, unique=True)
 
     for name in CHILDREN:
         with M.SyncRun(spark, name, log) as run:
             runs[name] = run
-            cases = sources["cases"]()
-            cases = cases.filter(
-                between_days(F.col("date_in"), first, as_of) & ~F.coalesce("deleted", F.lit(False))
-            )
+            cases = recent_cases().select("case_id", "case_number")
             if name == "case_tasks":
                 children = M.task_children(sources[name](), cases)
             else:
-                rows = sources[name]().drop("case_number").join(
-                    cases.select("case_id", "case_number"), "case_id", "inner"
-                )
-                children = M.history_children(rows, parent("employees"))
-            result = M.replace_children(
-                published(name),
-                children,
-                parent("cases"),
-                parent_key="case_number",
-                parent_id="case_id",
-            )
-            run.failed = result.orphans.count()
-            run.rows = children.count() - run.failed
-            run.report = S.guarded_write(result.table, f"{root}/{name}", now=now)
+                rows = sources[name]().drop("case_number").join(cases, "case_id", "inner")
+                children = M.history_children(rows, store("employees").read())
+            parents = store("cases").read().withColumn("__month", mirror_part("cases"))
+            tagged = M.tagged_children(children, parents, parent_key="case_number", parent_id="case_id", carry=["__month"])
+            seen = Observation()
+            orphan = F.col("case_id").isNull()
+            # Written once: rows and orphans are counted on the way, the merge reads what was written.
+            tagged = working_table(tagged.observe(seen, F.count_if(orphan).alias("orphans"), F.count("*").alias("all")), "children")
+            run.failed = seen.get["orphans"]
+            run.rows = seen.get["all"] - run.failed
+            known = tagged.filter(~orphan)
+            run.report = store(name).merge(known, F.col("__month"), now=now, drop=["__month"], written=True)
     return runs

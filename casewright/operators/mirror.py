@@ -103,8 +103,13 @@ def customers_target() -> Target:
         "customer_id",
         {
             "practice_name": F.coalesce("practice_name", F.lit("")),
+            "address_line1": F.col("address1"),
+            "address_line2": F.col("address2"),
             "city": F.col("city"),
             "state": short_state(F.col("state")),
+            "zip": F.col("zip_code"),
+            "phone": F.col("office_phone"),
+            "email": F.col("email"),
             "is_active": true_by_default(F.col("active")),
         },
     )
@@ -140,10 +145,10 @@ def mapped_rows(
     parents: Mapping[str, DataFrame],
     newest: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Source rows in mirror form: cleaned columns, resolved foreign keys, one row per natural key.
+    """Source rows in mirror form: cleaned columns and resolved foreign keys.
 
-    Repeated keys resolve by ``newest``. Without it they must not differ: exact copies collapse,
-    and ``upsert`` refuses the rest.
+    Repeated keys resolve by ``newest``. Without it they must not differ: ``one_per_key`` collapses exact copies and
+    refuses the rest.
     """
     keys = [expr.alias(f"__fk_{name}") for name, (expr, *_) in target.lookups.items()]
     order = list(newest or [])
@@ -156,8 +161,6 @@ def mapped_rows(
     if order:
         ranked = [F.col(f"__order_{k}").desc_nulls_last() for k in range(len(order))]
         rows = latest_per_key(rows, [target.key], ranked).drop(*[f"__order_{k}" for k in range(len(order))])
-    else:
-        rows = rows.distinct()
     for name, (_, parent, natural, surrogate_col) in target.lookups.items():
         side = parents[parent].select(
             F.col(natural).alias(f"__natural_{name}"), F.col(surrogate_col).alias(name)
@@ -168,6 +171,22 @@ def mapped_rows(
     return rows
 
 
+def one_per_key(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key, in one shuffle; rows of a key that differ raise."""
+    values = [c for c in rows.columns if c != key]
+    content = F.xxhash64(*values)
+    checked = F.when(
+        F.min(content) != F.max(content), F.raise_error(F.concat(F.lit("repeated key "), F.first(F.col(key).cast("string"))))
+    ).otherwise(F.lit(True))
+    one = rows.groupBy(key).agg(*[F.first(v).alias(v) for v in values], checked.alias("__one"))
+    return one.filter("__one").drop("__one")
+
+
+def with_ids(rows: DataFrame, target: Target) -> DataFrame:
+    """Mirror rows with their surrogate id, one per natural key."""
+    return one_per_key(rows, target.key).withColumn(target.id_column, surrogate(F.col(target.key)))
+
+
 def upsert(
     current: DataFrame | None,
     rows: DataFrame,
@@ -182,13 +201,7 @@ def upsert(
     source stay unless ``delete_missing``. A key that occurs twice with different content raises.
     """
     values = [*target.columns, *target.lookups]
-    one = rows.groupBy(target.key).agg(
-        *[F.first(v).alias(v) for v in values], F.count("*").alias("__copies")
-    )
-    checked = F.when(
-        F.col("__copies") > 1, F.raise_error(F.concat(F.lit("repeated key "), F.col(target.key)))
-    ).otherwise(F.lit(True))
-    new = one.withColumn("__new", checked).drop("__copies")
+    new = one_per_key(rows.select(target.key, *values), target.key).withColumn("__new", F.lit(True))
     stamp = wall_clock(now)
     out = [target.id_column, target.key, *values, STAMP]
     if current is None:
@@ -215,6 +228,12 @@ def upsert(
     return joined.select(*columns).select(*out)
 
 
+def tagged_children(source: DataFrame, parents: DataFrame, *, parent_key: str, parent_id: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Children with their parent's id, and columns of the parent to ``carry``; the id of an orphan is null."""
+    ids = parents.select(parent_key, parent_id, *carry)
+    return source.join(ids, parent_key, "left").drop(parent_key)
+
+
 @dataclass(frozen=True)
 class ChildResult:
     """New child table and the source rows whose parent is unknown."""

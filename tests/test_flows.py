@@ -125,18 +125,36 @@ def test_sync_twice(spark, tmp_path):
     root = str(tmp_path / "mirror")
     options = {"as_of": AS_OF}
     flows.sync_mirror(spark, sources, root, now=datetime(1998, 6, 15, 2), **options)
-    before = {n: sorted(map(str, S.read_current(spark, f"{root}/{n}").collect())) for n in flows.SYNC_ORDER + flows.CHILDREN}
+
+    def stored():
+        return {n: sorted(map(str, flows.mirror_store(spark, root, n).read().collect())) for n in flows.SYNC_ORDER + flows.CHILDREN}
+
+    before = stored()
     assert all(before[n] for n in ("statuses", "customers", "cases", "case_tasks"))
-    flows.sync_mirror(spark, sources, root, now=datetime(1998, 6, 16, 2), **options)
-    after = {n: sorted(map(str, S.read_current(spark, f"{root}/{n}").collect())) for n in flows.SYNC_ORDER + flows.CHILDREN}
-    assert before == after
+    folders = {n: flows.mirror_store(spark, root, n).files() for n in before}
+    again = flows.sync_mirror(spark, sources, root, now=datetime(1998, 6, 16, 2), **options)
+    # A night without changes writes no partition, and counts what it saw.
+    assert {n: again[n].report.parts for n in before} == dict.fromkeys(before, ())
+    assert {n: flows.mirror_store(spark, root, n).files() for n in before} == folders
+    assert again["case_tasks"].rows == len(before["case_tasks"]) and again["case_tasks"].failed == 0
+    assert before == stored()
 
     def down():
         raise RuntimeError("no connection")
 
-    flows.sync_mirror(spark, {**sources, "departments": down}, root, now=datetime(1998, 6, 17, 2), **options)
+    # One case turns out to have come in two months earlier: its own two months are written, and those of its tasks.
+    recent = lab.cases().filter("date_in BETWEEN '1998-05-01' AND '1998-05-31' AND NOT deleted")
+    late = recent.join(lab.case_tasks().select("case_id"), "case_id", "left_semi").agg(F.min("case_id")).first()[0]
+    earlier = F.when(F.col("case_id") == late, F.col("date_in") - F.expr("INTERVAL 60 DAYS")).otherwise(F.col("date_in"))
+    moved = {**sources, "departments": down, "cases": lambda: lab.cases().withColumn("date_in", earlier)}
+    runs = flows.sync_mirror(spark, moved, root, now=datetime(1998, 6, 17, 2), **options)
     log = spark.read.parquet(f"{root}/sync_log")
     failed = log.filter("status = 'failed'").collect()
     assert [(r.sync_type, r.error) for r in failed] == [("departments", "no connection")]
     assert log.filter("status = 'completed'").count() == 20
-    assert sorted(map(str, S.read_current(spark, f"{root}/cases").collect())) == before["cases"]
+    assert runs["cases"].report.moved == 1 and len(runs["cases"].report.parts) == 2
+    assert runs["case_tasks"].report.parts == runs["cases"].report.parts
+    assert runs["customers"].report.parts == ()
+    now = stored()
+    assert len(now["cases"]) == len(before["cases"]) and len(set(now["cases"]) - set(before["cases"])) == 1
+    assert all(now[n] == before[n] for n in before if n != "cases")

@@ -215,9 +215,17 @@ RUN1, RUN2 = datetime(2026, 7, 1, 2), datetime(2026, 7, 2, 2)
 CUSTOMERS = "customer_id long, practice_name string, city string, state string, active boolean"
 
 
+def customers(spark, entries):
+    """Customers whose contact columns follow from their id."""
+    number = F.col("customer_id").cast("string")
+    contact = {"address1": F.concat(number, F.lit(" Main")), "address2": F.lit(None).cast("string"), "zip_code": F.lpad(number, 5, "0")}
+    contact |= {"office_phone": F.concat(F.lit("555-"), number), "email": F.concat(number, F.lit("@x.example"))}
+    return spark.createDataFrame(entries, CUSTOMERS).withColumns(contact)
+
+
 def mirror_customers(spark, entries, current, now, **options):
     target = M.customers_target()
-    source = M.mapped_rows(spark.createDataFrame(entries, CUSTOMERS), target, {})
+    source = M.mapped_rows(customers(spark, entries), target, {})
     return M.upsert(current, source, target, now=now, **options)
 
 
@@ -229,6 +237,8 @@ def test_upsert_is_idempotent(spark):
         ("2", "P", None, False),
         ("3", "Q", None, True),
     }
+    contact = first.filter("customer_code = '2'").select("address_line1", "address_line2", "zip", "phone", "email").first()
+    assert tuple(contact) == ("2 Main", None, "00002", "555-2", "2@x.example")
     again = mirror_customers(spark, entries, first, RUN2)
     assert rows(again, "customer_code") == rows(first, "customer_code")
     changed = mirror_customers(spark, [(1, "New", "X", "WA", None), (4, "R", "Y", None, True)], first, RUN2)
@@ -244,7 +254,7 @@ def test_repeated_keys(spark):
     with pytest.raises(PySparkException, match="repeated key 1"):
         mirror_customers(spark, entries, None, RUN1).collect()
     target = M.customers_target()
-    source = M.mapped_rows(spark.createDataFrame(entries, CUSTOMERS), target, {}, newest=[F.col("practice_name")])
+    source = M.mapped_rows(customers(spark, entries), target, {}, newest=[F.col("practice_name")])
     assert [r.practice_name for r in M.upsert(None, source, target, now=RUN1).collect()] == ["B"]
 
 
