@@ -13,13 +13,9 @@ from casewright.functions import text as X
 from casewright.functions.calendar import BusinessCalendar, wall_clock
 from casewright.functions.followup import follow_up_date
 from casewright.operators.joins import lookup
-from casewright.operators.pick import (
-    latest_per_key,
-    of_cases,
-    priority_pick,
-    product_categories,
-)
+from casewright.operators.pick import best_category, case_number, latest_per_key, tagged_facts, with_category
 from casewright.sources.tables import small_table
+from casewright.sources.working import working_table
 
 TASK_ORDER = ["complete_date", "case_product_id", "part_id", "source_id"]
 
@@ -42,6 +38,29 @@ def with_location(cases: DataFrame, locations: DataFrame) -> DataFrame:
     return lookup(cases, locations, "last_location_id", "id", {"description": "location"})
 
 
+CASE_COLUMNS = ["case_id", "case_number", "pan_number", "ship_date", "due_date", "status", "location", "local_delivery"]
+
+
+def with_numbers_of(
+    cases: DataFrame, wanted: Column, purpose: str, locations: DataFrame, columns: Sequence[str] = CASE_COLUMNS
+) -> DataFrame:
+    """All ``cases`` that share their number with a ``wanted`` one, with their location; written once, so a job runs."""
+    located = with_location(cases, locations).withColumn("number", case_number())
+    rows = located.join(located.filter(wanted).select("number").distinct(), "number", "left_semi")
+    return working_table(rows.select("number", *columns), purpose)
+
+
+def latest_case(picked: DataFrame, cases: DataFrame) -> DataFrame:
+    """The case that holds the latest task of its number, with the task's name, time and department."""
+    side = picked.withColumn("__case", F.col("done.o1"))
+    return (
+        cases.join(side, "number", "inner")
+        .filter(F.col("case_id") == F.col("__case"))
+        .withColumns({"last_task": F.col("done.task"), "last_scan": F.col("done.scan"), "department": F.col("done.department")})
+        .drop("done", "__case")
+    )
+
+
 def exclude_pairs(
     category: Column, location: Column, excluded: str, locations: Sequence[str]
 ) -> Column:
@@ -66,26 +85,25 @@ def open_case_list(
     planning: Sequence[str] = V.PLANNING_LOCATIONS,
     task_tie: Sequence[str] = TASK_ORDER,
 ) -> DataFrame:
-    """One row per open case with its category, location and last scan.
+    """One row per open case number: the case with the latest task, and the best category of all its cases.
 
-    Ship dates stay unadjusted here. A ship date counts as recent from ``lookback_days - 1`` days
-    before ``as_of`` on (P12).
+    Cases that share a number are one. Ship dates stay unadjusted here. A ship date counts as recent from
+    ``lookback_days - 1`` days before ``as_of`` on, and is looked at after the case was picked (P12). The open cases of
+    numbers with a recent one are written once; tasks and product lines then meet in one aggregate by number.
     """
     first = F.lit(as_of - timedelta(days=lookback_days - 1)).cast("timestamp_ntz")
-    open_cases = cases.filter((F.col("status") == status) & (F.col("ship_date") >= first))
-    categories = priority_pick(
-        product_categories(
-            of_cases(case_products, open_cases), products.filter("category IS NOT NULL")
-        ),
-        ["case_id"],
-        priority=priority,
+    recent = F.col("ship_date") >= first
+    shown = with_numbers_of(cases.filter(F.col("status") == status), recent, "open-cases", locations)
+    facts = tagged_facts(case_tasks, case_products, task_tie).join(shown.select("case_id", "number"), "case_id", "inner")
+    picked = (
+        with_category(facts, products)
+        .groupBy("number")
+        .agg(F.max("done").alias("done"), best_category(F.col("category"), priority).alias("category"))
     )
-    tasks = latest_tasks(of_cases(case_tasks, open_cases), task_tie).drop("department")
     category = X.normalise_category(F.col("category"), aliases)
     return (
-        with_location(open_cases, locations)
-        .join(tasks, "case_id", "inner")
-        .join(categories, "case_id", "left")
+        latest_case(picked, shown)
+        .filter(recent)
         .withColumn("category", category)
         .filter(exclude_pairs(F.col("category"), F.col("location"), "MARPE", planning))
         .select(
@@ -112,11 +130,13 @@ def open_case_list_by_department(
     status: str = "In Production",
     task_tie: Sequence[str] = TASK_ORDER,
 ) -> DataFrame:
-    """As ``open_case_list``, with the department of the last task as category."""
-    open_cases = cases.filter(F.col("status") == status)
+    """As ``open_case_list`` without its date limit, with the department of the last task as category."""
+    located = with_location(cases.filter(F.col("status") == status), locations)
+    shown = working_table(located.select(case_number().alias("number"), *CASE_COLUMNS), "open-cases")
+    facts = tagged_facts(case_tasks, None, task_tie).join(shown.select("case_id", "number"), "case_id", "inner")
+    picked = facts.groupBy("number").agg(F.max("done").alias("done"))
     return (
-        with_location(open_cases, locations)
-        .join(latest_tasks(of_cases(case_tasks, open_cases), task_tie), "case_id", "inner")
+        latest_case(picked, shown)
         .select(
             "case_id",
             "case_number",
@@ -228,15 +248,23 @@ def airway_workflow(
     stages: Sequence[str],
     task_tie: Sequence[str] = TASK_ORDER,
 ) -> DataFrame:
-    """Cases in the planning stages with their latest task.
+    """Case numbers in the planning stages with their latest task.
 
-    The task of a case is ranked over all its tasks; the location only filters cases afterwards.
-    Cases without any task stay.
+    The case of a number is the one with the latest task of all that share it, open or not; location and status only
+    filter afterwards. A case without any task comes last.
     """
-    in_stage = with_location(cases, locations).filter(F.col("location").isin(list(stages)))
-    named = in_stage.join(customers.select("customer_id", "practice_name"), "customer_id", "left")
-    tasks = latest_tasks(of_cases(case_tasks, in_stage), task_tie).drop("department")
-    rows = named.join(tasks, "case_id", "left").select(
+    columns = [*CASE_COLUMNS, "customer_id", "doctor_name", "create_date"]
+    in_stage = F.col("location").isin(list(stages))
+    shown = with_numbers_of(cases, in_stage, "airway-cases", locations, columns)
+    tasks = tagged_facts(case_tasks, None, task_tie)
+    kind = tasks.schema["done"].dataType
+    # A case without tasks is a row with nothing but its id.
+    bare = F.struct(*[F.col("case_id").cast(f.dataType) if f.name == "o1" else F.lit(None).cast(f.dataType) for f in kind])
+    own = shown.select("number", bare.cast(kind).alias("done"))
+    facts = tasks.join(shown.select("case_id", "number"), "case_id", "inner").select("number", "done")
+    picked = facts.unionByName(own).groupBy("number").agg(F.max("done").alias("done"))
+    named = latest_case(picked, shown).filter(in_stage)
+    rows = named.join(customers.select("customer_id", "practice_name"), "customer_id", "left").select(
         "customer_id",
         "doctor_name",
         "practice_name",

@@ -12,8 +12,9 @@ from casewright import vocabulary as V
 from casewright.functions import text as X
 from casewright.functions.calendar import last_weekdays
 from casewright.operators.joins import day_spine, densify
-from casewright.operators.pick import latest_per_key, of_cases, priority_pick, product_categories
+from casewright.operators.pick import best_category, case_number, latest_per_key, of_cases, priority_pick, product_categories
 from casewright.sources.tables import between_days
+from casewright.sources.working import working_table
 
 
 def employee_name(
@@ -253,31 +254,30 @@ def cases_by_operator(
 ) -> DataFrame:
     """Accepted cases per user, day and category.
 
-    Audit events of unknown cases stay with a null category; one category per case.
+    Audit events of unknown cases stay with a null category. A case counts in the best category of all shipped cases with
+    its number and ship date. The accepted cases are written once, so a job runs.
     """
     recent = between_days(F.col("create_date"), as_of - timedelta(days=days), as_of)
     events = audit.filter(F.col("type").isin(list(types)) & recent).select(
         "case_id", "created_by", F.to_date("create_date").alias("day")
     )
     counted = events.groupBy("case_id", "created_by", "day").agg(F.count("*").alias("events"))
-    shipped = of_cases(
-        cases.filter(
-            F.col("status").isin("In Production", "Invoiced") & F.col("ship_date").isNotNull()
-        ).select("case_id"),
-        counted,
-    )
-    lines = of_cases(case_products, counted)
-    picked = of_cases(
-        priority_pick(product_categories(lines, products), ["case_id"], priority=priority), shipped
-    )
-    catalogued = lines.join(products.select("product_id"), "product_id", "left_semi")
-    bare = shipped.join(catalogued, "case_id", "left_anti").withColumn("category", F.lit(V.OTHER))
-    labels = picked.unionByName(bare).withColumn(
-        "category", X.normalise_category(F.col("category"), aliases)
+    keys = ["number", "shipped"]
+    is_shipped = F.col("status").isin("In Production", "Invoiced")
+    shipped = F.when(is_shipped, F.to_date("ship_date")).alias("shipped")
+    numbered = cases.select("case_id", case_number().alias("number"), shipped, F.lit(1).alias("known"))
+    accepted = working_table(counted.join(numbered, "case_id", "left"), "accepted")
+    wanted = accepted.filter("shipped IS NOT NULL").select(*keys).distinct()
+    owners = numbered.drop("known").join(wanted, keys, "left_semi")
+    lines = case_products.select("case_id", "product_id").join(owners, "case_id", "inner")
+    best = (
+        lines.join(products.select("product_id", "category"), "product_id", "inner")
+        .groupBy(*keys)
+        .agg(best_category(F.col("category"), priority).alias("category"))
     )
+    label = F.when(F.col("shipped").isNotNull(), X.normalise_category(F.col("category"), aliases))
     return (
-        counted.join(cases.select("case_id", F.lit(1).alias("known")), "case_id", "left")
-        .join(labels, "case_id", "left")
-        .groupBy("created_by", "day", "category")
+        accepted.join(best, keys, "left")
+        .groupBy("created_by", "day", label.alias("category"))
         .agg(F.coalesce(F.sum(F.col("known") * F.col("events")), F.lit(0).cast("bigint")).alias("n"))
     )

@@ -72,11 +72,11 @@ def workload_detail(
     excluded_category: str = "Airway",
     include_uncategorised: bool = False,
 ) -> DataFrame:
-    """One row per case in the window with its priority category (W04, U01, A02 detail).
+    """One row per case number and ship date in the window, with the priority category (W04, U01, A02 detail).
 
-    A case without any product counts as Other. A case that owns only excluded or uncategorised
-    products is left out, unless ``include_uncategorised`` is set. Both follow from one aggregate
-    per case: the best eligible category, and whether the case has products at all.
+    Of cases that share number and date the one that owns the best line is shown, of several the largest id. A case
+    without any product counts as Other, on its own. One that owns only excluded or uncategorised products is left out,
+    unless ``include_uncategorised`` is set. All follows from two aggregates: per case, and per number and date.
     """
     window = window_days(as_of, calendar, days)
     category = F.col("category")
@@ -86,30 +86,31 @@ def workload_detail(
     owned = (
         product_categories(of_cases(case_products, shown), products)
         .groupBy("case_id")
-        .agg(F.max(F.when(eligible, best))["category"].alias("category"), F.lit(True).alias("owns"))
-    )
-    rows = (
-        with_location(shown, locations)
-        .join(owned, "case_id", "left")
-        .select(
-            "case_id",
-            "case_number",
-            "pan_number",
-            "status",
-            "local_delivery",
-            "location",
-            F.to_date("ship_date").alias("ship_date"),
-            F.to_date("ship_date").alias("orig_ship_date"),
-            F.to_date("due_date").alias("due_date"),
-            category,
-            "owns",
-        )
+        .agg(F.max(F.when(eligible, best)).alias("best"), F.lit(True).alias("owns"))
     )
+    rows = shown.join(owned, "case_id", "left")
     if not include_uncategorised:
-        rows = rows.filter(category.isNotNull() | F.col("owns").isNull())
+        rows = rows.filter(F.col("best").isNotNull() | F.col("owns").isNull())
+    carried = ["pan_number", "status", "local_delivery", "last_location_id", "due_date"]
+    top = F.max(F.struct("best", "case_id", *carried)).alias("top")
+    # Cases without products, or without a number, are groups of their own.
+    alone = F.when(F.col("owns").isNull() | F.col("case_number").isNull(), F.col("case_id"))
+    rows = rows.groupBy("case_number", F.to_date("ship_date").alias("ship_date"), alone.alias("alone")).agg(top)
+    rows = with_location(rows.select("case_number", "ship_date", "top.*"), locations).select(
+        "case_id",
+        "case_number",
+        "pan_number",
+        "status",
+        "local_delivery",
+        "location",
+        "ship_date",
+        F.col("ship_date").alias("orig_ship_date"),
+        F.to_date("due_date").alias("due_date"),
+        F.col("best.category").alias("category"),
+    )
     rows = adjust_rush_dates(rows, calendar, span=_span(window, calendar))
     rows = business_window(rows, "ship_date", window)
-    return rows.drop("owns").withColumn("category", X.normalise_category(category, aliases))
+    return rows.withColumn("category", X.normalise_category(category, aliases))
 
 
 def without_products(cases: DataFrame, case_products: DataFrame, products: DataFrame) -> DataFrame:

@@ -42,12 +42,15 @@ _AIRWAY = """
     CASE WHEN l.pan_number LIKE 'R%' AND length(l.pan_number) < 4 THEN cal.prev_bd
          ELSE CAST(l.ship_date AS DATE) END AS ship_date,
     l.case_number, l.pan_number, CAST(l.create_date AS DATE) AS create_date, l.status,
-    t.task AS last_task, t.complete_date AS last_scan
-  FROM located l JOIN v_stage s ON s.location = l.location
+    l.task AS last_task, l.complete_date AS last_scan
+  FROM (
+      SELECT n.*, t.task, t.complete_date, row_number() OVER (PARTITION BY n.case_number ORDER BY t.complete_date DESC NULLS LAST,
+        n.case_id DESC, t.case_product_id DESC NULLS LAST, t.part_id DESC NULLS LAST, t.source_id DESC NULLS LAST) AS rn
+      FROM numbered n LEFT JOIN case_tasks t ON t.case_id = n.case_id) l
+    JOIN v_stage s ON s.location = l.location
     JOIN cal ON cal.d = CAST(l.ship_date AS DATE)
     LEFT JOIN customers c ON c.customer_id = l.customer_id
-    LEFT JOIN latest_task t ON t.case_id = l.case_id
-  WHERE l.status IN ('In Production', 'On Hold')"""
+  WHERE rn = 1 AND l.status IN ('In Production', 'On Hold')"""
 
 ORACLE = {
     "open_case_list": """
@@ -55,9 +58,9 @@ ORACLE = {
           last_task, last_scan, local_delivery FROM case_list""",
     "open_case_list_by_dept": """
         SELECT l.case_id, l.case_number, l.pan_number, CAST(l.ship_date AS DATE) AS ship_date, l.status,
-          t.department AS category, l.location, t.task AS last_task, t.complete_date AS last_scan,
+          l.department AS category, l.location, l.task AS last_task, l.complete_date AS last_scan,
           l.local_delivery
-        FROM located l JOIN latest_task t ON t.case_id = l.case_id WHERE l.status = 'In Production'""",
+        FROM open_number l""",
     "case_flags": """
         SELECT case_number, pan_number, ship_date, is_rush, leaves_today, is_overdue FROM case_list""",
     "filter_cases": """

@@ -22,7 +22,7 @@ WINDOW = W.window_days(AS_OF, CALENDAR, DAYS)
 
 def open_cases(lab: Lab) -> DataFrame:
     return C.open_case_list(
-        lab.cases(),
+        lab.numbered_cases(),
         lab.case_tasks(),
         lab.locations(),
         lab.case_products(),
@@ -41,7 +41,7 @@ def status_counts(lab: Lab) -> DataFrame:
 
 def detail(lab: Lab) -> DataFrame:
     return W.workload_detail(
-        lab.cases(),
+        lab.numbered_cases(),
         lab.case_products(),
         lab.products(),
         lab.locations(),
@@ -58,7 +58,7 @@ def open_case_list(lab: Lab) -> DataFrame:
 
 @query
 def open_case_list_by_dept(lab: Lab) -> DataFrame:
-    return C.open_case_list_by_department(lab.cases(), lab.case_tasks(), lab.locations())
+    return C.open_case_list_by_department(lab.numbered_cases(), lab.case_tasks(), lab.locations())
 
 
 @query
@@ -99,7 +99,7 @@ def case_filter_options(lab: Lab) -> DataFrame:
 def airway_rows(lab: Lab) -> DataFrame:
     stages = [stage for stages in V.STAGE_GROUPS.values() for stage in stages]
     return C.airway_workflow(
-        lab.cases(),
+        lab.numbered_cases(),
         lab.case_tasks(),
         lab.locations(),
         lab.customers(),

@@ -205,6 +205,11 @@ class Lab:
             )
         )
 
+    def numbered_cases(self) -> DataFrame:
+        """Cases, a third of which share one of forty numbers, as the parts of a split order do."""
+        shared = F.concat(F.lit("S"), (F.col("case_id") % 40).cast("string"))
+        return self.cases().withColumn("case_number", F.when(F.col("case_id") % 3 == 0, shared).otherwise(F.col("case_number")))
+
     def locations(self) -> DataFrame:
         """Location of the work done by each supplier, named after its nation."""
         return self.table("supplier").select(

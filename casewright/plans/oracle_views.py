@@ -261,6 +261,23 @@ VIEWS = {
           CAST(month(o_orderdate) * 100000 + 5000000 AS DECIMAL(18,2)) AS revenue_goal
         FROM orders WHERE year(o_orderdate) <> 1996""",
     # -- shared intermediate results --------------------------------------------------------------
+    "numbered_cases": """
+        SELECT * REPLACE (CASE WHEN case_id % 3 = 0 THEN 'S' || (case_id % 40) ELSE case_number END AS case_number) FROM cases""",
+    "numbered": """
+        SELECT c.*, v.description AS location FROM numbered_cases c
+          LEFT JOIN supplier s ON s.s_suppkey = c.last_location_id LEFT JOIN v_location v ON v.id = s.s_nationkey""",
+    "open_number": """
+        SELECT * FROM (
+          SELECT l.*, t.task, t.complete_date, t.department, row_number() OVER (PARTITION BY l.case_number
+            ORDER BY t.complete_date DESC NULLS LAST, l.case_id DESC, t.case_product_id DESC, t.part_id DESC, t.source_id DESC) AS rn
+          FROM numbered l JOIN case_tasks t ON t.case_id = l.case_id WHERE l.status = 'In Production') x WHERE rn = 1""",
+    "best_of_number": """
+        SELECT case_number, category FROM (
+          SELECT l.case_number, p.category, row_number() OVER (
+            PARTITION BY l.case_number ORDER BY coalesce(v.pos, 99), p.category DESC) AS rn
+          FROM numbered_cases l JOIN case_products cp ON cp.case_id = l.case_id JOIN products p ON p.product_id = cp.product_id
+            LEFT JOIN v_priority v ON p.category LIKE v.pattern
+          WHERE p.category IS NOT NULL AND l.status = 'In Production') x WHERE rn = 1""",
     "located": """
         SELECT c.*, v.description AS location FROM cases c
           LEFT JOIN supplier s ON s.s_suppkey = c.last_location_id LEFT JOIN v_location v ON v.id = s.s_nationkey""",
@@ -292,10 +309,9 @@ VIEWS = {
               CASE WHEN lower(b.category) LIKE '%expander%' THEN 'E² Expanders'
                 WHEN b.category IN ('Airway', 'Marpe') THEN 'MARPE' WHEN b.category = 'Lab to lab' THEN 'Lab to Lab'
                 WHEN b.category IS NULL OR trim(b.category) = '' THEN 'Other' ELSE trim(b.category) END AS category,
-              t.task AS last_task, t.complete_date AS last_scan, l.local_delivery
-            FROM located l JOIN latest_task t ON t.case_id = l.case_id
-              LEFT JOIN best_category b ON b.case_id = l.case_id
-            WHERE l.status = 'In Production' AND l.ship_date >= TIMESTAMP '1998-06-10') y
+              l.task AS last_task, l.complete_date AS last_scan, l.local_delivery
+            FROM open_number l LEFT JOIN best_of_number b ON b.case_number = l.case_number
+            WHERE l.ship_date >= TIMESTAMP '1998-06-10') y
           LEFT JOIN v_alias a ON a.raw = y.location
           WHERE NOT (category = 'MARPE' AND location IS NOT NULL AND location IN (SELECT location FROM v_planning))
         ) z""",
@@ -309,14 +325,15 @@ VIEWS = {
               WHEN lower(k.category) LIKE '%expander%' THEN 'E² Expanders'
               WHEN k.category = 'Accessories' THEN 'Other' WHEN k.category = 'Marpe' THEN 'MARPE'
               WHEN k.category = 'Lab to lab' THEN 'Lab to Lab' ELSE trim(k.category) END AS category
-          FROM located l JOIN cal c ON c.d = CAST(l.ship_date AS DATE)
+          FROM numbered l JOIN cal c ON c.d = CAST(l.ship_date AS DATE)
             JOIN (
               SELECT case_id, category FROM (
-                SELECT cp.case_id, p.category, row_number() OVER (
-                  PARTITION BY cp.case_id ORDER BY coalesce(v.pos, 99), p.category DESC) AS rn
-                FROM case_products cp JOIN products p ON p.product_id = cp.product_id
+                SELECT n.case_id, p.category, row_number() OVER (PARTITION BY n.case_number, CAST(n.ship_date AS DATE)
+                  ORDER BY coalesce(v.pos, 99), p.category DESC, n.case_id DESC) AS rn
+                FROM numbered_cases n JOIN case_products cp ON cp.case_id = n.case_id
+                  JOIN products p ON p.product_id = cp.product_id
                   LEFT JOIN v_priority v ON p.category LIKE v.pattern
-                WHERE p.category <> 'Airway') x WHERE rn = 1
+                WHERE p.category <> 'Airway' AND n.status IN ('In Production', 'Invoiced')) x WHERE rn = 1
               UNION ALL
               SELECT case_id, NULL FROM cases WHERE NOT EXISTS (
                 SELECT 1 FROM case_products cp JOIN products p ON p.product_id = cp.product_id

@@ -113,8 +113,14 @@ ORACLE = {
             WHEN k.category IN ('Airway', 'Marpe') THEN 'MARPE' WHEN k.category = 'Lab to lab' THEN 'Lab to Lab'
             ELSE trim(k.category) END AS category, count(c.case_number) AS n
         FROM audit_trail a LEFT JOIN cases c ON c.case_id = a.case_id
-        LEFT JOIN (SELECT s.case_id, b.category FROM cases s
-            LEFT JOIN best_category b ON b.case_id = s.case_id
+        LEFT JOIN (SELECT s.case_id, b.category FROM numbered_cases s
+            LEFT JOIN (SELECT * FROM (
+                SELECT n.case_number, CAST(n.ship_date AS DATE) AS d, p.category, row_number() OVER (
+                  PARTITION BY n.case_number, CAST(n.ship_date AS DATE) ORDER BY coalesce(v.pos, 99), p.category DESC) AS rn
+                FROM numbered_cases n JOIN case_products cp ON cp.case_id = n.case_id JOIN products p ON p.product_id = cp.product_id
+                  LEFT JOIN v_priority v ON p.category LIKE v.pattern
+                WHERE p.category IS NOT NULL AND n.status IN ('In Production', 'Invoiced')) x WHERE rn = 1) b
+              ON b.case_number = s.case_number AND b.d = CAST(s.ship_date AS DATE)
             WHERE s.status IN ('In Production', 'Invoiced')) k ON k.case_id = a.case_id
         WHERE a.type = 'Accept Remote Case' AND a.create_date >= TIMESTAMP '1998-05-16'
           AND a.create_date < TIMESTAMP '1998-06-16' GROUP BY 1, 2, 3""",

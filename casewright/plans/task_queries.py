@@ -63,7 +63,7 @@ def category_trends(lab: Lab) -> DataFrame:
 @query
 def cases_by_operator(lab: Lab) -> DataFrame:
     return T.cases_by_operator(
-        lab.audit_trail(), lab.cases(), lab.case_products(), lab.products(), as_of=AS_OF
+        lab.audit_trail(), lab.numbered_cases(), lab.case_products(), lab.products(), as_of=AS_OF
     )
 
 
