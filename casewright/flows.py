@@ -80,10 +80,8 @@ def rename_teams(
     as_of: date,
     now: datetime,
 ) -> S.WriteReport:
-    """Team names changed in the whole daily store, then the period matrix anew."""
-    renamed = D.rename_values(S.read_history(spark, daily_path), "team", mapping)
-    # Read in full before its partitions are replaced.
-    S.upsert_by_partition(working_table(renamed, "renamed"), daily_path, sort=["employee_id"])
+    """Team names changed in the daily store, then the period matrix anew."""
+    rewrite_changed_days(spark, daily_path, lambda rows: D.rename_values(rows, "team", mapping), ["team"])
     return publish_periods(spark, daily_path, periods_path, calendar, as_of=as_of, now=now)
 
 
@@ -98,13 +96,36 @@ def reapply_employees(
     now: datetime,
     columns: Sequence[str] = ("staff_name", "team", "training_plan"),
 ) -> S.WriteReport:
-    """Today's names, teams and plans over the whole daily store, then the period matrix anew."""
+    """Today's names, teams and plans over the daily store, then the period matrix anew."""
     side = employees.withColumn("employee_id", F.col("employee_id").cast("bigint"))
-    current = D.reapply_dimension(S.read_history(spark, daily_path), side, key="employee_id", columns=columns)
-    S.upsert_by_partition(working_table(current, "reapplied"), daily_path, sort=["employee_id"])
+
+    def reapplied(rows: DataFrame) -> DataFrame:
+        return D.reapply_dimension(rows, side, key="employee_id", columns=columns)
+
+    rewrite_changed_days(spark, daily_path, reapplied, list(columns))
     return publish_periods(spark, daily_path, periods_path, calendar, as_of=as_of, now=now)
 
 
+def rewrite_changed_days(
+    spark: SparkSession, daily_path: str, change: Callable[[DataFrame], DataFrame], columns: Sequence[str]
+) -> list[date]:
+    """``change`` applied to the days of the daily store in which it alters a row; their files alone are replaced.
+
+    ``columns`` are those that it may alter. The days are found from the keys and these columns, no others are read.
+    """
+    before = [F.col(c).alias(f"__old_{c}") for c in columns]
+    slim = change(S.read_history(spark, daily_path).select("date", "employee_id", *columns, *before))
+    differs = ~F.lit(True)
+    for c in columns:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"__old_{c}"))
+    days = sorted(r.date for r in slim.filter(differs).select("date").distinct().collect())
+    if days:
+        rows = change(S.read_history(spark, daily_path).filter(F.col("date").isin(days)))
+        # Read in full before its partitions are replaced.
+        S.upsert_by_partition(working_table(rows, "changed-days"), daily_path, sort=["employee_id"])
+    return days
+
+
 def _as_stored(day: DataFrame) -> DataFrame:
     return day.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.DAILY_SCHEMA])
 

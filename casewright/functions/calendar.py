@@ -7,17 +7,20 @@ gives the same calendar as a DataFrame for densifying series.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
-from functools import cached_property, reduce
+from functools import cached_property, lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Dates that a literal map covers; the others take the general form.
 MAPPED_DAYS = 400
+#: Days that the table of business days covers.
+TABLE_FIRST, TABLE_LAST = date(1970, 1, 1), date(2069, 12, 31)
 # Longest closed stretch the yearly rules can produce: two holidays beside a weekend.
 RULE_CLOSURE = 4
 
@@ -193,6 +196,29 @@ class BusinessCalendar:
         days = F.sequence(F.date_sub(day, 1), F.date_sub(day, reach), F.expr("INTERVAL -1 DAY"))
         return F.element_at(F.filter(days, self.is_business), n)
 
+    @cached_property
+    def _ordinals(self) -> tuple[list[date], list[int]]:
+        """The business days of the table, and for each of its days how many of them lie before."""
+        days, before = [], []
+        for k in range((TABLE_LAST - TABLE_FIRST).days + 1):
+            day = TABLE_FIRST + timedelta(days=k)
+            before.append(len(days))
+            if self.is_business_day(day):
+                days.append(day)
+        return days, before
+
+    def shifted(self, df: DataFrame, day: Column, shifts: Mapping[str, int]) -> DataFrame:
+        """``df`` with a column per shift: the n-th business day after ``day``, or before it for a negative n.
+
+        One join with a table of days, whose size is fixed and known, so that 250 days cost as much as one. Business days
+        are numbered; the n-th one from a day is found by its number when the table is made. Null for null, and for days
+        outside 1970 to 2069 or whose answer is.
+        """
+        columns = {f"__to_{name}": _shift_column(self, n) for name, n in shifts.items()} | {"__day": _shift_column(self, 0)}
+        table = df.sparkSession.createDataFrame(pa.table(columns))
+        joined = df.withColumn("__from", F.to_date(day)).join(table, F.col("__from") == F.col("__day"), "left")
+        return joined.withColumns({name: F.col(f"__to_{name}") for name in shifts}).drop("__from", *columns)
+
     def frame(self, spark: SparkSession, first: date, last: date) -> DataFrame:
         """Calendar table: date, is_business, holiday, bd_ordinal, prev_bd, next_bd.
 
@@ -211,6 +237,18 @@ class BusinessCalendar:
         )
 
 
+@lru_cache(maxsize=64)
+def _shift_column(calendar: BusinessCalendar, n: int) -> pa.Array:
+    """For each day of the table the n-th business day after or before it; the day itself for 0."""
+    days, before = calendar._ordinals
+    own = [TABLE_FIRST + timedelta(days=k) for k in range(len(before))]
+    if not n:
+        return pa.array(own, pa.date32())
+    # The first business day after a day has the number of those up to it.
+    places = [b + n if n < 0 else b + n - 1 + (b < len(days) and days[b] == day) for b, day in zip(before, own, strict=True)]
+    return pa.array([days[p] if 0 <= p < len(days) else None for p in places], pa.date32())
+
+
 # -- weekday, week and month helpers without holidays (D06-D08) ----------------------------------
 
 

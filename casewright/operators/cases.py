@@ -163,9 +163,11 @@ def adjust_rush_dates(
 
     ``span`` states that all dates lie in a short range, which allows the cheaper lookup.
     """
-    day = F.col(ship)
-    earlier = calendar.previous_within(day, *span) if span else calendar.previous(day)
-    return df.withColumn(ship, F.when(X.is_rush(F.col(pan)), earlier).otherwise(day))
+    day, rush = F.col(ship), X.is_rush(F.col(pan))
+    if span:
+        return df.withColumn(ship, F.when(rush, calendar.previous_within(day, *span)).otherwise(day))
+    earlier = calendar.shifted(df, day, {"__earlier": -1})
+    return earlier.withColumn(ship, F.when(rush, F.col("__earlier")).otherwise(day)).drop("__earlier")
 
 
 def add_flags(

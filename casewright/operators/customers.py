@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from casewright import vocabulary as V
@@ -102,20 +102,15 @@ def filter_options(df: DataFrame, columns: Sequence[str] = V.CUSTOMER_FILTERS) -
 def natural_key(col: Column) -> Column:
     """Sort key that orders digit runs by value: 'A2' before 'A10' (O06).
 
-    Every digit run is left-padded to a fixed width after its leading zeros are dropped.
+    Every digit run loses its leading zeros and gets its length in front, so runs of any length are in order.
     """
     runs = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"(\d+|\D+)"), F.lit(1))
-    width = 24
-    return F.array_join(
-        F.transform(
-            runs,
-            lambda r: F.when(
-                r.rlike(r"^\d"),
-                F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), F.greatest(F.lit(width), F.length(r)), F.lit("0")),
-            ).otherwise(F.lower(r)),
-        ),
-        "",
-    )
+
+    def number(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), number(r)).otherwise(F.lower(r))), "")
 
 
 def mixed_key(col: Column) -> tuple[Column, Column, Column]:
@@ -152,14 +147,70 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     return placed.withColumn("__part", part).join(offsets, "__part").withColumn(name, place).drop("__part", "__start", "__at")
 
 
+#: Rows up to the end of a page that each partition may keep and sort; deeper pages are found by rank.
+SHALLOW = 10_000
+SPLITS = 64
+
+
 def page(
-    df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 100
+    df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 100, place: str | None = None
 ) -> DataFrame:
-    """One page of an ordered table (O08); the order must end in a unique column.
+    """One page of an ordered table (O08); the order, ascending, must end in a unique column.
+
+    Spark keeps at most ``SHALLOW`` rows per partition for it; of a deeper page it first finds the keys around it.
+    ``place`` names a column with the place in the page, 1 the first: its window sees the page alone.
+    """
+    skip = (number - 1) * size
+    if skip + size > SHALLOW:
+        df, skip = around_rank(df, order, skip, size)
+    rows = df.orderBy(*order).offset(skip).limit(size)
+    return rows.withColumn(place, F.row_number().over(Window.orderBy(*order)).cast("bigint")) if place else rows
+
+
+def around_rank(df: DataFrame, order: Sequence[Column], skip: int, size: int) -> tuple[DataFrame, int]:
+    """Rows between two keys that enclose the places after ``skip`` in the order, and how many of them to skip.
 
-    Spark keeps at most ``number * size`` rows per partition for it. Use ``page_after`` to walk deep.
+    Every turn takes ``SPLITS`` keys by their hash, counts the rows between each two of them in one pass, and goes on
+    with those around the page, until few enough are left or nothing more comes off. Nothing is sorted or written;
+    the driver sees keys and counts only.
     """
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    names = [f"__k{k}" for k in range(len(order))]
+    keyed = df.withColumns(dict(zip(names, order, strict=True)))
+    key, rows, inside = F.struct(*names), keyed, None
+    kinds = keyed.select(*names).schema
+
+    def literal(found: Row) -> Column:
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(found, kinds, strict=True)])
+
+    while inside is None or inside > SHALLOW:
+        chosen = rows.select(*names).orderBy(F.xxhash64(*names)).limit(SPLITS).orderBy(*names).collect()
+        splits = [literal(r) for r in chosen]
+        if not splits:
+            break
+        cell = F.size(F.filter(F.array(*splits), lambda s: s < key))
+        counts = dict(map(tuple, rows.groupBy(cell.alias("cell")).count().collect()))
+        total, before = sum(counts.values()), 0
+        first, last = None, len(splits)
+        for c in range(len(splits) + 1):
+            upto = before + counts.get(c, 0)
+            if first is None and upto > skip:
+                first, start = c, before
+            if upto >= skip + size:
+                last = c
+                break
+            before = upto
+        if first is None:
+            return rows.drop(*names).limit(0), 0
+        left = sum(counts.get(c, 0) for c in range(first, last + 1))
+        if first > 0:
+            rows = rows.filter(key > splits[first - 1])
+        if last < len(splits):
+            rows = rows.filter(key <= splits[last])
+        skip -= start
+        if left == total:
+            break
+        inside = left
+    return rows.drop(*names), skip
 
 
 def page_after(df: DataFrame, key: str, last: object, size: int = 100) -> DataFrame:

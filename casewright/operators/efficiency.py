@@ -59,6 +59,7 @@ def accepted_tasks(rows: DataFrame) -> DataFrame:
 def employee_totals(rows: DataFrame, by: Sequence[str] = (), *, drop_rejected: bool = False) -> DataFrame:
     """Distinct cases, tasks and summed hours per employee; rows without employee dropped.
 
+    An id that is no number is an employee of its own: ``employee_id`` is null then and ``employee_text`` the text.
     With ``drop_rejected`` every row that shares its key with a rejected row is left out (J09). The
     rows are reduced per key and then per case before the final grouping: the rejected test needs no
     self-join, the distinct count no second copy, and an employee with a large share of the tasks
@@ -66,10 +67,13 @@ def employee_totals(rows: DataFrame, by: Sequence[str] = (), *, drop_rejected: b
     """
     keys = [k for k in REJECT_KEY if k != "completed_by"] if drop_rejected else ["case_number"]
     copies = F.col("copies") if "copies" in rows.columns else F.lit(1)
-    employee = X.id_number(F.col("completed_by")).alias("employee_id")
+    number = X.id_number(F.col("completed_by"))
+    employee = ["employee_id", "employee_text"]
+    text = F.when(number.isNull(), F.trim(F.col("completed_by").cast("string")))
     per_key = (
         rows.filter(F.col("completed_by").isNotNull())
-        .groupBy(*by, employee, *keys)
+        .withColumns({"employee_id": number, "employee_text": text})
+        .groupBy(*by, *employee, *keys)
         .agg(
             F.sum(F.when(F.col("case_number").isNotNull(), copies).otherwise(0)).alias("tasks"),
             F.sum(_hours()).alias("hours"),
@@ -79,10 +83,10 @@ def employee_totals(rows: DataFrame, by: Sequence[str] = (), *, drop_rejected: b
     if drop_rejected:
         per_key = (
             per_key.filter("rejected = 0")
-            .groupBy(*by, "employee_id", "case_number")
+            .groupBy(*by, *employee, "case_number")
             .agg(F.sum("tasks").alias("tasks"), F.sum("hours").alias("hours"))
         )
-    return per_key.groupBy(*by, "employee_id").agg(
+    return per_key.groupBy(*by, *employee).agg(
         F.count("case_number").alias("cases_worked_on"),
         F.sum("tasks").alias("tasks_completed"),
         F.sum("hours").alias("tasks_duration_hours"),
@@ -98,13 +102,13 @@ def stage1(history: DataFrame, plan: DataFrame, order: Sequence[Column], start:
 def daily_tasks(history: DataFrame, plan: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Task totals per employee and day over the whole history."""
     rows = with_duration(history, plan, order).withColumn("date", F.to_date("complete_date"))
-    return employee_totals(rows, ["date"], drop_rejected=True)
+    return employee_totals(rows, ["date"], drop_rejected=True).drop("employee_text")
 
 
 def tasks_of_days(history: DataFrame, plan: DataFrame, order: Sequence[Column], days: DataFrame) -> DataFrame:
     """Task totals per employee and ``date``, each date standing for the days that ``days`` (date, day) gives it."""
     rows = with_duration(history, plan, order).withColumn("day", F.to_date("complete_date"))
-    return employee_totals(rows.join(days, "day"), ["date"], drop_rejected=True)
+    return employee_totals(rows.join(days, "day"), ["date"], drop_rejected=True).drop("employee_text")
 
 
 def with_employee(hours: DataFrame, employees: DataFrame) -> DataFrame:
@@ -238,7 +242,7 @@ def midday_snapshot(
         planned = latest_per_key(plan, TASK_KEY, order).select(*TASK_KEY, "duration")
     rows = rows.join(planned, TASK_KEY, "inner").withColumn("data_date", F.to_date("complete_date"))
     rows = explode_windows(rows, "complete_date", windows, closed=True)
-    totals = employee_totals(rows, ["data_date", "window"])
+    totals = employee_totals(rows, ["data_date", "window"]).drop("employee_text")
     named = totals.join(
         employees.select(F.col("employee_id").cast("bigint").alias("employee_id"), "staff_name", "team"),
         "employee_id",

@@ -36,18 +36,16 @@ def anti_null_safe(df: DataFrame, bad: DataFrame, keys: Sequence[str]) -> DataFr
 def semi_either(df: DataFrame, first: str, second: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows whose first or second column is among the ids.
 
-    Two left joins against the distinct ids, each of them splittable when a key is hot. A single
-    join on ``first = id OR second = id`` would be a nested loop.
+    Both ends of a row, tagged, meet the ids in one semi-join, so the ids are computed once. Equal rows have equal ends:
+    as many of them stay as there were, whichever end was met. Columns must be of types that can be grouped by.
     """
-    wanted = ids.select(id_col).distinct()
-    hit_1 = wanted.select(F.col(id_col).alias("__id1"), F.lit(True).alias("__hit1"))
-    hit_2 = wanted.select(F.col(id_col).alias("__id2"), F.lit(True).alias("__hit2"))
-    return (
-        df.join(hit_1, F.col(first) == F.col("__id1"), "left")
-        .join(hit_2, F.col(second) == F.col("__id2"), "left")
-        .filter(F.col("__hit1").isNotNull() | F.col("__hit2").isNotNull())
-        .drop("__id1", "__hit1", "__id2", "__hit2")
-    )
+    ends = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("id")) for k, c in enumerate((first, second))])
+    tagged = df.select("*", F.explode(F.filter(ends, lambda e: e["id"].isNotNull())).alias("__end"))
+    side = ids.select(F.col(id_col).alias("__id")).distinct()
+    met = tagged.join(side, F.col("__end.id") == F.col("__id"), "left_semi")
+    times = F.greatest(*[F.count_if(F.col("__end.k") == k) for k in (0, 1)]).cast("int")
+    counted = met.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(times.alias("__times"))
+    return counted.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array_repeat(F.lit(0), F.col("__times")))).drop("col")
 
 
 def lateral_first(
@@ -105,11 +103,28 @@ def in_periods(df: DataFrame, day: str, periods: Sequence[tuple[str, date, date]
     )
 
 
-def linked_pairs(links: DataFrame, cases: DataFrame, note_pattern: str) -> DataFrame:
-    """Case pairs of the matching links, the cases' columns prefixed ``main_`` and ``og_``."""
-    main = cases.select(*[F.col(c).alias(f"main_{c}") for c in cases.columns])
-    og = cases.select(*[F.col(c).alias(f"og_{c}") for c in cases.columns])
+def linked_pairs(links: DataFrame, cases: DataFrame, note_pattern: str, main: Column, columns: Sequence[str]) -> DataFrame:
+    """Case pairs of the matching links, the cases' ``columns`` prefixed ``main_`` and ``og_``.
+
+    Each link is two tagged ends, so the cases are read and joined once for both; ``main`` is a condition on the case at
+    the main end. The ends meet again in one aggregate by pair; a link that occurs twice gives its pair twice.
+    """
+    sides = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("id")) for k, c in enumerate(("case_id", "link_case_id"))])
     ends = links.filter(F.col("notes").like(note_pattern)).select(
-        F.col("case_id").alias("main_case_id"), F.col("link_case_id").alias("og_case_id")
+        F.col("case_id").alias("main_case_id"), F.col("link_case_id").alias("og_case_id"), F.explode(sides).alias("__end")
+    )
+    side = cases.select(F.col("case_id").alias("__id"), main.alias("__main"), F.struct(*columns).alias("__row"))
+    is_main = F.col("__end.k") == 0
+    met = ends.join(side, F.col("__end.id") == F.col("__id"), "inner").filter(F.col("__main") | ~is_main)
+    pairs = met.groupBy("main_case_id", "og_case_id").agg(
+        F.max(F.when(is_main, F.col("__row"))).alias("__m"),
+        F.max(F.when(~is_main, F.col("__row"))).alias("__o"),
+        F.count_if(is_main).cast("int").alias("__times"),
     )
-    return ends.join(main, "main_case_id", "inner").join(og, "og_case_id", "inner")
+    both = pairs.filter(F.col("__m").isNotNull() & F.col("__o").isNotNull())
+    return both.select(
+        "main_case_id",
+        "og_case_id",
+        *[F.col(f"__{side}.{c}").alias(f"{name}_{c}") for side, name in (("m", "main"), ("o", "og")) for c in columns],
+        F.explode(F.array_repeat(F.lit(0), F.col("__times"))),
+    ).drop("col")

@@ -68,7 +68,7 @@ ORACLE = {
         WHERE case_id IN (SELECT main_id FROM remake_pairs UNION SELECT og_id FROM remake_pairs)""",
     "remake_notes": """
         WITH ids AS (SELECT main_id AS id FROM remake_pairs UNION SELECT og_id FROM remake_pairs)
-        SELECT n.call_id, n.note, n.user_id, k.anchor_case_id, k.link_case_id,
+        SELECT n.call_id, n.note, n.call_date, n.user_id, k.anchor_case_id, k.link_case_id,
           coalesce(e.staff_name, trim(n.user_id), '') AS user_name
         FROM call_notes n JOIN case_calls k ON k.call_id = n.call_id
           LEFT JOIN employees e ON e.employee_id = CAST(try_cast(n.user_id AS DOUBLE) AS BIGINT)
@@ -175,7 +175,7 @@ ORACLE = {
         SELECT x.day, x.day IN (SELECT d FROM bday) AS is_business, p.d AS previous,
           (SELECT d FROM bday WHERE n = p.n + CASE WHEN x.day IN (SELECT d FROM bday) THEN 2 ELSE 1 END) AS next_1,
           (SELECT d FROM bday WHERE n = p.n + CASE WHEN x.day IN (SELECT d FROM bday) THEN 3 ELSE 2 END) AS next_2,
-          (SELECT d FROM bday WHERE n = p.n - 4) AS ago_5,
+          (SELECT d FROM bday WHERE n = p.n - 4) AS ago_5, (SELECT d FROM bday WHERE n = p.n - 249) AS ago_250,
           (SELECT d FROM (SELECT d, row_number() OVER (ORDER BY d) AS k FROM all_days WHERE isodow(d) < 6) w
            WHERE k = (SELECT count(*) - 5 FROM all_days v WHERE isodow(v.d) < 6 AND v.d <= x.day)) AS weekday_6,
           x.day - CAST(isodow(x.day) - 1 AS INTEGER) AS week_monday, least(x.day, x.day - CAST(isodow(x.day) - 5 AS INTEGER)) AS week_friday,
@@ -195,6 +195,15 @@ ORACLE = {
             ELSE 'Day After Thanksgiving' END AS holiday FROM f)
         SELECT holiday, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
         FROM n WHERE holiday IS NOT NULL GROUP BY holiday""",
+    "upsert_customers": """
+        WITH c AS (SELECT *, CAST(customer_id AS BIGINT) AS k FROM customers WHERE NOT deleted)
+        SELECT customer_id AS customer_code, coalesce(practice_name, '') AS practice_name, address1 AS address_line1,
+          address2 AS address_line2, city, CASE WHEN length(trim(state)) BETWEEN 1 AND 2 THEN state END AS state,
+          zip_code AS zip, office_phone AS phone, email, coalesce(active, true) AS is_active,
+          CASE WHEN k % 9 = 0 OR (k % 4 = 0 AND office_phone <> '555-0000') OR (k % 7 = 0 AND address2 IS NOT NULL)
+              OR (k % 10 = 3 AND email IS NOT NULL)
+            THEN TIMESTAMP '1998-06-15 02:00:00' ELSE TIMESTAMP '1998-05-16 02:00:00' END AS updated_at
+        FROM c""",
     "upsert_cases": """
         WITH live AS (SELECT * FROM cases WHERE NOT deleted AND date_in <= TIMESTAMP '1998-06-15'),
         fresh AS (SELECT * FROM live WHERE date_in >= TIMESTAMP '1997-12-17'),

@@ -23,8 +23,12 @@ LINE_TIE = ("case_product_id", "product_id", "source_id", "line_date")
 SHARE = "//store/files"
 
 
-def remake_pairs(lab: Lab) -> DataFrame:
-    return R.remake_pairs(lab.case_links(), lab.cases(), as_of=AS_OF)
+def remake_pairs(lab: Lab, columns: list[str] = R.PAIR_COLUMNS) -> DataFrame:
+    return R.remake_pairs(lab.case_links(), lab.cases(), as_of=AS_OF, columns=columns)
+
+
+def remake_ids(lab: Lab) -> DataFrame:
+    return R.pair_ids(remake_pairs(lab, ["date_in"]))
 
 
 def remake_rows(lab: Lab) -> DataFrame:
@@ -69,18 +73,18 @@ def practice_remake_rate(lab: Lab) -> DataFrame:
 
 @query
 def remake_tasks(lab: Lab) -> DataFrame:
-    return R.tasks_of(lab.task_history(), R.pair_ids(remake_pairs(lab)))
+    return R.tasks_of(lab.task_history(), remake_ids(lab))
 
 
 @query
 def remake_notes(lab: Lab) -> DataFrame:
-    notes = R.notes_of(lab.call_notes(), lab.case_calls(), R.pair_ids(remake_pairs(lab)))
+    notes = R.notes_of(lab.call_notes(), lab.case_calls(), remake_ids(lab))
     return R.resolve_names(notes, lab.employees(), "user_id", "user_name")
 
 
 @query
 def case_details(lab: Lab) -> DataFrame:
-    return R.case_details(lab.task_history(), remake_pairs(lab))
+    return R.case_details(lab.task_history(), remake_pairs(lab, ["date_in"]))
 
 
 @query
@@ -158,10 +162,8 @@ def filter_options(lab: Lab) -> DataFrame:
 def natural_sort_page(lab: Lab) -> DataFrame:
     rows = book(lab).select("customer_id", "practice_name")
     order = [B.natural_key(F.col("practice_name")), B.natural_key(F.col("customer_id"))]
-    whole = B.numbered(rows, order)
     # Page 2 of a hundred rows each, the feature itself.
-    page = whole.filter(F.col("position").between(101, 200)).withColumn("position", F.col("position") - 100)
-    return B.with_total(page, rows)
+    return B.with_total(B.page(rows, order, 2, 100, place="position"), rows)
 
 
 @query
@@ -184,13 +186,11 @@ def business_calendar(lab: Lab) -> DataFrame:
     last_monday, last_friday = K.work_week(day, 1)
     month_first, month_last = K.month_back(day, 2)
     days = lab.table("orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return days.select(
+    shifts = {"previous": -1, "next_1": 1, "next_2": 2, "ago_5": -5, "ago_250": -250}
+    return CALENDAR.shifted(days, day, shifts).select(
         "day",
         CALENDAR.is_business(day).alias("is_business"),
-        CALENDAR.previous(day).alias("previous"),
-        CALENDAR.next(day).alias("next_1"),
-        CALENDAR.next(day, 2).alias("next_2"),
-        CALENDAR.days_ago(day, 5).alias("ago_5"),
+        *shifts,
         F.element_at(K.weekdays_back(day, 6), 6).alias("weekday_6"),
         monday.alias("week_monday"),
         friday.alias("week_friday"),
@@ -250,6 +250,22 @@ def upsert_cases(lab: Lab) -> DataFrame:
     )
 
 
+@query
+def upsert_customers(lab: Lab) -> DataFrame:
+    """Nightly upsert of customers with their contact data over a mirror that lacks some and has old numbers of others."""
+    target, key = M.customers_target(), F.col("customer_id").cast("bigint")
+    source = lab.customers().filter("NOT deleted")
+    outdated = {
+        "office_phone": F.when(key % 4 == 0, F.lit("555-0000")).otherwise(F.col("office_phone")),
+        "address2": F.when(key % 7 != 0, F.col("address2")),
+        "email": F.when(key % 10 == 3, F.lit(None)).otherwise(F.col("email")),
+    }
+    old = source.filter(key % 9 != 0).withColumns(outdated)
+    current = M.upsert(None, M.mapped_rows(old, target, {}), target, now=FIRST_RUN)
+    merged = M.upsert(current, M.mapped_rows(source, target, {}), target, now=SECOND_RUN)
+    return merged.select("customer_code", *target.columns, M.STAMP)
+
+
 @query
 def replace_children(lab: Lab) -> DataFrame:
     """Tasks of the last 180 days' cases replaced; tasks of older cases stay, those of deleted cases are orphans."""

@@ -478,6 +478,7 @@ class Lab:
         return self.table("conversations").select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("call_id"),
             F.col("text").alias("note"),
+            F.date_add(F.lit(date(1998, 1, 1)), (F.col("conv_id") % 160).cast("int")).alias("call_date"),
             F.when(F.col("role") == "user", F.concat((F.col("conv_id") % 90).cast("string"), F.lit(".0")))
             .when(F.col("role") == "assistant", F.col("role"))
             .alias("user_id"),

@@ -56,7 +56,7 @@ def _fixed() -> dict[str, str]:
 VIEWS = {
     "all_days": """
         SELECT CAST(d AS DATE) AS d FROM (
-          SELECT unnest(generate_series(TIMESTAMP '1994-12-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY)) AS d
+          SELECT unnest(generate_series(TIMESTAMP '1990-12-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY)) AS d
           UNION ALL
           SELECT unnest(generate_series(TIMESTAMP '2022-12-01', TIMESTAMP '2024-03-31', INTERVAL 1 DAY)) AS d
         ) x""",
@@ -249,6 +249,7 @@ VIEWS = {
         WHERE CAST(o_orderdate AS DATE) <= DATE '1998-06-15' GROUP BY o_custkey""",
     "call_notes": """
         SELECT conv_id * 1000 + turn AS call_id, text AS note,
+          CAST(DATE '1998-01-01' + CAST(conv_id % 160 AS INTEGER) AS DATE) AS call_date,
           CASE role WHEN 'user' THEN (conv_id % 90) || '.0' WHEN 'assistant' THEN role END AS user_id
         FROM conversations""",
     "case_calls": """

@@ -125,14 +125,18 @@ ORACLE = {
         WHERE a.type = 'Accept Remote Case' AND a.create_date >= TIMESTAMP '1998-05-16'
           AND a.create_date < TIMESTAMP '1998-06-16' GROUP BY 1, 2, 3""",
     "stage1_tasks": """
-        SELECT CAST(completed_by AS BIGINT) AS employee_id, count(DISTINCT case_number) AS cases_worked_on,
+        WITH h AS (SELECT * REPLACE (CASE event_id % 31 WHEN 0 THEN 'kiosk' WHEN 1 THEN ' web ' ELSE completed_by END AS completed_by)
+          FROM task_history)
+        SELECT CAST(try_cast(trim(completed_by) AS DOUBLE) AS BIGINT) AS employee_id,
+          CASE WHEN try_cast(trim(completed_by) AS DOUBLE) IS NULL THEN trim(completed_by) END AS employee_text,
+          count(DISTINCT case_number) AS cases_worked_on,
           count(*) AS tasks_completed, CAST(sum(coalesce(p.duration, 0)) AS DOUBLE) AS tasks_duration_hours
-        FROM task_history h LEFT JOIN planned p ON p.case_id = h.case_id AND p.task = h.task
+        FROM h LEFT JOIN planned p ON p.case_id = h.case_id AND p.task = h.task
           AND p.case_product_id = h.case_product_id
         WHERE complete_date >= TIMESTAMP '2024-01-08' AND complete_date < TIMESTAMP '2024-01-15'
           AND (case_number, complete_date, h.task, completed_by) NOT IN (
-            SELECT (case_number, complete_date, task, completed_by) FROM task_history WHERE rejected = 'Yes')
-        GROUP BY 1""",
+            SELECT (case_number, complete_date, task, completed_by) FROM h WHERE rejected = 'Yes')
+        GROUP BY 1, 2""",
     "task_durations": """
         SELECT event_id, h.case_id, h.task, h.case_product_id, CAST(p.duration AS DOUBLE) AS duration
         FROM task_history h LEFT JOIN planned p ON p.case_id = h.case_id AND p.task = h.task

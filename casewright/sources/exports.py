@@ -41,6 +41,11 @@ def export_customers(book: DataFrame) -> DataFrame:
     return labelled(book, columns, V.CUSTOMER_LABELS)
 
 
+def export_periods(matrix: DataFrame) -> DataFrame:
+    """The period matrix as it is published, every column a text under its own name, nulls blank."""
+    return labelled(matrix, matrix.columns, {})
+
+
 HOLD_COLUMNS = [
     "case_number",
     "pan_number",

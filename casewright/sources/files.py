@@ -33,6 +33,10 @@ class Folder:
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
+    def rename(self, name: str, new: str) -> None:
+        if not self._fs.rename(self._at(name), self._at(new)):
+            raise OSError(f"{name} in {self.path} could not be renamed to {new}")
+
     def read_text(self, name: str) -> str:
         stream = self._fs.open(self._at(name))
         try:

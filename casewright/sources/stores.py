@@ -38,6 +38,8 @@ DAILY_SCHEMA = T.StructType(
 )
 DAILY_COLUMNS = [f.name for f in DAILY_SCHEMA]
 POINTER = "_current"
+#: In front of a name: written but not published, which readers ignore; and a mark beside the first version.
+DRAFT, FIRST = "_draft_", "_first_"
 
 
 def read_history(spark: SparkSession, path: str, schema: T.StructType = DAILY_SCHEMA) -> DataFrame:
@@ -50,12 +52,11 @@ def read_history(spark: SparkSession, path: str, schema: T.StructType = DAILY_SC
 def upsert_by_partition(df: DataFrame, path: str, key: str = "date", sort: Sequence[str] = ()) -> None:
     """Replace the partitions of ``key`` that occur in ``df``, keep the others.
 
-    Rows are spread by range over (key, sort), so a day with very many rows is written by many
-    tasks. Repeating the call gives the same store.
+    Small days share a task; a day with very many rows is split by its measured size and written by many. The input is
+    computed once. Repeating the call gives the same store.
     """
-    order = [key, *sort]
     (
-        df.repartitionByRange(*order)
+        df.hint("rebalance", F.col(key))
         .sortWithinPartitions(F.col(key).desc(), *sort)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -98,7 +99,10 @@ class WriteReport:
 def _pointer(spark: SparkSession, path: str) -> tuple[str, int] | None:
     folder = Folder(spark, path)
     if not folder.exists(POINTER):
-        if any(name.startswith("v_") for name in folder.children()):
+        # A version gets its name only when it is about to be published; a first run that died leaves another name, or
+        # its version marked as the first one.
+        published = [name for name in folder.children() if name.startswith("v_")]
+        if published and not (len(published) == 1 and folder.exists(f"{FIRST}{published[0]}")):
             raise FileNotFoundError(f"{path} holds versions but no pointer to the published one")
         return None
     version, rows = folder.read_text(POINTER).split()
@@ -132,22 +136,34 @@ def guarded_write(
     version = f"v_{now:%Y%m%d_%H%M%S_%f}"
     known = _pointer(spark, path)
     previous = known[1] if known else 0
+    draft = f"{DRAFT}{version}"
+    if known and known[0] == version:
+        raise FileExistsError(f"{path} has published {version} already")
     try:
-        df.write.mode("errorifexists").parquet(f"{folder.path}/{version}")
-        rows = spark.read.schema(df.schema).parquet(f"{folder.path}/{version}").count()
+        # Drafts of runs that died, and a version of a first run that nothing points to.
+        for name in folder.children():
+            if name.startswith(DRAFT) or (not known and name.startswith("v_")):
+                folder.delete(name)
+        df.write.mode("errorifexists").parquet(f"{folder.path}/{draft}")
+        rows = spark.read.schema(df.schema).parquet(f"{folder.path}/{draft}").count()
     except BaseException:
-        if not known or known[0] != version:
-            folder.delete(version)
+        folder.delete(draft)
         raise
     if rows == 0 and previous > 0:
-        folder.delete(version)
+        folder.delete(draft)
         log.error("%s: empty result not published over %d rows", path, previous)
         return WriteReport(False, version, 0, previous, "empty result refused")
     warning = None
     if previous and rows < previous * loss_warning:
         warning = f"{rows} rows replace {previous}"
         log.warning("%s: %s", path, warning)
+    if not known:
+        folder.write_text(f"{FIRST}{version}", "")
+    folder.rename(draft, version)
     folder.write_text(POINTER, f"{version} {rows}")
+    for name in folder.children():
+        if name.startswith(FIRST):
+            folder.delete(name)
     # The published version stays whatever its name; of the others the newest names do.
     others = [name for name in folder.children() if name.startswith("v_") and name != version]
     for name in others[: len(others) - (keep - 1)] if len(others) >= keep else []:
