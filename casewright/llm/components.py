@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from casewright.llm.workspace import kept
 
 
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (as ``components`` gives them) with more ``links`` (a, b): only what they join is worked on anew."""
+
+    def named(end: str) -> DataFrame:
+        return roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+
+    a, b = (F.coalesce(f"root_{end}", end).alias(end) for end in "ab")
+    joined = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(a, b).where("a != b")
+    joined = kept(joined.distinct(), "edges")
+    if joined.isEmpty():
+        return roots
+    higher = components(joined)
+    moved = roots.alias("r").join(higher.alias("h"), F.col("r.root") == F.col("h.node"), "left")
+    return kept(moved.select("r.node", F.coalesce("h.root", "r.root").alias("root")).union(higher), "roots")
+
+
 def components(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root): every node of ``pairs`` that isn't the smallest of its component, and that smallest one.
 
@@ -30,10 +46,10 @@ def components(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         rest = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = kept(rest.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
-        now = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))
-        ).first()
+        found = rest.union(least.select("hi", F.col("m").alias("lo"))).distinct()
+        told = Observation()
+        edges = kept(found.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("hash")), "edges")
+        now = told.get
         if now == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         before = now

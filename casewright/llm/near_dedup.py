@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import ragged
-from casewright.llm.components import components
+from casewright.llm.components import components, extended
 from casewright.llm.workspace import PLACE, kept, located, shared_folder
 
 COORDINATES = 64
 MATCHES = 32
 PERCENT = 75
 PREFIX = COORDINATES - MATCHES + 1
+VALUE_BITS = 57
 COMMON_VALUES = 20_000
 COMMON_IN_PART = 8
 BLOCK_ROWS = 1024
@@ -52,13 +53,16 @@ DIGEST_SEEDS = ragged.numbers(23, 2)
 
 
 def signatures_of(sets: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """One row of coordinates per set; sets must not be empty."""
-    out = np.empty((len(of) - 1, COORDINATES), np.uint32)
+    """One row of coordinates per set; sets must not be empty.
+
+    The minimum over a large set has few bits beyond its leading zeros, so it is mixed before it is cut in halves.
+    """
+    out = np.empty((len(of) - 1, COORDINATES), np.uint64)
     work = np.empty_like(sets)
     for c in range(COORDINATES):
         np.bitwise_xor(sets, FLIPS[c], out=work)
         np.multiply(work, FACTORS[c], out=work)
-        out[:, c] = np.minimum.reduceat(work, of[:-1]) >> ragged.U64(32)
+        out[:, c] = ragged.mix(np.minimum.reduceat(work, of[:-1]))
     return out
 
 
@@ -71,7 +75,10 @@ def digests_of(sets: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, file, position, text) -> the same without text, set size, digest and signature (null without words)."""
+    """(id, file, position, text) -> the same without text, set size, digest and signature (null without words).
+
+    A signature holds the upper half of each coordinate, ``low`` the rest, which only tells lists apart.
+    """
     for batch in batches:
         data, offsets = ragged.as_bytes(batch.column("text"))
         for first, end, part, part_of in ragged.blocks(data, offsets):
@@ -80,14 +87,17 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(sizes)
             digests: list[bytes | None] = [None] * len(sizes)
             signs: list[bytes | None] = [None] * len(sizes)
+            lows: list[bytes | None] = [None] * len(sizes)
             if len(full):
                 edges = np.append(of[:-1][full], of[-1])
-                for row, d, s in zip(full.tolist(), digests_of(sets, edges), signatures_of(sets, edges), strict=True):
-                    digests[row], signs[row] = d.tobytes(), s.tobytes()
+                whole = signatures_of(sets, edges)
+                upper, lower = (whole >> ragged.U64(32)).astype(np.uint32), whole.astype(np.uint32)
+                for row, d, s, low in zip(full.tolist(), digests_of(sets, edges), upper, lower, strict=True):
+                    digests[row], signs[row], lows[row] = d.tobytes(), s.tobytes(), low.tobytes()
             rows = batch.slice(first, end - first)
             yield pa.RecordBatch.from_arrays(
-                [*(rows.column(n) for n in ("id", "file", "position")), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
-                names=["id", "file", "position", "size", "digest", "sign"],
+                [*(rows.column(n) for n in ("id", "file", "position")), pa.array(sizes), *(pa.array(c, pa.binary()) for c in (digests, signs, lows))],
+                names=["id", "file", "position", "size", "digest", "sign", "low"],
             )
 
 
@@ -98,10 +108,15 @@ def sign_matrix(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
 
 
 def keys_of(signs: np.ndarray) -> np.ndarray:
-    """(coordinate, value) as one number."""
+    """(coordinate, upper half of the value) as one number."""
     return (np.arange(COORDINATES, dtype=np.int64) << 32) | signs.astype(np.int64)
 
 
+def list_keys(signs: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """(coordinate, 57 bits of the value) as one number, the key of a list."""
+    return (np.arange(COORDINATES, dtype=np.int64) << VALUE_BITS) | (signs.astype(np.int64) << 25) | (lows >> np.uint32(7)).astype(np.int64)
+
+
 def common_in_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Coordinate values that one partition holds at least ``COMMON_IN_PART`` times, with their counts."""
     parts = [keys_of(sign_matrix(b.column("sign"))).ravel() for b in batches if b.num_rows]
@@ -125,7 +140,7 @@ def poster(common: np.ndarray):
         for batch in batches:
             if batch.num_rows:
                 signs = sign_matrix(batch.column("sign"))
-                keys = np.take_along_axis(keys_of(signs), posted(signs, common), axis=1)
+                keys = np.take_along_axis(list_keys(signs, sign_matrix(batch.column("low"))), posted(signs, common), axis=1)
                 nodes = np.repeat(batch.column("node").to_numpy(), PREFIX)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], names=["key", "node"])
 
@@ -204,7 +219,7 @@ def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
     for key, left, right in cells_of(batch):
         for x, y in near_pairs(signs, label, size, left, right):
             both = (signs[x] == signs[y]) & masks[x] & masks[y]
-            early = both[:, : key >> 32].sum(axis=1) < 2
+            early = both[:, : key >> VALUE_BITS].sum(axis=1) < 2
             marked[x[early]] = marked[y[early]] = True
     return pa.RecordBatch.from_arrays([pa.array(keys[marked]), pa.array(node[marked])], names=["key", "node"])
 
@@ -224,7 +239,7 @@ def linker(common: np.ndarray):
         for key, left, right in cells_of(batch):
             for x, y in near_pairs(signs, label, size, left, right):
                 both = (signs[x] == signs[y]) & masks[x] & masks[y]
-                first = both.argmax(axis=1) == key >> 32
+                first = both.argmax(axis=1) == key >> VALUE_BITS
                 x, y = x[first], y[first]
                 for row in np.unique(x):
                     partners = y[x == row]
@@ -310,7 +325,7 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class NearDuplicates:
-    """One run over ``docs``: signatures, classes, confirmed links and components, each a table in the shared folder.
+    """One run over ``docs``: signatures, classes and components, each a table in the shared folder.
 
     Defined results: a null or blank text has an empty set and is its own component; repeated rows and equal texts
     are one class; a component's id is its smallest non-null doc_id (null if it has none); an empty table gives
@@ -321,18 +336,18 @@ class NearDuplicates:
         self.texts = located(docs, [id_column, text_column], "near-rows").toDF("id", "text", "place")
         flat = self.texts.select(F.col("id").cast("long"), "text", "place.file", "place.position")
         self.signs = kept(
-            flat.mapInArrow(sign, "id long, file string, position long, size long, digest binary, sign binary"), "near-signs"
+            flat.mapInArrow(sign, "id long, file string, position long, size long, digest binary, sign binary, low binary"), "near-signs"
         )
         self.classes = kept(
             self.signs.where("digest is not null")
             .groupBy("digest")
-            .agg(F.min("id").alias("id"), F.first("sign").alias("sign"), F.first("size").alias("size"), F.min(F.struct("file", "position")).alias("place"))
+            .agg(F.min("id").alias("id"), F.first("sign").alias("sign"), F.first("low").alias("low"), F.first("size").alias("size"), F.min(F.struct("file", "position")).alias("place"))
             .withColumn("node", F.monotonically_increasing_id()),
             "near-classes",
         )
-        self.links, self.roots = self._link()
+        self.roots = self._link()
 
-    def _link(self) -> tuple[DataFrame, DataFrame]:
+    def _link(self) -> DataFrame:
         signs = self.classes.select("node", "sign", "size")
         common = (
             signs.select("sign")
@@ -343,23 +358,22 @@ class NearDuplicates:
             .limit(COMMON_VALUES)
         )
         values = np.sort(np.array([r.key for r in common.collect()], np.int64))
-        postings = kept(signs.select("node", "sign").mapInArrow(poster(values), "key long, node long"), "near-postings")
+        postings = kept(self.classes.select("node", "sign", "low").mapInArrow(poster(values), "key long, node long"), "near-postings")
         lists = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
         shared = kept(postings.join(lists.select("key", "pivot"), "key"), "near-shared")
         texts = self._texts(shared.select("node").distinct())
 
         stars = shared.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         tried = kept(self._matching(stars, signs), "near-stars")
-        links = kept(self._confirmed(tried, texts), "near-links")
-        roots = components(links)
+        roots = components(kept(self._confirmed(tried, texts), "near-links"))
         for turn in range(1, ROUNDS):
             labelled, mixed = self._mixed(shared, roots, turn)
             pairs = labelled.join(mixed, "key").where("label != top").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
             new = pairs.distinct().join(tried, ["a", "b"], "left_anti")
             new = kept(self._matching(new, signs), "near-stars")
             more = kept(self._confirmed(new, texts), "near-links")
-            tried, links = tried.union(new), links.union(more)
-            roots = components(links)
+            tried = tried.union(new)
+            roots = extended(roots, more)
 
         labelled, mixed = self._mixed(shared, roots, ROUNDS)
         inside = kept(labelled.join(mixed.select("key"), "key", "left_semi"), "near-mixed")
@@ -370,8 +384,10 @@ class NearDuplicates:
         again, mixed = self._mixed(kept(marked, "near-marked"), roots, ROUNDS)
         details = texts.join(again.select("node").distinct(), "node", "left_semi").join(signs, "node")
         more = self._cells(again, mixed, details).mapInArrow(by_cell(linker(values)), "a long, b long").distinct()
-        links = kept(links.union(more), "near-links")
-        return links, components(links)
+        roots = extended(roots, kept(more, "near-links"))
+        # All later results read roots and classes; the files stay with the run's other tables.
+        texts.sparkSession.sql(f"DROP TABLE {self.texts_table}")
+        return roots
 
     @staticmethod
     def _mixed(shared: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -419,7 +435,7 @@ class NearDuplicates:
         spark = found.sparkSession
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         folder = shared_folder(spark, "near-texts")
-        name = f"near_texts_{folder.rsplit('-', 1)[1]}"
+        self.texts_table = name = f"near_texts_{folder.rsplit('-', 1)[1]}"
         writer = found.repartition(buckets, "node").write.bucketBy(buckets, "node").sortBy("node")
         writer.option("path", folder).format("parquet").saveAsTable(name)
         return spark.table(name)

@@ -4,7 +4,7 @@ import random
 
 import brute
 
-from casewright.llm.components import components
+from casewright.llm.components import components, extended
 
 SCHEMA = "a long, b long"
 
@@ -27,3 +27,16 @@ def test_random_graphs_chains_and_stars(spark):
 def test_nulls_loops_and_no_pairs(spark):
     assert found(spark, [(None, 1), (2, None), (3, 3)]) == {}
     assert found(spark, []) == {}
+
+
+def test_more_links_extend_what_is_known(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    frame = lambda pairs: spark.createDataFrame(pairs, SCHEMA)
+    roots = components(frame(links[:150]))
+    for part in (links[150:220], links[:40], [], links[220:] + [(401, 402)]):
+        roots = extended(roots, frame(part))
+    nodes = {x for pair in links for x in pair} | {401, 402}
+    wanted = {n: r for n, r in brute.roots(nodes, [*links, (401, 402)]).items() if n != r}
+    got = roots.collect()
+    assert len(got) == len(wanted) and {r.node: r.root for r in got} == wanted

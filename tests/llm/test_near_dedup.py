@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -87,3 +88,15 @@ def test_cells_are_handed_on_by_bytes(monkeypatch):
     assert [n for b in got for n in b.column("node").to_pylist()] == list(range(600))
     assert len(got) > 5 and all(b.column("node")[0].as_py() % 30 == 0 for b in got)
     assert all(b.schema.field("text").type == pa.large_string() for b in got)
+
+
+def test_unrelated_long_sets_share_no_list():
+    rng = np.random.default_rng(8)
+    documents, members = 400, 3000
+    sets = np.sort(rng.integers(0, 2**64, (documents, members), dtype=np.uint64), axis=1).ravel()
+    whole = near_dedup.signatures_of(sets, np.arange(documents + 1) * members)
+    keys = near_dedup.list_keys((whole >> np.uint64(32)).astype(np.uint32), whole.astype(np.uint32))
+    assert (keys >= 0).all() and ((keys >> near_dedup.VALUE_BITS) == np.arange(near_dedup.COORDINATES)).all()
+    assert len(np.unique(keys)) == keys.size
+    # The upper bits of a value are as good as random too.
+    assert len(np.unique(whole[:, 0] >> np.uint64(48))) > 390
