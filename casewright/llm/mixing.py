@@ -121,18 +121,22 @@ class Mix:
             rows.select("id", "source", hash60(F.col("id")).alias("hash"), word_count(F.col("text")).alias("size"), PLACE), "mix-slim"
         )
         self.goals = kept(targets(ranked_sources(self.rows)), "mix-goals")
-        self.cuts = thresholds(self.rows, self.goals)
+        cuts = thresholds(self.rows, self.goals)
+        plan = self.goals.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")))
+        # Written, so that its size is known: one row per source.
+        self.plan = kept(plan.select("g.source", "g.source_size", "g.target", "c.passes", "c.below"), "mix-plan")
 
-    def documents(self) -> DataFrame:
-        """(id, source, size, source_size, target, copies, place) for every row."""
-        plan = self.goals.alias("g").join(self.cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source"))).select(
-            "g.source", "g.source_size", "g.target", "c.passes", "c.below"
-        )
+    def planned(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (source, hash and others) with source_size, target and the copies that the mix takes of each."""
         copies = F.col("p.passes") + F.when(F.col("r.hash") < F.col("p.below"), 1).otherwise(0)
-        return self.rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select(
-            "r.id", "r.source", "r.size", "p.source_size", "p.target", copies.alias("copies"), f"r.{PLACE}"
+        return rows.alias("r").join(self.plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select(
+            "r.*", "p.source_size", "p.target", copies.alias("copies")
         )
 
+    def documents(self) -> DataFrame:
+        """(id, source, hash, size, place, source_size, target, copies) for every row."""
+        return self.planned(self.rows)
+
 
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row per row of ``docs``."""
@@ -141,9 +145,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it."""
-    columns = docs.columns
-    whole = located(docs, columns, "mix-docs")
-    copies = Mix(whole).documents().where("copies > 0").select(PLACE, F.col("copies").alias("_copies"))
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    return whole.join(copies, PLACE).select(*(f"`{c}`" for c in columns), again).drop("_copy")
+    """``docs`` with every row as often as the mix takes it, its columns whatever their names.
+
+    Copies follow from a row's own hash and the plan of its source, so texts are joined with one row per source only.
+    Nulls, ties, repeated rows and empty tables are as in ``Mix``.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    rows = docs.select(F.col("source"), hash60(F.col("doc_id")).alias("hash"), whole)
+    again = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return Mix(docs).planned(rows).where("copies > 0").select("whole", again).select("whole.*")

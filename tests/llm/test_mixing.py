@@ -75,3 +75,15 @@ def test_nulls_blank_texts_repeats_and_empty(spark):
     assert again.columns == docs.columns
     taken = sum(r.taken // r.size for r in got if r.size)
     assert again.where("text is not null and text != ''").count() == taken
+
+
+def test_clashing_names_of_the_mixed_table(spark):
+    names = "doc_id long, source string, text string, _copy int, _copies int, hash int, passes string, whole int, copies int, col int, `a.b` int"
+    rows = [(k, "s" if k % 2 else None, "some words here", k, -k, 3, "p", 4, 5, 6, 7) for k in range(30)] + [(None, None, None, *range(3), "p", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, names)
+    taken = {r.doc_id: r.taken // r.size for r in mixing.mix(docs).collect() if r.size}
+    again = mixing.mixed(docs)
+    assert again.columns == docs.columns
+    left = [tuple(r) for r in again.collect()]
+    assert sorted(r for r in left if r[0] is not None) == sorted(r for r in rows if r[0] is not None for _ in range(taken[r[0]]))
+    assert mixing.mixed(docs.limit(0)).collect() == []
