@@ -223,13 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = RATED) -> Ordinal:
     return fit(text, cells.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float), got.column("grade").to_numpy())
 
 
-def graded(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, wanted: int = WANTED, keep_at: float = KEEP_AT) -> DataFrame:
-    """``keep`` (doc_id), expected_grade, tail_probability and kept, one row per row of ``docs``.
-
-    A null text is the empty text. Without a rating the thresholds stay at their start and nothing is rejected. Repeated rows
-    are scored each; an empty table gives an empty result; of other columns only those in ``keep`` are passed on.
-    """
-    keep = keep or ["doc_id"]
+def judged(docs: DataFrame, labels: DataFrame, keep: list[str], wanted: int, keep_at: float) -> DataFrame:
+    """The columns ``keep`` under the names k0, k1 and so on, expected_grade, tail_probability and kept."""
     model = train(docs, labels)
     untrained = not model.weights.any()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -238,14 +233,25 @@ def graded(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, wa
     rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(names, keep, strict=True)), *([] if "text" in keep else ["text"]))
     fields = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(names, keep, strict=True))
     scored = rows.mapInArrow(scorer(shared, wanted, text, names), ", ".join(filter(None, [fields, "expected_grade double, tail_probability double"])))
-    return scored.select(
-        *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)),
-        "expected_grade",
-        "tail_probability",
-        (F.lit(untrained) | (F.col("tail_probability") >= keep_at)).alias("kept"),
-    )
+    return scored.withColumn("kept", F.lit(untrained) | (F.col("tail_probability") >= keep_at))
+
+
+def graded(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, wanted: int = WANTED, keep_at: float = KEEP_AT) -> DataFrame:
+    """``keep`` (doc_id), expected_grade, tail_probability and kept, one row per row of ``docs``.
+
+    A null text is the empty text; texts of any length are read whole. Without a rating the thresholds stay at their start
+    and nothing is rejected. Repeated rows are scored each; an empty table gives an empty result; of other columns only
+    those in ``keep`` are passed on.
+    """
+    keep = keep or ["doc_id"]
+    scores = ("expected_grade", "tail_probability", "kept")
+    return judged(docs, labels, keep, wanted, keep_at).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *scores)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with their columns."""
-    return graded(docs, labels, docs.columns).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that the classifier keeps, with their columns, whatever the names of these.
+
+    Nulls, ties, repeated rows and empty tables are as in ``graded``.
+    """
+    found = judged(docs, labels, docs.columns, WANTED, KEEP_AT).where("kept")
+    return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
