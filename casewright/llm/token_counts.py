@@ -54,8 +54,8 @@ def load_merges(path: str) -> Merges:
     """Reads a vocabulary file; symbols 0 to 255 are the bytes, every merge makes one more."""
     with open(path, encoding="utf-8") as file:
         told = json.load(file)
-    model, pre = told["model"], told["pre_tokenizer"]
-    known = (model["type"], pre["type"], pre["add_prefix_space"], pre["use_regex"], told["normalizer"], model["ignore_merges"])
+    model, pre = told["model"], told.get("pre_tokenizer") or {}
+    known = (model.get("type"), pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex"), told.get("normalizer"), model.get("ignore_merges"))
     if known != ("BPE", "ByteLevel", False, True, None, False):
         raise ValueError(f"not a byte-level pair-merge vocabulary of the known form: {known}")
     symbol = dict(byte_letters())
