@@ -224,17 +224,21 @@ def midday_snapshot(
     days: int = 8,
     windows: Sequence[tuple[str, int, int]] = V.SNAPSHOT_WINDOWS,
     fan_out: bool = False,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Cases, tasks and hours per employee, day and window, both ends inclusive.
 
-    All days and windows at once. History rows need a known employee and a planned task; one
-    duration per row unless ``fan_out``.
+    All days and windows at once, or ``only`` the days of a one-column frame (T03): rows of other days go before anything
+    is joined or summed. History rows need a known employee and a planned task; one duration per row unless ``fan_out``.
     """
     first = as_of - timedelta(days=days)
     rows = history.filter(
         between_days(F.col("complete_date"), first, as_of)
         & (X.yes_no_flag(F.col("rejected")) == 0)
     )
+    if only is not None:
+        wanted = only.select(F.col(only.columns[0]).alias("__wanted"))
+        rows = rows.join(wanted, F.to_date("complete_date") == F.col("__wanted"), "left_semi")
     plan = plan.join(rows.select(*TASK_KEY), TASK_KEY, "left_semi")
     if fan_out:
         planned = plan_sums(plan)
@@ -274,5 +278,5 @@ def missing_days(stored: DataFrame, col: str, *, as_of: date, days: int = 7) ->
 
 
 def backfill(snapshot: DataFrame, missing: DataFrame) -> DataFrame:
-    """Snapshot rows of the missing days only."""
+    """Snapshot rows of the missing days of a snapshot that exists; ``midday_snapshot`` computes them alone."""
     return snapshot.join(missing.withColumnRenamed(missing.columns[0], "data_date"), "data_date", "left_semi")

@@ -12,6 +12,7 @@ from casewright.operators import tasks as T
 from casewright.operators.joins import anti_null_safe
 from casewright.plans.lab_views import AS_OF, CALENDAR, EVENT_DAY, EVENT_NOW, Lab
 from casewright.plans.registry import query
+from casewright.sources.working import working_table
 from casewright.streaming import scans
 
 FIRST, LAST = date(2024, 1, 8), date(2024, 1, 14)
@@ -147,13 +148,13 @@ def missing_days(lab: Lab) -> DataFrame:
 @query
 def missing_snapshots(lab: Lab) -> DataFrame:
     """Snapshot rows of the days a store lacks; the store here holds every second day."""
-    snapshot = E.midday_snapshot(
-        lab.task_history(), lab.planned_tasks(), lab.employees(), plan_order(), as_of=EVENT_DAY
-    )
     stored = lab.task_history().select(F.to_date("complete_date").alias("day")).filter(
         F.dayofmonth("day") % 2 == 0
     )
-    return E.backfill(snapshot, E.missing_days(stored, "day", as_of=EVENT_DAY))
+    missing = working_table(E.missing_days(stored, "day", as_of=EVENT_DAY), "missing-days")
+    return E.midday_snapshot(
+        lab.task_history(), lab.planned_tasks(), lab.employees(), plan_order(), as_of=EVENT_DAY, only=missing
+    )
 
 
 @query

@@ -126,6 +126,62 @@ def scan_alarm_stream(history: DataFrame, *, hours: int = 4, delay: str = "1 hou
     )
 
 
-def latest_scans_stream(history: DataFrame) -> DataFrame:
-    """Newest scan per case as an updating aggregate: the form without timers."""
-    return history.groupBy("case_number").agg(F.max("complete_date").alias("last_scan"))
+LATEST_SCHEMA = "case_number string, last_scan timestamp, closed boolean"
+
+
+class LatestScan(StatefulProcessor):
+    """Newest scan of one case; a row whenever it moves or the case closes.
+
+    The state of a case goes once the watermark has passed its closing, and that of a case without scans once it has
+    passed the newest one by ``days``.
+    """
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "ts timestamp, closed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, was_closed = self.newest.get() if self.newest.exists() else (None, False)
+        newest = None if known is None else pd.Timestamp(known)
+        latest, closed = newest, was_closed
+        for batch in rows:
+            top = batch["complete_date"].max()
+            latest = top if latest is None or top > latest else latest
+            closed = closed or bool(batch["closed"].any())
+        if latest == newest and closed == was_closed:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.newest.update((latest.to_pydatetime(), closed))
+        due = latest if closed else latest + pd.Timedelta(days=self.days)
+        self.handle.registerTimer(int(due.timestamp() * 1000) + 1)
+        yield pd.DataFrame({"case_number": [key[0]], "last_scan": [latest], "closed": [closed]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def latest_scans_stream(history: DataFrame, *, delay: str = "1 hour", idle_days: int = 180) -> DataFrame:
+    """Newest scan per case as updates (T04): the newest row of a case counts.
+
+    ``history`` needs case_number, complete_date and a boolean ``closed``. Needs the RocksDB state store; state holds one
+    timestamp per case that is open, or closed within ``delay``. A scan that comes later than that starts a case anew.
+    """
+    events = history.select(
+        "case_number", F.col("complete_date").cast("timestamp").alias("complete_date"), F.coalesce("closed", F.lit(False)).alias("closed")
+    )
+    return (
+        events.filter("complete_date IS NOT NULL")
+        .withWatermark("complete_date", delay)
+        .groupBy("case_number")
+        .transformWithStateInPandas(
+            statefulProcessor=LatestScan(idle_days), outputStructType=LATEST_SCHEMA, outputMode="Update", timeMode="EventTime"
+        )
+    )

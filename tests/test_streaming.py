@@ -1,6 +1,8 @@
 """Streams over finite input give the answer of their batch form, late and out-of-order rows included."""
 
 import random
+import threading
+import time
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -99,16 +101,32 @@ def test_scan_alarms(spark, tmp_path):
     assert {(r.case_number, r.last_scan) for r in stale} == {(n, s) for n, s, _ in got}
 
 
-def test_latest_scans(spark, tmp_path):
-    batches = [[("a", "t", "e", START, False)], [("a", "t", "e", START - timedelta(hours=1), False)]]
+def test_latest_scans_keep_open_cases_only(spark, tmp_path):
+    hour = timedelta(hours=1)
+    cases = [f"c{k}" for k in range(20)]
+    batches = [
+        [(c, "t", "e", START, False) for c in cases],
+        [(c, "t", "e", START - hour, False) for c in cases],
+        [(c, "t", "e", START + hour, k < 15) for k, c in enumerate(cases)],
+        # Time goes on: what closed leaves the state, what is open stays.
+        [("later", "t", "e", START + 40 * hour, False)],
+        [("later", "t", "e", START + 41 * hour, False)],
+    ]
     write_batches(spark, str(tmp_path / "in"), batches)
-    out = run_to_end(
-        scans.latest_scans_stream(stream(spark, str(tmp_path / "in"))),
-        "complete",
-        str(tmp_path / "cp"),
-        "latest",
+    folder = str(tmp_path / "cp")
+    query = (
+        scans.latest_scans_stream(stream(spark, str(tmp_path / "in")))
+        .writeStream.outputMode("update").format("memory").queryName("latest").option("checkpointLocation", folder).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(240)
+    assert query.exception() is None
+    out = spark.table("latest").filter("case_number <> 'later'").collect()
+    # Older scans gave no row.
+    assert sorted((r.case_number, r.last_scan.replace(tzinfo=None), r.closed) for r in out) == sorted(
+        [(c, START, False) for c in cases] + [(c, START + hour, k < 15) for k, c in enumerate(cases)]
     )
-    assert [tuple(r) for r in out.collect()] == [("a", START)]
+    rows = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(rows) > rows[-1]
 
 
 def test_refresh_isolates_failures(spark, tmp_path):
@@ -131,6 +149,35 @@ def test_refresh_isolates_failures(spark, tmp_path):
     assert not again["good"].published and read_current(spark, f"{root}/good").count() == 3
 
 
+def test_results_side_by_side(spark, tmp_path):
+    """Results overlap, a failing one fails alone, a hanging one is cancelled, and shared inputs are written once."""
+    root, gate, seen = str(tmp_path / "out"), threading.Barrier(3, timeout=120), []
+
+    def meets(tables):
+        gate.wait()
+        return tables["numbers"].select("n")
+
+    def numbers():
+        seen.append(1)
+        return spark.range(50).withColumnRenamed("id", "n")
+
+    def broken(tables):
+        raise RuntimeError("no source")
+
+    def hangs(tables):
+        return spark.range(8, numPartitions=2).select(sleeping(F.col("id")))
+
+    sleeping = F.udf(lambda k: (time.sleep(600), k)[1], "long")
+    results = {"a": meets, "b": meets, "c": meets, "broken": broken, "hangs": hangs}
+    start = time.monotonic()
+    got = refresh.refresh_results(results, root, now=datetime(2026, 7, 1), workers=5, timeout=45, shared={"numbers": numbers})
+    assert time.monotonic() - start < 200
+    assert [got[n].rows for n in "abc"] == [50] * 3 and seen == [1]
+    assert str(got["broken"]) == "no source" and isinstance(got["hangs"], Exception)
+    assert read_current(spark, f"{root}/a").count() == 50 and not [n for n in Folder(spark, f"{root}/hangs").children() if n.startswith("v_")]
+    assert spark.range(10).count() == 10
+
+
 def test_snapshot_on_business_days_only(spark, tmp_path):
     write_batches(spark, str(tmp_path / "in"), [[("a", "t", "e", START, False)]])
     path = str(tmp_path / "noon")
