@@ -10,7 +10,10 @@ from casewright.session import checkpoint_root
 
 
 def working_table(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written once and read back, so that later steps see the same rows even after a lost executor."""
+    """``df`` written once and read back, so that later steps see the same rows even after a lost executor.
+
+    The write is a job that runs at once, also while a query is still being built.
+    """
     spark = df.sparkSession
     folder = f"{checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
