@@ -1,8 +1,11 @@
 """The ordinal classifier: gradient, order of thresholds, accuracy on rows it has not seen."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
-from casewright.llm import quality
+from casewright.llm import quality, ragged
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -22,6 +25,54 @@ def test_thresholds_stay_in_order_and_grades_are_found():
     assert ((tails > 0.5).sum(axis=1) == grades).mean() > 0.95
 
 
+def test_slopes_equal_differences_of_the_loss():
+    rng = np.random.default_rng(2)
+    text, place, value = np.repeat(np.arange(50), 4), rng.integers(0, 9, 200), rng.random(200)
+    grades = rng.integers(0, 4, 50)
+    point = np.r_[rng.normal(size=9), -1.0, 0.3, -0.4]
+    slopes = quality.loss_and_slopes(point, text, place, value, grades, 4)[1]
+    for k in range(len(point)):
+        step = np.zeros(len(point))
+        step[k] = 1e-6
+        above, below = (quality.loss_and_slopes(p, text, place, value, grades, 4)[0] for p in (point + step, point - step))
+        assert abs((above - below) / 2e-6 - slopes[k]) < 1e-6
+
+
+def test_words_of_a_text_and_their_values():
+    texts = ["", "one two two three", "Same same SAME", "x " * 5_000 + "y", "...", "é a"]
+    data, offsets = ragged.as_bytes(pa.array(texts))
+    text, cell, value = quality.features(data, offsets)
+    for k, words in enumerate([[], ["one", "two", "two", "three"], ["same"] * 3, ["x"] * 5_000 + ["y"], []]):
+        shares = sorted(quality.WORD_WEIGHT * (n / len(words)) ** 0.5 for n in Counter(words).values())
+        mine, marks = value[text == k], cell[text == k] >= 1 << quality.BITS
+        assert marks.sum() == len(shares) and (mine[marks] == quality.MARK_WEIGHT).all()
+        assert np.allclose(sorted(mine[~marks]), sorted(shares + [1.0] * 11))
+    # A text has the same features alone and among others.
+    alone = quality.features(*ragged.as_bytes(pa.array([texts[1]])))
+    assert np.array_equal(np.sort(alone[1]), np.sort(cell[text == 1]))
+
+
+def test_only_rare_words_bound_to_a_grade_tell():
+    rng = np.random.default_rng(3)
+    grades = np.r_[np.zeros(100, int), np.full(100, 1), np.full(2_800, 2)]
+    marks = 1 << quality.BITS
+    told = [(t, marks + 7) for t in range(100, 160)]  # rare, in texts of one grade
+    common = [(t, marks + 8) for t in range(3_000) if t >= 200 or t % 9 == 0]
+    chance = [(t, marks + 9) for t in rng.choice(3_000, 90, replace=False)]
+    share = [(t, 7) for t in range(3_000)]
+    text, cell = np.array(told + common + chance + share).T
+    kept = quality.telling(text, cell, grades)
+    assert set(cell[kept]) == {7, marks + 7}
+
+
+def test_one_telling_word_counts_in_a_long_text(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where("doc_id % 3 = 0 and quality = 1")
+    scored = quality.graded(docs, labels.where("doc_id % 3 != 0")).join(held, "doc_id").toPandas()
+    assert scored[scored.toxic == 1].kept.mean() < 0.4
+    assert scored[scored.toxic == 0].kept.mean() > 0.99
+
+
 def test_held_out_ratings(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     train, held = labels.where("doc_id % 3 != 0"), labels.where("doc_id % 3 = 0")
