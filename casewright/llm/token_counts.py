@@ -27,6 +27,18 @@ REMEMBERED = 1_000_000
 NO_RANK = np.int64(1 << 60)
 #: The library's byte-level pattern (fixed values).
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Ranges (fixed values) of letters and numbers that the library's older character tables know as neither.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
 LIMIT = 1024
 BLOCK_TEXT = 4 << 20
 
@@ -107,7 +119,15 @@ class Counter:
 
     def __init__(self, merges: Merges):
         self.merges = merges
+        newer = "".join(f"\\U{first:08x}-\\U{last:08x}" for first, last in NEWER)
+        self.newer = regex.compile(f"[{newer}]")
         self.pattern = regex.compile(PRE_TOKENS)
+        # The same pattern with the classes of the library; slower, so only for texts with such a character.
+        older = {r" ?\p{L}+": rf" ?[\p{{L}}--[{newer}]]+", r" ?\p{N}+": rf" ?[\p{{N}}--[{newer}]]+", r"[^\s\p{L}\p{N}]": rf"(?:[^\s\p{{L}}\p{{N}}]|[{newer}])"}
+        pinned = PRE_TOKENS
+        for known, classes in older.items():
+            pinned = pinned.replace(known, classes)
+        self.pinned = regex.compile(pinned, regex.V1)
         special = "|".join(regex.escape(s) for s in sorted(merges.specials, key=len, reverse=True))
         self.special = regex.compile(special) if special else None
         self.sizes: dict[str, int] = {}
@@ -121,7 +141,8 @@ class Counter:
             if self.special and any(s in text for s in self.merges.specials):
                 pieces = self.special.split(text)
                 extra = len(pieces) - 1
-            found = self.pattern.findall(pieces[0]) if len(pieces) == 1 else [t for p in pieces for t in self.pattern.findall(p)]
+            pattern = self.pattern if text.isascii() or not self.newer.search(text) else self.pinned
+            found = pattern.findall(pieces[0]) if len(pieces) == 1 else [t for p in pieces for t in pattern.findall(p)]
             split.append((extra, found))
             unseen |= set(found).difference(sizes)
         new = list(unseen)

@@ -35,6 +35,14 @@ def test_counts_are_the_librarys(texts, wanted, monkeypatch):
     assert [n for k in range(0, len(texts), 50) for n in counter.count(texts[k : k + 50])] == wanted
 
 
+def test_every_character_is_cut_as_the_library_does():
+    texts = [f"a{c}1{c}\u4e00 {c}!{c}" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    merges, library = token_counts.Counter(token_counts.load_merges(PATH)), Tokenizer.from_file(PATH)
+    for k in range(0, len(texts), 50_000):
+        part = texts[k : k + 50_000]
+        assert merges.count(part) == [len(x.ids) for x in library.encode_batch(part, add_special_tokens=False)]
+
+
 def test_table(spark, texts, wanted):
     rows = [(k, t, 0) for k, t in enumerate(texts[:200])] + [(None, None, 0), (5, texts[5], 0)]
     got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), PATH).collect()
