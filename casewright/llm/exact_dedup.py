@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm.workspace import PLACE, kept, located, shared_folder
+from casewright.llm.workspace import PLACE, kept, located, private_names, shared_folder
 
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -138,14 +138,22 @@ class ExactDedup:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``."""
+    """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``.
+
+    A null text is the empty text; texts of any length are read whole; of rows with one text and one identifier one is kept,
+    a null identifier counts as the smallest; an empty table gives an empty result; other columns are never read.
+    """
     run = ExactDedup(docs.sparkSession).add(docs)
     return run.documents().select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row keeps."""
-    columns = docs.columns
-    whole = located(docs, columns, "exact-docs")
+    """``docs`` without the rows whose text another row keeps, with its columns, whatever the names of these.
+
+    A null text is the empty text and a null identifier the smallest; texts of any length are read whole; of repeated rows
+    one stays; an empty table gives an empty result.
+    """
+    columns, names = docs.columns, private_names(docs.columns)
+    whole = located(docs.toDF(*names), names, "exact-docs")
     stay = ExactDedup(docs.sparkSession).add(whole).documents().where("kept").select(F.struct("file", "position").alias(PLACE))
-    return whole.join(stay, PLACE, "left_semi").select(*(f"`{c}`" for c in columns))
+    return whole.join(stay, PLACE, "left_semi").select(*(F.col(n).alias(c) for n, c in zip(names, columns, strict=True)))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm import ragged
 from casewright.llm.components import components, extended
-from casewright.llm.workspace import PLACE, kept, located, shared_folder
+from casewright.llm.workspace import PLACE, kept, located, private_names, shared_folder
 
 COORDINATES = 64
 MATCHES = 32
@@ -486,14 +486,22 @@ class NearDuplicates:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
+
+    A null text or one without a word has no shingle, is linked with nothing and is kept; texts of any length are read whole;
+    repeated rows share a component; an empty table gives an empty result; other columns are never read.
+    """
     return NearDuplicates(docs).documents().select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the row with its smallest id; of several such rows, one."""
-    columns = docs.columns
-    whole = located(docs, columns, "near-docs")
+    """``docs`` with one document of each component: the row with its smallest id; of several such rows, one.
+
+    Columns stay as they are, whatever their names. Rows without a word are linked with nothing and all stay; texts of any
+    length are read whole; an empty table gives an empty result.
+    """
+    columns, names = docs.columns, private_names(docs.columns)
+    whole = located(docs.toDF(*names), names, "near-docs")
     run = NearDuplicates(whole)
     stay = (
         run.documents()
@@ -502,4 +510,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("file", "position")).alias("place"))
         .select("place")
     )
-    return whole.join(stay.withColumnRenamed("place", PLACE), PLACE, "left_semi").select(*(f"`{c}`" for c in columns))
+    return whole.join(stay.withColumnRenamed("place", PLACE), PLACE, "left_semi").select(*(F.col(n).alias(c) for n, c in zip(names, columns, strict=True)))

@@ -35,6 +35,11 @@ def one_row_each(docs: DataFrame) -> bool:
     return node.nodeName() == "LogicalRelation"
 
 
+def private_names(columns: list[str], known: tuple[str, ...] = ("doc_id", "text")) -> list[str]:
+    """A name for each of ``columns`` that no working column has; the ``known`` ones keep theirs."""
+    return [c if c in known else f"k{i}" for i, c in enumerate(columns)]
+
+
 def located(docs: DataFrame, columns: list[str], purpose: str = "rows") -> DataFrame:
     """The named columns and ``PLACE``, which tells each row from every other: its file and its position there.
 
