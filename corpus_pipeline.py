@@ -1,10 +1,16 @@
-"""Corpus preparation in stages, each read from what the one before wrote."""
+"""Corpus preparation in stages, each read from what the one before wrote.
+
+A null text counts as empty, of equal texts the largest identifier stays, repeated rows are one text, an empty table gives
+an empty result, and further columns of the table, whatever their names, reach the last stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casewright.llm import exact_dedup, mixing, near_dedup, packing, quality
+from casewright.llm import exact_dedup, mixing, near_dedup, packing, quality, token_counts
 from casewright.llm.workspace import kept
 
 
@@ -29,10 +35,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The batch and slot of every document that the mix takes."""
-    return packing.pack(docs)
+    """The batch and slot of every document that the mix takes; lengths and budget in tokens."""
+    counted = token_counts.count_tokens(docs, public_tokenizers.path(VOCABULARY))
+    return packing.pack(counted, F.col("n_tokens"))
 
 
+VOCABULARY = "byte_bpe_50k.json"
 STAGES = [
     ("quality_classifier", quality_stage),
     ("exact_dedup", exact_stage),
