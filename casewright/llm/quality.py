@@ -179,7 +179,7 @@ def fit(text: np.ndarray, cell: np.ndarray, value: np.ndarray, grades: np.ndarra
     start = -np.log(np.clip(above, 1e-3, 1 - 1e-3) / np.clip(1 - above, 1e-3, 1))
     free = np.r_[start[0], np.log(np.maximum(np.diff(start), 0.05))]
     used = np.unique(cell)
-    place = np.searchsorted(used, cell)
+    place = np.searchsorted(used, cell).astype(np.int32)
     point = np.zeros(len(used) + len(free))
     point[len(used) :] = free
     mean, square = np.zeros_like(point), np.zeros_like(point)
@@ -250,12 +250,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = RATED) -> Ordinal:
     if not got.num_rows:
         return fit(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
     cells, values = (got.column(n).combine_chunks() for n in ("cells", "values"))
-    sizes = np.diff(cells.offsets.to_numpy())
-    text = np.repeat(np.arange(got.num_rows), sizes)
-    cell, value = cells.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float)
     grades = got.column("grade").to_numpy()
+    text = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(cells.offsets.to_numpy()))
+    cell, value = cells.flatten().to_numpy(), values.flatten().to_numpy()
     chosen = telling(text, cell, grades)
-    return fit(text[chosen], cell[chosen], value[chosen], grades)
+    # Only what the fit needs stays in the driver's memory; numbers keep the width they came in.
+    text, cell, value = text[chosen], cell[chosen], value[chosen]
+    del got, cells, values, chosen
+    return fit(text, cell, value, grades)
 
 
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str], wanted: int, keep_at: float) -> DataFrame:
