@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casewright.sources.working import working_table
+
 # The layout of the payroll export.
 PREAMBLE_LINES = 8
 NAME, TOTAL, REST = "Name", "Total hours", "Rest break"
@@ -25,6 +27,27 @@ def csv_fields(line: Column) -> Column:
     )
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, file, value and line (from 1 in each file) of every line of text files.
+
+    Files are read once, in blocks, and their lines written to a working table; the write is a job that runs at once. Lines
+    are counted per block and the counts summed up along each file, so a file of many blocks is numbered by many tasks and
+    a window only ever holds one row per block.
+    """
+    read = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),  # grows along a block, which one task reads
+    )
+    lines = working_table(read, "file-lines")
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("start"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    places = blocks.select("path", "block", (before - F.col("start")).alias("shift"))
+    return lines.join(places, ["path", "block"]).select("path", "file", "value", (F.col("at") + F.col("shift") + 1).alias("line"))
+
+
 def read_timesheets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """date, end_date, name and work hours of every timesheet row, any number of files per job.
 
@@ -35,18 +58,9 @@ def read_timesheets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     dated = F.when(
         start == "", F.raise_error(F.concat(F.lit("no date range in file name: "), "file"))
     ).otherwise(start)
-    # A line's place in its file: the block it lies in, then its place in the task that reads the block.
-    lines = spark.read.text(paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    number = F.row_number().over(Window.partitionBy("path").orderBy("block", "at"))
+    lines = numbered_lines(spark, paths)
     table = (
-        lines.withColumn("line", number)
-        .filter((F.col("line") > PREAMBLE_LINES) & (F.col("value") != ""))
+        lines.filter((F.col("line") > PREAMBLE_LINES) & (F.col("value") != ""))
         .withColumn("row", csv_fields(F.col("value")))
     )
     empty = F.forall("row", lambda field: field == "")

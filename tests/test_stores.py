@@ -125,6 +125,38 @@ def test_timesheets(spark, tmp_path):
         TS.read_timesheets(spark, str(tmp_path / "undated.csv")).collect()
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files read in blocks of 2 kB."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    yield spark
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_of_a_file_are_numbered_by_block(small_blocks, tmp_path):
+    written = {"a.csv": [f"row {k}" + " x" * (k % 7) for k in range(3_000)], "b.csv": ["", "y" * 9_000, "", "z"], "c.csv": ["one"]}
+    for name, texts in written.items():
+        (tmp_path / name).write_text("\r\n".join(texts) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    lines = TS.numbered_lines(small_blocks, str(tmp_path / "*.csv"))
+    assert [(r.file, r.line, r.value) for r in lines.orderBy("file", "line").collect()] == [
+        (name, k + 1, text) for name, texts in sorted(written.items()) for k, text in enumerate(texts)
+    ]
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and plan.count("windowspecdefinition(path") == 1
+    blocks = small_blocks.read.text(str(tmp_path / "a.csv")).select("_metadata.file_block_start").distinct()
+    assert blocks.count() > 10
+
+
+def test_a_timesheet_of_many_blocks(small_blocks, tmp_path):
+    head = "".join(f"line {k}\n" for k in range(8)) + "Name,Total hours,Rest break\n"
+    body = "".join(f"n{k:04},{k % 10},0.5\n" for k in range(2_000))
+    (tmp_path / "hours-2026-07-01-to-2026-07-01.csv").write_text(head + body + ",,\n" + body)
+    got = rows(TS.read_timesheets(small_blocks, str(tmp_path / "*.csv")).select("name", "work_hours"), "name")
+    assert got == [(f"n{k:04}", k % 10 - 0.5) for k in range(2_000)]
+
+
 def test_lookups(spark, tmp_path):
     path = tmp_path / "tech.csv"
     path.write_text("Name,Noon,3PM,ShiftType,DesignType\nAnn,12,NA,Day,Regular\n")
