@@ -15,6 +15,7 @@ from casewright.operators.joins import anti_null_safe, in_periods, lateral_first
 from casewright.operators.pick import latest_per_key
 from casewright.operators.tasks import explode_windows
 from casewright.sources.tables import between_days
+from casewright.sources.working import working_table
 
 TASK_KEY = ["case_id", "task", "case_product_id"]
 REJECT_KEY = ["case_number", "complete_date", "task", "completed_by"]
@@ -154,17 +155,28 @@ def _mean(cents: Column) -> Column:
     return F.sum(cents) / F.lit(100.0) / F.nullif(F.count(cents), F.lit(0).cast("bigint"))
 
 
-def latest_attributes(daily: DataFrame, newest: date | None = None) -> tuple[Column, Column]:
-    """Aggregates for the first non-null team by date and id, and the plan on the newest date.
+FIRST_TEAM, LAST_PLAN = "__first_team", "__last_plan"
 
-    ``newest`` saves the pass that finds the newest date of the store.
+
+def latest_attributes() -> tuple[Column, Column]:
+    """Aggregates that ``with_latest_attributes`` reads: first non-null team by date and id, plan on the group's last day."""
+    first_team = F.min(F.when(F.col("team").isNotNull(), F.struct("date", "employee_id", "team")))
+    return first_team.alias(FIRST_TEAM), F.max(F.struct("date", "training_plan")).alias(LAST_PLAN)
+
+
+def with_latest_attributes(groups: DataFrame, newest: date | None = None) -> DataFrame:
+    """Team, and the plan of those whose last day is the newest of all, else 0.
+
+    The newest day comes from the groups, not from a second pass over the rows; without ``newest`` the groups are written
+    once for that, a job that runs at once.
     """
-    first_team = F.min(
-        F.when(F.col("team").isNotNull(), F.struct("date", "employee_id", "team"))
-    )["team"]
-    day = daily.agg(F.max("date")).scalar() if newest is None else F.lit(newest)
-    plan = F.max(F.when(F.col("date") == day, F.col("training_plan")))
-    return first_team.alias("team"), F.coalesce(plan, F.lit(0)).alias("training_plan")
+    if newest is None:
+        groups = working_table(groups, "latest-attributes")
+    day = groups.agg(F.max(f"{LAST_PLAN}.date")).scalar() if newest is None else F.lit(newest)
+    plan = F.when(F.col(f"{LAST_PLAN}.date") == day, F.col(f"{LAST_PLAN}.training_plan"))
+    return groups.withColumns(
+        {FIRST_TEAM: F.col(f"{FIRST_TEAM}.team"), LAST_PLAN: F.coalesce(plan, F.lit(0))}
+    ).withColumnsRenamed({FIRST_TEAM: "team", LAST_PLAN: "training_plan"})
 
 
 def efficiency_periods(
@@ -178,7 +190,7 @@ def efficiency_periods(
         (_mean(F.when(F.col("date").between(F.lit(lo), F.lit(hi)), F.col(CENTS))) * 0.01).alias(name)
         for name, lo, hi in efficiency_period_list(as_of, calendar)
     ]
-    return _cents(daily).groupBy("staff_name").agg(*latest_attributes(daily, newest), *means)
+    return with_latest_attributes(_cents(daily).groupBy("staff_name").agg(*latest_attributes(), *means), newest)
 
 
 def drop_empty_periods(matrix: DataFrame, periods: Sequence[str]) -> DataFrame:

@@ -331,7 +331,9 @@ def test_period_matrix(spark):
     assert (got["Ann"].team, got["Ann"].training_plan) == ("A", 1)
     assert got["Bob"].days_ago_1 is None and got["Cy"].training_plan == 0 and got["Cy"].week_0 is None
     names = [c for c in matrix.columns if c not in ("staff_name", "team", "training_plan")]
-    assert len(names) == 31
+    assert len(names) == 31 and matrix.columns[:3] == ["staff_name", "team", "training_plan"]
+    told = E.efficiency_periods(daily, CALENDAR, as_of=MONDAY, newest=date(2026, 7, 2))
+    assert sorted(map(str, told.collect())) == sorted(map(str, matrix.collect()))
     kept = E.drop_empty_periods(matrix, names).columns
     assert "days_ago_1" in kept and "days_ago_2" not in kept
     shown = E.render_sentinel(matrix.select("staff_name", "days_ago_1"), ["days_ago_1"])

@@ -5,6 +5,9 @@ import re
 import pytest
 
 from casewright import plans
+from casewright.operators import efficiency
+from casewright.plans.lab_views import CALENDAR, EVENT_DAY, Lab
+from casewright.plans.task_queries import daily
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = plans.queries()
@@ -87,6 +90,15 @@ def test_period_matrix_shuffles_its_employees_once(big_tables):
     assert len(re.findall(r"Exchange hashpartitioning\(staff_name", main)) <= 1
 
 
+def test_period_matrix_reads_the_store_once(big_tables):
+    rows = daily(Lab(big_tables, FOLDER))
+    told = efficiency.efficiency_periods(rows, CALENDAR, as_of=EVENT_DAY, newest=EVENT_DAY)
+    assert len(re.findall(r"Exchange hashpartitioning\(staff_name", plan(told))) <= 1
+    # Without the newest day, what is read again is the written matrix, not the events.
+    text = plan(QUERIES["efficiency_periods"](big_tables, FOLDER))
+    assert "events.parquet" not in text and "Exchange hashpartitioning" not in text
+
+
 # The airway list also joins customers, three joins by themselves in the lab view, and the table of business days.
 @pytest.mark.parametrize("name, most", [("open_case_list", 7), ("open_case_list_by_dept", 7), ("airway_workflow", 13)])
 def test_facts_of_case_numbers_are_read_once(big_tables, name, most):
